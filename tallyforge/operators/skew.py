@@ -71,16 +71,20 @@ def chunked_running(
     )
 
 
-def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
-    """``row_number`` by score descending, then ``ties``; works without keys, too."""
-    constant = df.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)) if not keys else df.withColumn("_one", F.lit(1))
+def chunked_row_number(df: DataFrame, keys: list[str], order: list, ties: list[str], chunk: Column, name: str) -> DataFrame:
+    """``row_number`` in ``order`` then ``ties``; works without keys, too."""
     over = keys or ["_all"]
-    out = chunked_running(
-        constant, over, [F.col(score).desc()], ties, -magnitude_chunk(score), {name: "_one"}
-    )
+    counted = df.withColumn("_one", F.lit(1))
+    counted = counted if keys else counted.withColumn("_all", F.lit(0))
+    out = chunked_running(counted, over, order, ties, chunk, {name: "_one"})
     return out.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
+def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
+    """``row_number`` by score descending, then ``ties``."""
+    return chunked_row_number(df, keys, [F.col(score).desc()], ties, -magnitude_chunk(score), name)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...]) -> DataFrame:
     """Count, mean, min, max and exact interpolated quantiles of groups of any size.
 
