@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.maths import col, keyed_uniform, triangular_inverse
 from tallyforge.functions.values import row_digest
-from tallyforge.session import cut_lineage
+from tallyforge.session import scratch_path
 
 from .skew import chunked_row_number
 
@@ -147,34 +147,32 @@ def align_draws(source: DataFrame, keys: list[str], seed: int, index: str = "dra
 def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """All claims each seed depends on: ``(seed_id, claim_id, depth, reaches_itself, missing)``.
 
-    ``edges(claim_id, depends_on)``. One join round per level over all seeds at once; each new
-    frontier is written to the checkpoint folder, so a lost executor costs one level at most.
+    ``edges(claim_id, depends_on)``. One join round per level over all seeds at once. Each new
+    frontier becomes a partition of a table in the shared folder, so a lost executor costs one level
+    at most and the pairs seen so far are a plain scan.
     """
-    frontier = seeds.select(F.col("seed_id"), F.col("seed_id").alias("claim_id"), F.lit(0).alias("depth"))
-    frontier = cut_lineage(frontier.distinct())
-    levels = [frontier]
-    visited = frontier.select("seed_id", "claim_id")
-    loops = None
+    spark = edges.sparkSession
+    root = scratch_path(spark, "closure")
+    start = seeds.select("seed_id", F.col("seed_id").alias("claim_id")).distinct()
+    start.write.parquet(f"{root}/depth=0")
+    schema = start.schema
     for depth in range(1, max_rounds + 1):
-        step = (
-            frontier.join(edges, "claim_id")
-            .select("seed_id", F.col("depends_on").alias("claim_id"), F.lit(depth).alias("depth"))
-            .distinct()
-        )
-        back = step.where(F.col("seed_id") == F.col("claim_id")).select("seed_id")
-        loops = back if loops is None else loops.union(back)
-        frontier = cut_lineage(step.join(visited, ["seed_id", "claim_id"], "left_anti"))
+        frontier = spark.read.schema(schema).parquet(f"{root}/depth={depth - 1}")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        visited = visited.union(frontier.select("seed_id", "claim_id"))
+        visited = spark.read.schema(schema).parquet(*[f"{root}/depth={d}" for d in range(depth)])
+        step = frontier.join(edges, "claim_id").select("seed_id", F.col("depends_on").alias("claim_id")).distinct()
+        step.join(visited, ["seed_id", "claim_id"], "left_anti").write.parquet(f"{root}/depth={depth}")
     else:
         raise ValueError("claim dependencies are deeper than max_rounds")
-    reached = levels[0]
-    for level in levels[1:]:
-        reached = reached.union(level)
+    reached = spark.read.schema(schema.add("depth", "int")).parquet(root)
     known = nodes.select("claim_id", F.lit(True).alias("_known"))
-    cyclic = loops.distinct().select("seed_id", F.lit(True).alias("_cyclic"))
+    cyclic = (
+        reached.join(edges, "claim_id")
+        .where(F.col("depends_on") == F.col("seed_id"))
+        .select("seed_id", F.lit(True).alias("_cyclic"))
+        .distinct()
+    )
     return (
         reached.join(known, "claim_id", "left")
         .join(cyclic, "seed_id", "left")
