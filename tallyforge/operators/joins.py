@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions.maths import col, keyed_uniform, triangular_inverse
 from tallyforge.functions.values import row_digest
@@ -155,7 +156,7 @@ def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, max_roun
     root = scratch_path(spark, "closure")
     start = seeds.select("seed_id", F.col("seed_id").alias("claim_id")).distinct()
     start.write.parquet(f"{root}/depth=0")
-    schema = start.schema
+    schema = T.StructType(start.schema.fields)
     for depth in range(1, max_rounds + 1):
         frontier = spark.read.schema(schema).parquet(f"{root}/depth={depth - 1}")
         if frontier.isEmpty():
@@ -165,7 +166,7 @@ def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, max_roun
         step.join(visited, ["seed_id", "claim_id"], "left_anti").write.parquet(f"{root}/depth={depth}")
     else:
         raise ValueError("claim dependencies are deeper than max_rounds")
-    reached = spark.read.schema(schema.add("depth", "int")).parquet(root)
+    reached = spark.read.schema(T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])).parquet(root)
     known = nodes.select("claim_id", F.lit(True).alias("_known"))
     cyclic = (
         reached.join(edges, "claim_id")

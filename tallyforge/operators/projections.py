@@ -28,33 +28,34 @@ def flatten_paths(df: DataFrame, keys: list[str], document: str, required: list[
     """Walk a JSON document (VARIANT) and return ``(keys, path, node)`` of nodes with all required keys.
 
     A matching node is not searched further. List items are labelled by their id, else by position.
-    One ``variant_explode`` per level; nodes left at ``max_depth`` fail the job.
+    Every level is one ``variant_explode_outer`` in a single narrow chain: found nodes ride along. A
+    container left open at ``max_depth`` fails the job.
     """
-    has_all = F.lit(True)
+    has_all = F.schema_of_variant("node").startswith("OBJECT")
     for name in required:
-        has_all = has_all & F.col("node").isNotNull() & F.try_variant_get("node", f"$.{name}", "variant").isNotNull()
-    level = df.select(*keys, F.lit("").alias("path"), F.col(document).alias("node"))
-    found = []
+        has_all = has_all & F.try_variant_get("node", f"$.{name}", "variant").isNotNull()
+    container = F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")
+    level = df.select(*keys, F.lit("").alias("path"), F.col(document).alias("node"), F.lit(False).alias("_found"))
     for _ in range(max_depth):
-        tagged = level.withColumn("_kind", F.schema_of_variant("node")).withColumn(
-            "_match", has_all & F.col("_kind").startswith("OBJECT")
-        )
-        found.append(tagged.where("_match").select(*keys, "path", "node"))
-        inside = tagged.where(~F.col("_match") & F.col("_kind").rlike("^(OBJECT|ARRAY)"))
-        spread = inside.lateralJoin(
-            inside.sparkSession.tvf.variant_explode(F.col("node").outer()).select(
+        judged = level.withColumn("_found", F.col("_found") | F.coalesce(has_all, F.lit(False)))
+        judged = judged.where(F.col("_found") | container)
+        opened = F.when(~F.col("_found"), F.col("node"))
+        spread = judged.withColumn("_open", opened).lateralJoin(
+            df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).select(
                 F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")
             )
         )
         label = F.coalesce(_labelled(F.col("_value")), F.col("_pos").cast("string"))
-        child = F.when(F.col("_kind").startswith("ARRAY"), F.concat(F.col("path"), F.lit("["), label, F.lit("]"))).otherwise(
+        inner = F.when(F.col("_key").isNull(), F.concat(F.col("path"), F.lit("["), label, F.lit("]"))).otherwise(
             F.concat(F.col("path"), F.when(F.col("path") == "", F.lit("")).otherwise(F.lit(".")), F.col("_key"))
         )
-        level = spread.select(*keys, child.alias("path"), F.col("_value").alias("node"))
-    out = found[0]
-    for frame in found[1:]:
-        out = out.unionByName(frame)
-    return out
+        level = spread.where(F.col("_found") | F.col("_value").isNotNull()).select(
+            *keys, F.when(F.col("_found"), F.col("path")).otherwise(inner).alias("path"),
+            F.when(F.col("_found"), F.col("node")).otherwise(F.col("_value")).alias("node"), "_found",
+        )
+    last = level.withColumn("_found", F.col("_found") | F.coalesce(has_all, F.lit(False)))
+    too_deep = F.when(~F.col("_found") & container, F.raise_error(F.lit("document is deeper than max_depth")).cast("boolean"))
+    return last.where(F.coalesce(too_deep, F.col("_found"))).select(*keys, "path", "node")
 
 
 def flatten_draw_columns(df: DataFrame, draw_keys: list[str], nested: str, fields: list[str]) -> DataFrame:

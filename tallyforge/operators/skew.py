@@ -86,70 +86,76 @@ def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], na
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...]) -> DataFrame:
-    """Count, mean, min, max and exact interpolated quantiles of groups of any size.
+    """Count, mean, min, max and exact interpolated quantiles ``_p0, _p1, …`` of groups of any size.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a sketch brackets each
-    wanted rank first; only the values inside a bracket (a fixed share of about 0.1 % of the group,
-    or the whole group up to ``ROWS_HELD`` rows) are then ranked, and everything below a bracket is
-    merely counted. A rank outside its bracket fails the job instead of giving a wrong number.
+    ``percentile`` keeps every distinct value of a group in one task. Here a first pass brackets each
+    wanted rank with a sketch; a second pass counts the rows below each bracket and keeps only the
+    values inside one (about 0.1 % of a group per quantile, or the whole of a group up to
+    ``ROWS_HELD`` rows). Only those are ranked. A rank outside its bracket fails the job instead of
+    giving a wrong number.
     """
     over = keys or ["_all"]
+    ids = range(len(probabilities))
     base = df.where(F.col(value).isNotNull())
-    base = base.withColumn("_all", F.lit(0)) if not keys else base
+    base = base if keys else base.withColumn("_all", F.lit(0))
     base = base.select(*over, F.col(value).cast("double").alias("_v"))
     marks = [x for p in probabilities for x in (max(p - BRACKET_MARGIN, 0.0), min(p + BRACKET_MARGIN, 1.0))]
+    small = F.col("n") <= ROWS_HELD
     stats = base.groupBy(*over).agg(
-        F.count("*").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.min("_v").alias("minimum"),
-        F.max("_v").alias("maximum"),
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
         F.percentile_approx("_v", marks, SKETCH_ACCURACY).alias("_marks"),
     )
-    small = F.col("n") <= ROWS_HELD
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("q"),
-                F.when(small, F.col("minimum")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
-                F.when(small, F.col("maximum")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"),
-            )
-            for i in range(len(probabilities))
-        ]
+    fixed = ["n", "mean", "minimum", "maximum", *[f"_{end}{i}" for i in ids for end in ("lo", "hi")]]
+    ranges = stats.select(
+        *over, "n", "mean", "minimum", "maximum",
+        *[F.when(small, F.col("minimum")).otherwise(F.col("_marks")[2 * i]).alias(f"_lo{i}") for i in ids],
+        *[F.when(small, F.col("maximum")).otherwise(F.col("_marks")[2 * i + 1]).alias(f"_hi{i}") for i in ids],
     )
-    ranges = stats.select(*over, brackets.alias("_brackets"))
+    inside = F.lit(False)
+    for i in ids:
+        inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
     kept = (
         base.join(ranges, over)
-        .select(*over, "_v", F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["hi"])).alias("_b"))
-        .select(*over, F.col("_b.q").alias("_q"), F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"))
-        .groupBy(*over, "_q", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    w = Window.partitionBy(*over, "_q").orderBy(F.col("_v").asc_nulls_first())
-    ranked = kept.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_q") + 1)
-    position = wanted * (F.col("n") - 1)
-    lower_rank = F.floor(position) + 1
-    upper_rank = F.least(lower_rank + 1, F.col("n"))
-    holds = lambda rank: (F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto"))
-    picked = (
-        ranked.join(stats.select(*over, "n"), over)
-        .groupBy(*over, "_q")
+        .withColumn("_in", F.when(inside, F.col("_v")))
+        .groupBy(*over, "_in")
         .agg(
-            F.max(F.when(holds(lower_rank), F.col("_v"))).alias("_lower"),
-            F.max(F.when(holds(upper_rank), F.col("_v"))).alias("_upper"),
-            F.first(position - F.floor(position)).alias("_share"),
+            F.count("*").alias("_c"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in ids],
+            *[F.first(c).alias(c) for c in fixed],
         )
     )
-    checked = F.when(
-        F.col("_lower").isNull() | F.col("_upper").isNull(), F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-    ).otherwise(F.col("_lower") * (1 - F.col("_share")) + F.col("_upper") * F.col("_share"))
-    values = picked.groupBy(*over).agg(
-        *[F.max(F.when(F.col("_q") == i, checked)).alias(f"_p{i}") for i in range(len(probabilities))]
-    )
-    return stats.drop("_marks").join(values, over).select(
-        *keys, "n", *[f"_p{i}" for i in range(len(probabilities))], "mean", "minimum", "maximum"
+    whole = Window.partitionBy(*over)
+    upto = whole.orderBy(F.col("_in").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = kept.select(
+        "*",
+        *[
+            (F.sum(f"_below{i}").over(whole) + F.coalesce(F.sum(F.when(F.col("_in") >= F.col(f"_lo{i}"), F.col("_c"))).over(upto), F.lit(0))).alias(f"_upto{i}")
+            for i in ids
+        ],
     )
 
+    def held(i: int, rank: Column) -> Column:
+        within = F.col("_in").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        hit = within & (F.col(f"_upto{i}") - F.col("_c") < rank) & (rank <= F.col(f"_upto{i}"))
+        return F.max(F.when(hit, F.col("_in")))
+
+    def ends(i: int) -> list[Column]:
+        position = F.lit(float(probabilities[i])) * (F.col("n") - 1)
+        lower = F.floor(position) + 1
+        return [
+            held(i, lower).alias(f"_l{i}"), held(i, F.least(lower + 1, F.col("n"))).alias(f"_u{i}"),
+            F.first(position - F.floor(position)).alias(f"_s{i}"),
+        ]
+
+    picked = ranked.groupBy(*over).agg(*[c for i in ids for c in ends(i)], *[F.first(c).alias(c) for c in fixed[:4]])
+    failed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+    values = [
+        F.when(F.col(f"_l{i}").isNull() | F.col(f"_u{i}").isNull(), failed)
+        .otherwise(F.col(f"_l{i}") * (1 - F.col(f"_s{i}")) + F.col(f"_u{i}") * F.col(f"_s{i}"))
+        .alias(f"_p{i}")
+        for i in ids
+    ]
+    return picked.select(*keys, "n", *values, "mean", "minimum", "maximum")
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -6,11 +6,13 @@ lists (constraints, suppliers, pools of one draw) are short; draws, scenarios an
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.maths import col, is_close, let, safe_ratio
-from tallyforge.operators.aggregates import binding_credit, binding_probability, single_source_criticality, summarize, summarize_columns
+from tallyforge.functions.maths import is_close, let, safe_ratio
+from tallyforge.operators.aggregates import binding_credit, binding_probability, summarize, summarize_columns
 from tallyforge.operators.joins import eligible_constraints
 from tallyforge.operators.ordering import order_bottlenecks
 from tallyforge.operators.skew import chunked_rank
@@ -75,96 +77,45 @@ def physical_outputs(outputs: DataFrame, factors: DataFrame, keys: list[str]) ->
 TOLERANCE = 1e-10
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _fill_stage(demand, weight, capacity, need, tolerance):
+    """Weighted max-min fill of many groups of one shape at once.
 
-
-def _pick(array: Column, index: Column) -> Column:
-    return F.element_at(array, index + 1)
-
-
-def _fill_round(state: Column, demand: Column, weight: Column, capacity: Column, need: Column, tolerance: float) -> Column:
-    """One round: raise every active platform together until a demand or a pool stops one."""
-
-    def used(outputs: Column) -> Column:
-        return F.transform(capacity, lambda _, r: _sum(F.transform(need, lambda row, p: _pick(row, r) * _pick(outputs, p))))
-
-    def advance(s: Column) -> Column:
-        pull = F.transform(
-            capacity,
-            lambda _, r: _sum(F.transform(need, lambda row, p: F.when(_pick(s["active"], p), _pick(row, r) * _pick(weight, p)).otherwise(0.0))),
-        )
-        demand_steps = F.transform(demand, lambda d, p: F.when(_pick(s["active"], p), (d - _pick(s["outputs"], p)) / _pick(weight, p)))
-
-        def pool_steps(pulls: Column) -> Column:
-            consumed = used(s["outputs"])
-            room = F.zip_with(capacity, consumed, lambda c, u: F.greatest(c - u, F.lit(0.0)))
-            return F.zip_with(room, pulls, lambda c, d: F.when(d > tolerance, c / d))
-
-        step = F.greatest(F.array_min(F.concat(demand_steps, let(pull, pool_steps))), F.lit(0.0))
-        return let(
-            step,
-            lambda x: F.transform(
-                s["outputs"],
-                lambda o, p: F.when(_pick(s["active"], p), F.least(_pick(demand, p), o + _pick(weight, p) * x)).otherwise(o),
-            ),
-        )
-
-    def settle_round(s: Column, outputs: Column) -> Column:
-        full = F.zip_with(capacity, used(outputs), lambda c, u: c - u <= tolerance)
-
-        def marked(exhausted: Column) -> Column:
-            hit = F.transform(demand, lambda d, p: _pick(s["active"], p) & (d - _pick(outputs, p) <= tolerance))
-
-            def closed(hits: Column) -> Column:
-                blockers = F.transform(
-                    s["blockers"],
-                    lambda old, p: F.when(
-                        _pick(s["active"], p) & ~_pick(hits, p),
-                        F.zip_with(exhausted, _pick(need, p), lambda e, n: e & (n > 0)),
-                    ).otherwise(old),
-                )
-                return let(
-                    blockers,
-                    lambda blocked: F.struct(
-                        outputs.alias("outputs"),
-                        F.transform(
-                            s["active"], lambda a, p: a & ~_pick(hits, p) & ~F.exists(_pick(blocked, p), lambda x: x)
-                        ).alias("active"),
-                        blocked.alias("blockers"),
-                    ),
-                )
-
-            return let(hit, closed)
-
-        return let(full, marked)
-
-    return F.when(
-        F.exists(state["active"], lambda a: a),
-        let(state, lambda s: let(advance(s), lambda outputs: settle_round(s, outputs))),
-    ).otherwise(state)
-
-
-def progressive_fill(demand: Column, weight: Column, capacity: Column, need: Column, tolerance: float = TOLERANCE) -> Column:
-    """Weighted max-min fill of one group held in arrays: ``struct(outputs, active, blockers)``.
-
-    ``demand`` and ``weight`` per platform, ``capacity`` per pool, ``need[platform][pool]`` units per
-    system. Each round stops at least one platform, so as many rounds as platforms suffice. It is a
-    fold over arrays inside the row: no shuffle and no driver loop, however many groups there are.
+    ``demand``/``weight`` are (group, platform), ``capacity`` is (group, pool) and ``need`` is (group,
+    platform, pool). All active platforms of a group rise together until a demand is met or a pool
+    runs out; each round stops at least one platform.
     """
-    start = F.struct(
-        F.transform(demand, lambda d: F.lit(0.0)).alias("outputs"),
-        F.zip_with(demand, weight, lambda d, w: (d > tolerance) & (w > tolerance)).alias("active"),
-        F.transform(demand, lambda d: F.transform(capacity, lambda c: F.lit(False))).alias("blockers"),
-    )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(demand), F.lit(1))), start,
-        lambda state, _: _fill_round(state, demand, weight, capacity, need, tolerance),
-    )
-
-
-def pool_consumption(need: Column, outputs: Column, capacity: Column) -> Column:
-    return F.transform(capacity, lambda _, r: _sum(F.transform(need, lambda row, p: _pick(row, r) * _pick(outputs, p))))
+    output = np.zeros_like(demand)
+    active = (demand > tolerance) & (weight > tolerance)
+    blockers = np.zeros(need.shape, dtype=bool)
+    safe_weight = np.where(active, weight, 1.0)
+    for _ in range(demand.shape[1]):
+        if not active.any():
+            break
+        room = np.maximum(capacity - np.einsum("gpr,gp->gr", need, output), 0.0)
+        pull = np.einsum("gpr,gp->gr", need, weight * active)
+        pool_steps = np.where(pull > tolerance, room / np.where(pull > tolerance, pull, 1.0), np.inf)
+        demand_steps = np.where(active, (demand - output) / safe_weight, np.inf)
+        step = np.minimum(pool_steps.min(axis=1, initial=np.inf), demand_steps.min(axis=1, initial=np.inf))
+        step = np.where(np.isfinite(step), step, 0.0)[:, None]
+        output = np.where(active, np.minimum(demand, output + weight * step), output)
+        met = active & (demand - output <= tolerance)
+        exhausted = capacity - np.einsum("gpr,gp->gr", need, output) <= tolerance
+        stopped = (active & ~met)[:, :, None] & exhausted[:, None, :] & (need > 0)
+        blockers |= stopped
+        active = active & ~met & ~stopped.any(axis=2)
+    return output, blockers
+
+
+def _fill_rows(demand, weight, capacity, stage, need, stages, tolerance):
+    """Chain the stages for equally shaped groups: a stage's output is the next one's demand."""
+    outputs, blocked = [], []
+    for rank in stages:
+        here = stage == rank
+        output, blockers = _fill_stage(demand, weight, np.where(here, capacity, np.inf), need * here[:, None, :], tolerance)
+        outputs.append(output)
+        blocked.append(blockers)
+        demand = output
+    return np.stack(outputs, axis=1), np.stack(blocked, axis=1)
 
 
 def fill_groups(platforms: DataFrame, pools: DataFrame, requirements: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,49 +131,62 @@ def fill_groups(platforms: DataFrame, pools: DataFrame, requirements: DataFrame,
     return p.join(r, keys).join(n, keys)
 
 
+def _filled_frame(rows: pd.DataFrame, keys: list[str], stages: list[int], tolerance: float) -> pd.DataFrame:
+    """Long result rows of groups that share one (platforms, pools) shape."""
+    n, platforms, pools = len(rows), len(rows["platform_ids"].iloc[0]), len(rows["pool_ids"].iloc[0])
+    stack = lambda name, *shape: np.concatenate(rows[name].to_list()).astype(float).reshape(n, *shape)
+    demand = stack("demand", platforms)
+    filled, stops = _fill_rows(
+        demand, stack("weight", platforms), stack("capacity", pools), stack("stage", pools), stack("need", platforms, pools), stages, tolerance
+    )
+    per_group = len(stages) * platforms
+    ids = np.stack(rows["platform_ids"].to_list())
+    pool_ids = np.repeat(np.stack(rows["pool_ids"].to_list()), per_group, axis=0)
+    flags = stops.reshape(n * per_group, pools)
+    blockers = [list(names[hit]) if hit.any() else [] for names, hit in zip(pool_ids, flags)]
+    out = {k: np.repeat(rows[k].to_numpy(), per_group) for k in keys}
+    return pd.DataFrame(
+        {
+            **out,
+            "stage_rank": np.tile(np.repeat(stages, platforms), n),
+            "platform_id": np.tile(ids[:, None, :], (1, len(stages), 1)).ravel(),
+            "demand": np.concatenate([demand[:, None, :], filled[:, :-1, :]], axis=1).ravel(),
+            "output": filled.ravel(),
+            "blockers": blockers,
+        }
+    )
+
+
 def chain_fill(groups: DataFrame, keys: list[str], stages: list[int], tolerance: float = TOLERANCE) -> DataFrame:
-    """Fill stage by stage: the output of one stage is the demand of the next; weights stay.
+    """Weighted max-min fill under shared pools, stage by stage; weights stay, outputs become demands.
 
-    Returns ``(keys, stage_rank, platform_id, demand, output, held_back, blockers)``. The stages are
-    a short fixed list.
+    Returns ``(keys, stage_rank, platform_id, demand, output, held_back, blockers)``. Spark brings the
+    short member lists of a group together; a batch of groups is then array work in one Arrow pass.
     """
-    current = groups.withColumn("_demand", F.transform("platforms", lambda p: p["demand"]))
-    weight = F.transform("platforms", lambda p: p["weight"])
-    names = F.transform("platforms", lambda p: p["platform_id"])
-    pieces = []
-    for stage in stages:
-        here = F.filter("pools", lambda r: r["stage_rank"] == stage)
-        staged = current.withColumn("_pools", here).withColumn("_weight", weight)
-        staged = staged.withColumn(
-            "_need",
-            F.transform(
-                "platforms",
-                lambda p: F.transform(
-                    "_pools",
-                    lambda r: F.coalesce(
-                        F.try_element_at(F.col("units"), F.struct(p["platform_id"].alias("platform_id"), r["pool_id"].alias("pool_id"))), F.lit(0.0)
-                    ),
-                ),
-            ),
-        ).withColumn("_capacity", F.transform("_pools", lambda r: r["capacity"]))
-        filled = progressive_fill(F.col("_demand"), F.col("_weight"), F.col("_capacity"), F.col("_need"), tolerance)
-        staged = staged.withColumn("_fill", filled)
-        rows = F.transform(
-            names,
-            lambda n, p: F.struct(
-                F.lit(stage).alias("stage_rank"), n.alias("platform_id"), _pick(F.col("_demand"), p).alias("demand"),
-                _pick(F.col("_fill.outputs"), p).alias("output"),
-                F.transform(
-                    F.filter(F.arrays_zip(F.transform("_pools", lambda r: r["pool_id"]).alias("pool"), _pick(F.col("_fill.blockers"), p).alias("hit")), lambda z: z["hit"]),
-                    lambda z: z["pool"],
-                ).alias("blockers"),
-            ),
+    column = lambda array, field: F.transform(array, lambda x: x[field])
+    edge = lambda p, r: F.struct(p["platform_id"].alias("platform_id"), r["pool_id"].alias("pool_id"))
+    need = F.flatten(
+        F.transform(
+            "platforms",
+            lambda p: F.transform("pools", lambda r: F.coalesce(F.try_element_at(F.col("units"), edge(p, r)), F.lit(0.0))),
         )
-        staged = staged.withColumn(f"_rows{stage}", rows)
-        pieces.append(f"_rows{stage}")
-        current = staged.withColumn("_demand", F.col("_fill.outputs")).drop("_pools", "_weight", "_need", "_capacity", "_fill")
-    flat = current.select(*keys, F.inline(F.flatten(F.array(*pieces))))
-    return flat.withColumn("held_back", F.greatest(F.col("demand") - F.col("output"), F.lit(0.0)))
+    )
+    flat = groups.select(
+        *keys, column("platforms", "platform_id").alias("platform_ids"), column("platforms", "demand").alias("demand"),
+        column("platforms", "weight").alias("weight"), column("pools", "pool_id").alias("pool_ids"),
+        column("pools", "capacity").alias("capacity"), column("pools", "stage_rank").alias("stage"), need.alias("need"),
+    )
+
+    def fill(batches):
+        for batch in batches:
+            shape = [batch["platform_ids"].map(len), batch["pool_ids"].map(len)]
+            for _, rows in batch.groupby(shape):
+                yield _filled_frame(rows, keys, stages, tolerance)
+
+    key_schema = [flat.schema[k].simpleString().replace(":", " ", 1) for k in keys]
+    schema = ", ".join([*key_schema, "stage_rank int, platform_id string, demand double, output double, blockers array<string>"])
+    rows = flat.mapInPandas(fill, schema)
+    return rows.withColumn("held_back", F.greatest(F.col("demand") - F.col("output"), F.lit(0.0)))
 
 
 def pool_use(filled: DataFrame, pools: DataFrame, requirements: DataFrame, keys: list[str]) -> DataFrame:
