@@ -48,6 +48,6 @@ def sq(expression: str, places: int = 6) -> str:
 
 
 def load() -> dict[str, Query]:
-    from tallyforge.catalog import aggregates, capacity, joins, scalars  # noqa: F401
+    from tallyforge.catalog import aggregates, capacity, evidence, forecasts, joins, pipeline, quality, scalars  # noqa: F401
 
     return REGISTRY
