@@ -257,7 +257,7 @@ def w5_water_fill(t):
 @query(f"WITH {FILL} SELECT l_orderkey, {sq('greatest(any_value(total) - sum(allocated), 0.0)', 5)} AS unallocated FROM a GROUP BY l_orderkey")
 def w5_unallocated(t):
     rows, totals = fill_inputs(t)
-    filled = W.water_fill(rows, totals, ["l_orderkey"], "weight", "cap", bounded=True)
+    filled = W.water_fill(rows, totals, ["l_orderkey"], "weight", "cap")
     return settled(W.unallocated(filled, totals, ["l_orderkey"]), ["unallocated"], 5)
 
 

@@ -348,7 +348,7 @@ def co8_named_cases(t):
         return F.struct((value * 0.9).alias("low"), value.alias("base"), (value * 1.1).alias("high"))
 
     lines, companies = earnings_inputs(t)
-    source = summarize(t.lineitem.select(F.col("l_suppkey").alias("company_id"), F.col("l_partkey").alias("line_id"), "l_quantity"), ["company_id", "line_id"], "l_quantity", bounded=True)
+    source = summarize(t.lineitem.select(F.col("l_suppkey").alias("company_id"), F.col("l_partkey").alias("line_id"), "l_quantity"), ["company_id", "line_id"], "l_quantity")
     lines = lines.join(source, ["company_id", "line_id"]).withColumn("source", F.struct("p10", "p50", "p90"))
     lines = lines.select("company_id", "source", *[around(F.col(n)).alias(n) for n in E.LINE_INPUTS])
     companies = companies.select("company_id", "consensus_revenue", "consensus_eps", *[around(F.col(n)).alias(n) for n in E.COMPANY_INPUTS])

@@ -17,7 +17,7 @@ SPLIT = "1998-01-01"
 
 def forecast_inputs(t):
     early = t.lineitem.where(F.col("l_shipdate") < SPLIT).select(F.col("l_partkey").alias("forecast_id"), "l_quantity")
-    frozen = summarize(early, ["forecast_id"], "l_quantity", bounded=True).select("forecast_id", "p10", "p50", "p90")
+    frozen = summarize(early, ["forecast_id"], "l_quantity").select("forecast_id", "p10", "p50", "p90")
     facts = t.part.select(
         F.col("p_partkey").alias("forecast_id"), F.col("p_type").alias("metric_class"), F.col("p_brand").alias("source_family"),
         F.when(F.col("p_type") == "PROMO", F.col("p_name")).otherwise("unit").alias("unit"),
@@ -136,7 +136,7 @@ def co16_register_forecasts(t):
 
 def registered(t, as_of="1999-02-01"):
     draws = t.lineitem.select(F.col("l_orderkey").alias("forecast_id"), F.col("l_quantity").alias("value"))
-    frozen = summarize(draws, ["forecast_id"], "value", bounded=True)
+    frozen = summarize(draws, ["forecast_id"], "value")
     off = t.orders.select(F.col("o_orderkey").alias("forecast_id"), (F.col("o_orderstatus") == "P").alias("_off"))
     frozen = frozen.join(off, "forecast_id").withColumn("mean", F.when(F.col("_off"), F.col("mean") + 1).otherwise(F.col("mean"))).drop("_off")
     return settled(P.register_forecasts(draws, frozen, contracts(t), as_of), ["p10", "p50", "p90", "forecast_probability"], 6)

@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.schemas import CYCLE_REVISIONS, OUTBOX, table
 from tallyforge.session import scratch_path
 from tallyforge.sources import ledger as G
 from tallyforge.sources import readers as R
@@ -26,7 +27,7 @@ def s1_read_json_strict(t):
     note = F.when(F.col("s_acctbal") < 0, ', "note": 1').otherwise("")
     text = F.format_string('{"key": %d, "nation": %s, "format": "%s"%s}', "s_suppkey", nation, tag, note)
     t.supplier.select(F.col("s_suppkey").alias("doc"), text.alias("value")).write.partitionBy("doc").text(path)
-    rows, rejects = R.read_json_strict(t.spark, path, T.StructType.fromDDL("key bigint, nation int"), "supplier.v1")
+    rows, rejects = R.read_json_strict(t.spark, path, table(key="bigint", nation="int"), "supplier.v1")
     bad = rejects.select(F.get_json_object("raw", "$.key").cast("bigint").alias("s_suppkey"), F.col("reason").alias("verdict"))
     return rows.select(F.col("key").alias("s_suppkey"), F.lit("ok").alias("verdict")).unionByName(bad)
 
@@ -36,7 +37,7 @@ def s2_read_csv_strict(t):
     path = scratch_path(t.spark, "csv")
     price = F.when(F.col("o_orderpriority") == "1-URGENT", "n/a").otherwise(F.col("o_totalprice").cast("string"))
     t.orders.select(F.col("o_orderkey").cast("string").alias("key"), price.alias("price"), "o_orderstatus").write.csv(path, header=True)
-    rows, rejects = R.read_csv_strict(t.spark, path, T.StructType.fromDDL("key bigint NOT NULL, price double, o_orderstatus string"))
+    rows, rejects = R.read_csv_strict(t.spark, path, table(("key",), key="bigint", price="double", o_orderstatus="string"))
     good = settled(rows.select(F.col("key").alias("o_orderkey"), "price", F.lit("").alias("bad_fields")), ["price"], 2)
     return good.unionByName(rejects.select(F.col("key").cast("bigint").alias("o_orderkey"), F.lit(None).cast("double").alias("price"), "bad_fields"))
 
@@ -50,7 +51,7 @@ def s3_read_jsonl(t):
         F.format_string('{"event_id": %d, "value": %s}', "event_id", number)
     )
     t.events.select(line).write.text(path)
-    rows, rejects = R.read_jsonl(t.spark, path, T.StructType.fromDDL("event_id bigint, value double"))
+    rows, rejects = R.read_jsonl(t.spark, path, table(event_id="bigint", value="double"))
     bad = rejects.select(F.regexp_extract("raw", r"(\d+)", 1).cast("bigint").alias("event_id"), F.col("reason").alias("verdict"))
     return rows.select("event_id", F.lit("ok").alias("verdict")).unionByName(bad)
 
@@ -127,7 +128,7 @@ def i3_enqueue_notifications(t):
     return fresh.select("event_id", F.lit("new").alias("state")).unionByName(collisions.select("event_id", F.lit("collision").alias("state")))
 
 
-LEDGER_SCHEMA = T.StructType.fromDDL("claim_key bigint, revision_id bigint, recorded_at timestamp, value double, supersedes_revision_id bigint")
+LEDGER_SCHEMA = table(claim_key="bigint", revision_id="bigint", recorded_at="timestamp", value="double", supersedes_revision_id="bigint")
 
 
 def packs(t):
@@ -180,7 +181,7 @@ CYCLE = """r AS (SELECT user_id AS claim_key, event_id AS revision_id, ts, CASE
 @query(f"""WITH {CYCLE} SELECT claim_key, 'claim_added' AS type, '2024-01-12' AS created FROM s WHERE a IS NOT NULL
 UNION ALL SELECT claim_key, CASE WHEN a IS NULL THEN 'claim_added' WHEN b IS NULL THEN 'claim_removed' ELSE 'claim_revised' END, '2024-01-20' FROM s WHERE a IS DISTINCT FROM b""")
 def i1_run_cycle_batch(t):
-    rows = t.spark.read.schema(Y.OUTBOX_SCHEMA).parquet(f"{cycle_root(t)}/outbox")
+    rows = t.spark.read.schema(OUTBOX).parquet(f"{cycle_root(t)}/outbox")
     field = lambda name: F.get_json_object("payload_json", f"$.{name}")
     return rows.select(field("claim_key").cast("bigint").alias("claim_key"), field("type").alias("type"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
@@ -188,14 +189,14 @@ def i1_run_cycle_batch(t):
 @query("""SELECT event_id AS revision_id, 'backdated' AS reason FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12'
 UNION ALL SELECT event_id, 'after_run' FROM events WHERE ts > TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-22'""")
 def i2_reject_backdated(t):
-    schema = T.StructType([*Y.REVISION_SCHEMA.fields, T.StructField("reason", T.StringType())])
+    schema = T.StructType([*CYCLE_REVISIONS.fields, T.StructField("reason", T.StringType())])
     return t.spark.read.schema(schema).parquet(f"{cycle_root(t)}/rejects").select("revision_id", "reason")
 
 
 @query("SELECT o_orderkey AS accession_number, o_orderstatus AS form FROM orders")
 def i5_filing_stream(t):
     root = scratch_path(t.spark, "filings")
-    schema = T.StructType.fromDDL("accession_number bigint, form string")
+    schema = table(accession_number="bigint", form="string")
     rows = t.orders.select(F.col("o_orderkey").alias("accession_number"), F.col("o_orderstatus").alias("form"), "o_orderdate")
     rows.where("o_orderdate < '1999-01-01'").drop("o_orderdate").write.parquet(f"{root}/in/drop=1")
     Y.filing_stream(t.spark, f"{root}/in/*", schema, f"{root}/out", f"{root}/checkpoint")

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .maths import col
 
@@ -61,19 +62,24 @@ def snippet(text, start, end, context: int) -> Column:
     return F.substring(col(text), begin + 1, stop - begin)
 
 
-def literal_spans(text, literal) -> Column:
-    """Array of ``struct(occurrence, character_start, character_end)`` of a literal.
+def literal_pieces(text, literal) -> Column:
+    """The text between case-insensitive, non-overlapping matches of a literal; one more piece than matches."""
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(col(literal), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.split(col(text), quoted, -1)
+
+
+def spans_of_pieces(pieces, literal, limit: int | None = None) -> Column:
+    """Array of ``struct(occurrence, character_start, character_end)``, of the first ``limit`` matches only if given.
 
-    Matching ignores case and does not overlap. Offsets count code points, because they are summed
-    from the lengths of the pieces between matches instead of taken from regex positions.
+    Offsets count code points, because they are summed from the lengths of the pieces between
+    matches instead of taken from regex positions.
     """
-    text, literal = col(text), col(literal)
-    quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pieces = F.split(text, quoted, -1)
-    width = F.char_length(literal)
+    pieces, width = col(pieces), F.char_length(col(literal))
+    matches = F.greatest(F.size(pieces) - 1, F.lit(0))
+    wanted = matches if limit is None else F.least(matches, F.lit(limit))
     spans_type = "array<struct<occurrence:int,character_start:int,character_end:int>>"
     folded = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
+        F.slice(pieces, F.lit(1), wanted),
         F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("spans")),
         lambda state, piece: F.struct(
             (state["at"] + F.char_length(piece) + width).alias("at"),
@@ -90,6 +96,10 @@ def literal_spans(text, literal) -> Column:
     return folded["spans"]
 
 
+def literal_spans(text, literal) -> Column:
+    return spans_of_pieces(literal_pieces(text, literal), literal)
+
+
 def anchor_matches(text, start, end, expected) -> Column:
     return F.substring(col(text), col(start) + 1, col(end) - col(start)).eqNullSafe(col(expected))
 
@@ -156,7 +166,7 @@ def _strip_markup(html: str | None) -> str | None:
     return re.sub(r"\s+", " ", " ".join(collector.pieces)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     """Visible text of a page: markup needs a tokenizer, so this is the one Arrow UDF."""
     return html.map(_strip_markup)

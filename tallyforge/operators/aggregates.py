@@ -108,12 +108,13 @@ def concentration(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def single_source_criticality(df: DataFrame, draw_keys: list[str], scenario_keys: list[str], supplier: str, value: str, demand: str) -> DataFrame:
     """Share of draws in which the pool without one supplier misses demand.
 
-    A draw holds one row per supplier of its scenario.
+    The draw total is an aggregate joined back, so a draw with very many suppliers is no single task.
     """
-    total = F.sum(value).over(Window.partitionBy(*draw_keys))
-    missed = (total - F.col(value) < F.col(demand)).cast("double")
+    totals = df.groupBy(*draw_keys).agg(F.sum(value).alias("_total"))
+    missed = (F.col("_total") - F.col(value) < F.col(demand)).cast("double")
     return (
-        df.withColumn("_missed", missed)
+        df.join(totals, draw_keys)
+        .withColumn("_missed", missed)
         .groupBy(*scenario_keys, supplier)
         .agg(F.avg("_missed").alias("criticality_probability"), F.count("*").alias("draws"))
     )

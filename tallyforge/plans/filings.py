@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import quarter_end_exclusive, quarter_start
-from tallyforge.functions.text import anchor_matches, filing_url, literal_spans, matches_id, media_type, snippet
+from tallyforge.functions.text import anchor_matches, filing_url, literal_pieces, matches_id, media_type, snippet, spans_of_pieces
 from tallyforge.functions.values import content_id, has_tokens, is_sorted_unique
 from tallyforge.operators.aggregates import document_term_counts, sum_ranges
 from tallyforge.operators.joins import changed_or_missing, match_exactly_one, new_rows, select_documents
@@ -70,23 +70,25 @@ def capture_documents(filings: DataFrame, requests: DataFrame, files: DataFrame,
 
 
 def term_matches(documents: DataFrame, document: str, text: str, terms: list[dict]) -> DataFrame:
-    """Every (document, term) with its match spans; terms are a short recipe carried as literals."""
+    """Every (document, term) with its whole text split at the matches; terms are a short recipe carried as literals."""
     listed = F.array(*[F.struct(*[F.lit(t[k]).alias(k) for k in ("term_id", "category", "literal")]) for t in terms])
     pairs = documents.select(document, F.col(text).alias("_text"), F.explode(listed).alias("_t"))
-    return pairs.select(
-        document, "_text", F.col("_t.term_id").alias("term_id"), F.col("_t.category").alias("category"), F.col("_t.literal").alias("literal"),
-        literal_spans("_text", F.col("_t.literal")).alias("spans"),
-    )
+    return pairs.select(document, "_text", "_t.*", literal_pieces("_text", F.col("_t.literal")).alias("_pieces"))
 
 
 def index_terms(documents: DataFrame, document: str, text: str, terms: list[dict], context: int, limit: int) -> dict[str, DataFrame]:
-    """Literal hits with offsets and snippets (the first ``limit`` per term and document), and counts."""
+    """Literal hits with offsets and snippets (the first ``limit`` per term and document), and counts.
+
+    The limit bounds what is recorded; every match of the whole text is counted.
+    """
     matches = term_matches(documents, document, text, terms)
-    hits = matches.select(document, "_text", "term_id", "category", "literal", F.inline("spans"))
+    spans = spans_of_pieces("_pieces", F.col("literal"), limit)
+    hits = matches.select(document, "_text", "term_id", "category", "literal", F.inline(spans))
     kept = cap_hits(hits, limit).withColumn("snippet", snippet("_text", "character_start", "character_end", context)).drop("_text")
+    found = F.size("_pieces") - 1
     counts = matches.select(
-        document, "term_id", F.least(F.size("spans"), F.lit(limit)).cast("bigint").alias("hit_count"),
-        F.greatest(F.size("spans") - limit, F.lit(0)).cast("bigint").alias("truncated_hit_count"),
+        document, "term_id", F.least(found, F.lit(limit)).cast("bigint").alias("hit_count"),
+        F.greatest(found - limit, F.lit(0)).cast("bigint").alias("truncated_hit_count"),
     )
     sizes = documents.select(
         document, F.char_length(text).cast("bigint").alias("character_count"),

@@ -1,11 +1,11 @@
-"""Session settings and the shared scratch folder used for reliable checkpoints and written tables."""
+"""Session settings and the shared scratch folder used for written tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,9 +55,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written and read back by a job."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive executor loss and later rounds do not replay earlier ones."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

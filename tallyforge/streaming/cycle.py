@@ -9,17 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.plans.claims import claim_diff
+from tallyforge.schemas import CYCLE_REVISIONS, CYCLES, OUTBOX
 from tallyforge.sources.ledger import _read, append_ledger, read_ledger
 
 from .outbox import enqueue_notifications, notification_events
 
-REVISION_SCHEMA = T.StructType.fromDDL(
-    "claim_key bigint, revision_id bigint, recorded_at timestamp, value double, valid_from date, valid_to date, status string, supersedes_revision_id bigint"
-)
-CYCLE_SCHEMA = T.StructType.fromDDL("known_at timestamp, batch_id bigint")
-OUTBOX_SCHEMA = T.StructType.fromDDL("event_id string, payload_sha256 string, payload_json string, created_at timestamp")
-
-
 def reject_backdated(batch: DataFrame, previous_known_at: datetime | None, known_at: datetime) -> tuple[DataFrame, DataFrame]:
     """Rows not later than the last cycle, or later than this run, are refused."""
     late = F.col("recorded_at") <= F.lit(previous_known_at).cast("timestamp") if previous_known_at else F.lit(False)
@@ -31,14 +25,14 @@ def reject_backdated(batch: DataFrame, previous_known_at: datetime | None, known
 def run_cycle_batch(batch: DataFrame, batch_id: int, root: str, known_at: datetime, valid_at: date) -> None:
     """One cycle over one micro-batch. Every write overwrites its own batch folder, so a replay is harmless."""
     spark = batch.sparkSession
-    cycles = _read(spark, f"{root}/cycles", CYCLE_SCHEMA).where(F.col("batch_id") < batch_id)
+    cycles = _read(spark, f"{root}/cycles", CYCLES).where(F.col("batch_id") < batch_id)
     previous = cycles.agg(F.max("known_at")).first()[0]
     good, refused = reject_backdated(batch, previous, known_at)
     refused.write.mode("overwrite").parquet(f"{root}/rejects/run={batch_id}")
-    append_ledger(spark, root, "revisions", REVISION_SCHEMA, good, f"b{batch_id}", check_chain=False)
-    ledger = read_ledger(spark, root, "revisions", REVISION_SCHEMA).drop("recorded_date")
+    append_ledger(spark, root, "revisions", CYCLE_REVISIONS, good, f"b{batch_id}", check_chain=False)
+    ledger = read_ledger(spark, root, "revisions", CYCLE_REVISIONS).drop("recorded_date")
     changes = claim_diff(ledger, valid_at, previous or datetime(1970, 1, 1), known_at)
-    outbox = _read(spark, f"{root}/outbox", T.StructType([*OUTBOX_SCHEMA.fields, T.StructField("run", T.LongType())])).where(F.col("run") < batch_id).drop("run")
+    outbox = _read(spark, f"{root}/outbox", T.StructType([*OUTBOX.fields, T.StructField("run", T.LongType())])).where(F.col("run") < batch_id).drop("run")
     fresh, _ = enqueue_notifications(notification_events(changes, F.lit(known_at).cast("timestamp")), outbox)
     fresh.write.mode("overwrite").parquet(f"{root}/outbox/run={batch_id}")
     done = spark.range(1).select(F.lit(known_at).cast("timestamp").alias("known_at"), F.lit(batch_id).cast("bigint").alias("batch_id"))
@@ -47,7 +41,7 @@ def run_cycle_batch(batch: DataFrame, batch_id: int, root: str, known_at: dateti
 
 def run_cycle(spark: SparkSession, packs: str, root: str, known_at: datetime, valid_at: date) -> None:
     """Process every pack file that arrived since the last checkpoint, then stop."""
-    stream = spark.readStream.schema(REVISION_SCHEMA).parquet(packs)
+    stream = spark.readStream.schema(CYCLE_REVISIONS).parquet(packs)
     query = (
         stream.writeStream.foreachBatch(lambda df, i: run_cycle_batch(df, i, root, known_at, valid_at))
         .option("checkpointLocation", f"{root}/checkpoint")
