@@ -113,7 +113,7 @@ def single_source_criticality(df: DataFrame, draw_keys: list[str], scenario_keys
     totals = df.groupBy(*draw_keys).agg(F.sum(value).alias("_total"))
     missed = (F.col("_total") - F.col(value) < F.col(demand)).cast("double")
     return (
-        df.join(totals, draw_keys)
+        df.join(totals, draw_keys, "left")
         .withColumn("_missed", missed)
         .groupBy(*scenario_keys, supplier)
         .agg(F.avg("_missed").alias("criticality_probability"), F.count("*").alias("draws"))

@@ -44,7 +44,7 @@ def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     carried = tails.select(
         *cells, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry")
     )
-    joined = inner.join(carried, cells)
+    joined = inner.join(carried, cells, "left")
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     return joined.select(*df.columns, *[prev[n].alias(n) for n in columns])
 
@@ -66,7 +66,7 @@ def chunked_running(
     carried = totals.select(
         *cells, *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
-    return inner.join(carried, cells).select(
+    return inner.join(carried, cells, "left").select(
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums]
     )
 
@@ -115,7 +115,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     for i in ids:
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
     kept = (
-        base.join(ranges, over)
+        base.join(ranges, over, "left")  # left: only the one-row-per-group side may be broadcast
         .withColumn("_in", F.when(inside, F.col("_v")))
         .groupBy(*over, "_in")
         .agg(

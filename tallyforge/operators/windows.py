@@ -84,7 +84,7 @@ def water_fill(
             F.col("_all_weight") - (F.col("_weight_to") - F.col("_weight"))
         )
         fills = (
-            running.join(sums, group)
+            running.join(sums, group, "left")
             .withColumn("_level", level)
             .groupBy(*group)
             .agg(F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).alias("_fill"))

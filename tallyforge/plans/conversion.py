@@ -105,7 +105,7 @@ def supplier_pool(flows: DataFrame, demand: DataFrame, scenario: list[str], draw
     """Totals per draw, consumption per supplier row and single-source criticality."""
     keys = [*scenario, draw]
     totals = pool_totals(flows, demand, keys)
-    per = flows.join(totals.select(*keys, "fill_fraction", "demanded_stacks", F.col("allocated_stacks").alias("_pool")), keys)
+    per = flows.join(totals.select(*keys, "fill_fraction", "demanded_stacks", F.col("allocated_stacks").alias("_pool")), keys, "left")
     per = per.withColumn("consumed_stacks", F.col("allocated_stacks") * F.col("fill_fraction")).withColumn(
         "allocated_share", safe_ratio("allocated_stacks", "_pool")
     )
