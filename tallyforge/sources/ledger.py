@@ -6,10 +6,10 @@ failed or repeated write never shows half a batch. Readers join on the committed
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tallyforge.operators.skew import chunked_lag
 
