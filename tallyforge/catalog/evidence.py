@@ -14,10 +14,10 @@ from tallyforge.operators.skew import chunked_row_number, magnitude_chunk
 from tallyforge.plans import claims as C
 from tallyforge.plans import filings as D
 from tallyforge.plans import links as L
-from tallyforge.sources.readers import file_digests, read_hashed_files
+from tallyforge.sources.readers import read_hashed_files
 
 from . import query, sq
-from .aggregates import CONSTRAINTS, REVISIONS, constraints, revisions, settled, six_sql
+from .aggregates import CONSTRAINTS, REVISIONS, constraints, revisions, settled
 from .joins import assessment_rows, revision_inputs
 from .scalars import ACCESSION_SQL, accession, claim_json
 
