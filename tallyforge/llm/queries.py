@@ -5,12 +5,16 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import crc_mod
 from tallyforge.llm.decontaminate import contamination
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.line_dedup import line_dedup
+from tallyforge.llm.lm_ppm import score_documents
+from tallyforge.llm.packing import pack_documents
 from tallyforge.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +63,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@register()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @register()
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
@@ -92,3 +102,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents"), min_chars=10, min_docs=2)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register()
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, docs.filter(crc_mod("doc_id", 10) != 0))
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
