@@ -15,6 +15,7 @@ from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.lm_ppm import score_documents
 from tallyforge.llm.packing import pack_documents
+from tallyforge.llm.quality import fit_quality, score_quality
 from tallyforge.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@register()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs, fit_quality(docs, labels.filter(crc_mod("doc_id", 5) != 0)))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
