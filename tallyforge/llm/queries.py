@@ -14,6 +14,7 @@ from tallyforge.llm.decontaminate import contamination
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.lm_ppm import score_documents
+from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.packing import pack_documents
 from tallyforge.llm.quality import fit_quality, score_quality
 from tallyforge.llm.sharding import shard_by_bytes
@@ -43,6 +44,24 @@ def _lower(text: str) -> str:
 _WORDS = "regexp_extract_all(" + _lower("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@register(
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b, met = x.n AND met = y.n AS same FROM pairs JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * met >= 80 * (x.n + y.n - met)
+              UNION ALL SELECT a.doc_id, b.doc_id, true FROM d a JOIN d b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id <> b.doc_id),
+    reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a)
+    SELECT d.doc_id, (SELECT min(other) FROM reach WHERE reach.doc_id = d.doc_id) AS class_id,
+           least(d.doc_id, (SELECT min(b) FROM links WHERE a = d.doc_id AND same)) AS copy_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
+    FROM d
+    """
+)
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8).drop("row")
+
+
 @register(
     f"""
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
