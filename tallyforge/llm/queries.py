@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import crc_mod
 from tallyforge.llm.decontaminate import contamination
 from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.language import identify_languages
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.lm_ppm import score_documents
 from tallyforge.llm.ngram_join import ngram_join
@@ -97,6 +98,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
+@register()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @register()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
