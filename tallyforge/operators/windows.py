@@ -50,7 +50,8 @@ def water_fill(
     Closed form: with rows ordered by cap/weight, the fill level is the largest
     ``(total - caps before) / (weights from here on)`` that lies below the row's own cap/weight.
     Only distinct ratios matter, so they are combined first. ``bounded=True`` states that a group is
-    small (the customers of one draw); then two windows do it.
+    small (the customers of one draw); then two windows do it, with the same result. A group
+    without a total is not limited: its rows get their caps.
     """
     active = (F.col(weight) > 0) & (F.col(cap) > 0)
     ratio = F.col(cap) / F.col(weight)
@@ -58,7 +59,7 @@ def water_fill(
     if bounded:
         w = Window.partitionBy(*group)
         by_ratio = w.orderBy("_ratio")
-        rows = df.join(totals, group).withColumn("_ratio", F.when(active, ratio))
+        rows = df.join(totals, group, "left").withColumn("_ratio", F.when(active, ratio))
         kept_cap = F.when(active, F.col(cap)).otherwise(0.0)
         kept_weight = F.when(active, F.col(weight)).otherwise(0.0)
         before = by_ratio.rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -82,15 +82,17 @@ def _fill_stage(demand, weight, capacity, need, tolerance):
 
     ``demand``/``weight`` are (group, platform), ``capacity`` is (group, pool) and ``need`` is (group,
     platform, pool). All active platforms of a group rise together until a demand is met or a pool
-    runs out; each round stops at least one platform.
+    runs out. The rounds go on until nobody is active, or a group's round neither moves nor stops
+    anyone. A demand is met and a pool is empty within ``tolerance`` of its own size, as a float of
+    that size has no finer steps.
     """
     output = np.zeros_like(demand)
     active = (demand > tolerance) & (weight > tolerance)
     blockers = np.zeros(need.shape, dtype=bool)
     safe_weight = np.where(active, weight, 1.0)
-    for _ in range(demand.shape[1]):
-        if not active.any():
-            break
+    demand_slack = tolerance * np.maximum(1.0, np.abs(demand))
+    pool_slack = tolerance * np.where(np.isfinite(capacity), np.maximum(1.0, np.abs(capacity)), 1.0)
+    while active.any():
         room = np.maximum(capacity - np.einsum("gpr,gp->gr", need, output), 0.0)
         pull = np.einsum("gpr,gp->gr", need, weight * active)
         pool_steps = np.where(pull > tolerance, room / np.where(pull > tolerance, pull, 1.0), np.inf)
@@ -98,11 +100,13 @@ def _fill_stage(demand, weight, capacity, need, tolerance):
         step = np.minimum(pool_steps.min(axis=1, initial=np.inf), demand_steps.min(axis=1, initial=np.inf))
         step = np.where(np.isfinite(step), step, 0.0)[:, None]
         output = np.where(active, np.minimum(demand, output + weight * step), output)
-        met = active & (demand - output <= tolerance)
-        exhausted = capacity - np.einsum("gpr,gp->gr", need, output) <= tolerance
+        met = active & (demand - output <= demand_slack)
+        exhausted = capacity - np.einsum("gpr,gp->gr", need, output) <= pool_slack
         stopped = (active & ~met)[:, :, None] & exhausted[:, None, :] & (need > 0)
         blockers |= stopped
-        active = active & ~met & ~stopped.any(axis=2)
+        leaving = met | stopped.any(axis=2)
+        stuck = (step[:, 0] <= tolerance) & ~leaving.any(axis=1)
+        active = active & ~leaving & ~stuck[:, None]
     return output, blockers
 
 
@@ -122,13 +126,16 @@ def fill_groups(platforms: DataFrame, pools: DataFrame, requirements: DataFrame,
     """Arrays per (keys): ``platforms(keys, platform_id, demand, weight)``, ``pools(keys, stage_rank,
     pool_id, capacity)``, ``requirements(keys, platform_id, pool_id, units)``.
 
-    The members of one group are the platforms and pools of one scenario draw, a short list.
+    The members of one group are the platforms and pools of one scenario draw, a short list. A group
+    without pools or requirements has empty lists: nothing holds its platforms back.
     """
     p = platforms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("platform_id", "demand", "weight"))).alias("platforms"))
     r = pools.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stage_rank", "pool_id", "capacity"))).alias("pools"))
     edge = F.struct(F.struct("platform_id", "pool_id"), F.col("units"))
     n = requirements.groupBy(*keys).agg(F.map_from_entries(F.collect_list(edge)).alias("units"))
-    return p.join(r, keys).join(n, keys)
+    joined = p.join(r, keys, "left").join(n, keys, "left")
+    empty = {c: F.coalesce(c, (F.array() if c == "pools" else F.create_map()).cast(joined.schema[c].dataType)) for c in ("pools", "units")}
+    return joined.withColumns(empty)
 
 
 def _filled_frame(rows: pd.DataFrame, keys: list[str], stages: list[int], tolerance: float) -> pd.DataFrame:

@@ -19,7 +19,9 @@ COMMITTED = T.StructType([T.StructField("batch_id", T.StringType())])
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -43,6 +45,10 @@ def commit_batch(spark: SparkSession, root: str, batch_id: str) -> None:
     row.coalesce(1).write.mode("overwrite").parquet(f"{root}/committed/id={batch_id}")
 
 
+def is_committed(spark: SparkSession, root: str, batch_id: str) -> bool:
+    return not committed_batches(spark, root).where(F.col("batch_id") == batch_id).isEmpty()
+
+
 def batch_problems(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Revisions of a new batch that break the chain: ``(revision_id, code)``.
 
@@ -67,12 +73,24 @@ def batch_problems(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType, batch: DataFrame, batch_id: str, check_chain: bool = True) -> dict:
-    """All-or-nothing append, idempotent by revision id: nothing is visible unless every new row is valid."""
+    """All-or-nothing append, idempotent by batch and revision id: nothing is visible unless every new row is valid.
+
+    A committed batch is never written again. A batch that was written but not committed is written anew. One revision id
+    with two contents, in the batch or against the ledger, refuses the batch.
+    """
+    if is_committed(spark, root, batch_id):
+        return {"committed": True, "problems": None}
     existing = read_ledger(spark, root, table, schema)
     names = [f.name for f in schema.fields]
-    fresh = batch.select(*names).dropDuplicates(["revision_id"]).join(existing.select("revision_id"), "revision_id", "left_anti").select(*names)
-    problems = batch_problems(existing, fresh) if check_chain else None
-    if problems is not None and not problems.isEmpty():
+    once = batch.select(*names).distinct()
+    digest = F.xxhash64(*[n for n in names if n != "revision_id"])
+    known = existing.select("revision_id", digest.alias("_known"))
+    fresh = once.join(known, "revision_id", "left_anti").select(*names)
+    twice = once.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("revision_id")
+    against = once.withColumn("_own", digest).join(known, "revision_id").where("_own <> _known").select("revision_id")
+    problems = twice.unionByName(against).distinct().withColumn("code", F.lit("revision_collision"))
+    problems = problems.unionByName(batch_problems(existing, fresh)) if check_chain else problems
+    if not problems.isEmpty():
         return {"committed": False, "problems": problems}
     write_batch(fresh, root, table, batch_id)
     commit_batch(spark, root, batch_id)

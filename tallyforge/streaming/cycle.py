@@ -23,18 +23,25 @@ def reject_backdated(batch: DataFrame, previous_known_at: datetime | None, known
 
 
 def run_cycle_batch(batch: DataFrame, batch_id: int, root: str, known_at: datetime, valid_at: date) -> None:
-    """One cycle over one micro-batch. Every write overwrites its own batch folder, so a replay is harmless."""
+    """One cycle over one micro-batch. A committed batch stays as it is and every other write overwrites its own folder, so a replay is harmless.
+
+    A batch that breaks the chain or collides is refused whole: its problems are written and nothing else happens.
+    """
     spark = batch.sparkSession
     cycles = _read(spark, f"{root}/cycles", CYCLES).where(F.col("batch_id") < batch_id)
     previous = cycles.agg(F.max("known_at")).first()[0]
     good, refused = reject_backdated(batch, previous, known_at)
     refused.write.mode("overwrite").parquet(f"{root}/rejects/run={batch_id}")
-    append_ledger(spark, root, "revisions", CYCLE_REVISIONS, good, f"b{batch_id}", check_chain=False)
+    done = append_ledger(spark, root, "revisions", CYCLE_REVISIONS, good, f"b{batch_id}")
+    if not done["committed"]:
+        done["problems"].write.mode("overwrite").parquet(f"{root}/problems/run={batch_id}")
+        return
     ledger = read_ledger(spark, root, "revisions", CYCLE_REVISIONS).drop("recorded_date")
     changes = claim_diff(ledger, valid_at, previous or datetime(1970, 1, 1), known_at)
     outbox = _read(spark, f"{root}/outbox", T.StructType([*OUTBOX.fields, T.StructField("run", T.LongType())])).where(F.col("run") < batch_id).drop("run")
-    fresh, _ = enqueue_notifications(notification_events(changes, F.lit(known_at).cast("timestamp")), outbox)
+    fresh, collisions = enqueue_notifications(notification_events(changes, F.lit(known_at).cast("timestamp")), outbox)
     fresh.write.mode("overwrite").parquet(f"{root}/outbox/run={batch_id}")
+    collisions.write.mode("overwrite").parquet(f"{root}/collisions/run={batch_id}")
     done = spark.range(1).select(F.lit(known_at).cast("timestamp").alias("known_at"), F.lit(batch_id).cast("bigint").alias("batch_id"))
     done.coalesce(1).write.mode("overwrite").parquet(f"{root}/cycles/run={batch_id}")
 

@@ -20,11 +20,11 @@ def notification_events(alerts: DataFrame, created_at) -> DataFrame:
 
 
 def enqueue_notifications(events: DataFrame, outbox: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New events, and events whose id is known with another payload (violations)."""
+    """New events, and events whose id is known or comes twice with another payload (violations, not stored)."""
     once = events.dropDuplicates(["event_id", "payload_sha256"])
     known = outbox.select("event_id", F.col("payload_sha256").alias("_known"))
-    fresh = once.dropDuplicates(["event_id"]).join(known, "event_id", "left_anti")
     within = once.groupBy("event_id").agg(F.count("*").alias("_n")).where("_n > 1").select("event_id")
+    fresh = once.join(known, "event_id", "left_anti").join(within, "event_id", "left_anti")
     against = once.join(known, "event_id").where(F.col("_known") != F.col("payload_sha256")).select("event_id")
     return fresh, against.union(within).distinct()
 
