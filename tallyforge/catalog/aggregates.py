@@ -301,22 +301,24 @@ def t4_oldest_pending(t):
     return out.select("event_id", F.date_format("created_at", "yyyy-MM-dd").alias("ts_text"), "event_type")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'high' WHEN 'view' THEN 'medium' ELSE 'info' END AS severity,
- event_type AS type, 'user.' || user_id AS path FROM events""")
+@query("""SELECT event_id, severity, type, path, row_number() OVER (ORDER BY rank, type, path, event_id) AS position FROM (SELECT event_id,
+ CASE event_type WHEN 'error' THEN 'critical' WHEN 'signup' THEN 'high' WHEN 'view' THEN 'medium' ELSE 'info' END AS severity,
+ CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS rank, event_type AS type, 'user.' || user_id AS path FROM events)""")
 def t2_order_alerts(t):
     kind = F.col("event_type")
     severity = F.when(kind == "error", "critical").when(kind == "signup", "high").when(kind == "view", "medium").otherwise("info")
     alerts = t.events.select("event_id", severity.alias("severity"), kind.alias("type"), F.concat(F.lit("user."), "user_id").alias("path"), F.col("event_id").alias("id"))
-    return O.order_alerts(alerts).drop("id")
+    return O.with_position(O.order_alerts(alerts)).drop("id")
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, o_orderstatus AS form FROM orders""")
+@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, o_orderstatus AS form,
+ row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderdate, o_custkey, o_orderkey) AS position FROM orders""")
 def t5_order_filings(t):
     f = t.orders.select(
         "o_orderkey", F.to_date("o_orderdate").cast("string").alias("filing_date"), F.col("o_orderstatus").alias("form"),
         F.col("o_orderdate").alias("acceptance_datetime"), F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("accession_number"),
     )
-    return O.order_filings(f).select("o_orderkey", "filing_date", "form")
+    return O.with_position(O.order_filings(f)).select("o_orderkey", "filing_date", "form", "position")
 
 
 CUTOFFS = [

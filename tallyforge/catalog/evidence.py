@@ -207,11 +207,11 @@ TERMS = [
 
 def indexed(t):
     text = normalize_ws("text")
-    docs = t.documents.where(F.char_length(F.lower("text")) == F.char_length("text")).select("doc_id", text.alias("text"))
+    docs = t.documents.select("doc_id", text.alias("text"))
     return D.index_terms(docs, "doc_id", "text", TERMS, 12, 25)
 
 
-INDEX = r"""d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE length(lower(text)) = length(text)),
+INDEX = r"""d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
  t AS (SELECT * FROM (VALUES ('and', 'and'), ('tion', 'tion'), ('the', 'the '), ('absent', 'zzqx')) AS v(term_id, literal)),
  c AS (SELECT doc_id, text, term_id, literal, string_split(lower(text), literal) AS parts FROM d, t),
  n AS (SELECT doc_id, text, term_id, len(parts) - 1 AS n FROM c)"""
@@ -233,38 +233,51 @@ def co24_document_term_counts(t):
     return out.select("doc_id", "hit_count", "truncated_hit_count", F.concat_ws("|", "matched_term_ids").alias("matched_terms"), "character_count", "word_count")
 
 
-@query()
+_TAG = r"""<script\b[^>]*>.*?(?:</script\s*>|$)|<style\b[^>]*>.*?(?:</style\s*>|$)|<noscript\b[^>]*>.*?(?:</noscript\s*>|$)|<!--.*?(?:-->|$)|</?[a-z!?](?:[^>"\x27]|"[^"]*"|\x27[^\x27]*\x27)*>"""
+VISIBLE = rf"""v AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '{_TAG}', ' ', 'gis'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{{A0}}]+', ' ', 'g')) AS text FROM pages)"""
+
+
+@query(f"WITH {VISIBLE} SELECT * FROM v")
 def s8_visible_text(t):
     return t.pages.select("page_id", visible_text("html").alias("text"))
 
 
-@query()
+@query(f"""WITH {VISIBLE}, t AS (SELECT * FROM (VALUES ('and', 'and'), ('tion', 'tion'), ('the', 'the '), ('absent', 'zzqx')) AS x(term_id, literal)),
+ n AS (SELECT page_id, text, term_id, len(string_split(lower(text), literal)) - 1 AS n FROM v, t)
+SELECT page_id, CAST(sum(least(n, 25)) AS BIGINT) AS hit_count, CAST(sum(greatest(n - 25, 0)) AS BIGINT) AS truncated_hit_count,
+ coalesce(string_agg(CASE WHEN n > 0 THEN term_id END, '|' ORDER BY term_id), '') AS matched_term_ids, length(any_value(text)) AS character_count,
+ CASE WHEN any_value(text) = '' THEN 0 ELSE len(string_split(any_value(text), ' ')) END AS word_count FROM n GROUP BY page_id""")
 def s8_visible_text_terms(t):
     pages = t.pages.select("page_id", visible_text("html").alias("text"))
     return D.index_terms(pages, "page_id", "text", TERMS, 12, 25)["documents"].withColumn("matched_term_ids", F.concat_ws("|", "matched_term_ids"))
 
 
 def anchor_inputs(t):
+    """Spans of ten characters that start anywhere in a text, the last ones beyond its end."""
     texts = t.documents.select(F.col("doc_id").alias("accession_number"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("retrieved_at"))
-    following = t.documents.select((F.col("doc_id") - 1).alias("accession_number"), F.substring("text", 6, 10).alias("other"))
-    own = t.documents.select(F.col("doc_id").alias("accession_number"), F.substring("text", 6, 10).alias("own"), "lang")
+    following = t.documents.select((F.col("doc_id") - 1).alias("accession_number"), F.col("text").alias("other"))
+    start = (F.col("doc_id") * 37 % F.greatest(F.char_length("text"), F.lit(1))).cast("int")
+    own = t.documents.select(F.col("doc_id").alias("accession_number"), "text", start.alias("start"), "lang")
+    part = lambda text: F.substring(F.col(text), F.col("start") + 1, F.lit(10))
     specs = own.join(following, "accession_number", "left").select(
-        F.col("accession_number").alias("spec_id"), "accession_number", F.lit(5).alias("character_start"), F.lit(15).alias("character_end"),
-        F.when(F.col("lang") == "en", F.col("own")).otherwise(F.coalesce("other", F.lit(""))).alias("expected_text"),
+        F.col("accession_number").alias("spec_id"), "accession_number", F.col("start").alias("character_start"), (F.col("start") + 10).alias("character_end"),
+        F.when(F.col("lang") == "en", part("text")).otherwise(F.coalesce(part("other"), F.lit(""))).alias("expected_text"),
     )
     return texts, specs
 
 
-ANCHOR = """x AS (SELECT d.doc_id, length(d.text) AS n, substring(d.text, 6, 10) AS own, CASE WHEN d.lang = 'en' THEN substring(d.text, 6, 10) ELSE coalesce(substring(e.text, 6, 10), '') END AS want
-  FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"""
+ANCHOR = """s AS (SELECT *, CAST(doc_id * 37 % greatest(length(text), 1) AS INTEGER) AS start FROM documents),
+  x AS (SELECT d.doc_id, length(d.text) AS n, d.start, substring(d.text, d.start + 1, 10) AS own, CASE WHEN d.lang = 'en' THEN substring(d.text, d.start + 1, 10) ELSE coalesce(substring(e.text, d.start + 1, 10), '') END AS want
+  FROM s d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"""
 
 
-@query(f"WITH {ANCHOR} SELECT doc_id AS spec_id, CASE WHEN n < 15 THEN 'anchor_exceeds_document' ELSE 'anchor_mismatch' END AS problem FROM x WHERE n < 15 OR own <> want")
+@query(f"WITH {ANCHOR} SELECT doc_id AS spec_id, CASE WHEN n < start + 10 THEN 'anchor_exceeds_document' ELSE 'anchor_mismatch' END AS problem FROM x WHERE n < start + 10 OR own <> want")
 def co25_anchor_problems(t):
     return D.anchor_claims(*anchor_inputs(t), F.lit("2024-02-01").cast("timestamp"))[1]
 
 
-@query(f"WITH {ANCHOR} SELECT doc_id AS spec_id, 'sec-filing-' || doc_id AS source_id, want AS expected_text FROM x WHERE n >= 15 AND own = want")
+@query(f"WITH {ANCHOR} SELECT doc_id AS spec_id, 'sec-filing-' || doc_id AS source_id, want AS expected_text FROM x WHERE n >= start + 10 AND own = want")
 def co25_anchor_claims(t):
     return D.anchor_claims(*anchor_inputs(t), F.lit("2024-02-01").cast("timestamp"))[0].select("spec_id", "source_id", "expected_text")
 

@@ -280,19 +280,21 @@ def u5_common_keys(t):
     return S.common_keys(big.where("event_type = 'error'"), big.where("event_type = 'purchase'"), ["user_id"])
 
 
-@query("""SELECT l_suppkey, l_linenumber AS constraint_id, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""SELECT *, row_number() OVER (ORDER BY l_suppkey, n DESC, constraint_id) AS position
+FROM (SELECT l_suppkey, l_linenumber AS constraint_id, count(*) AS n FROM lineitem GROUP BY ALL)""")
 def t1_order_bottlenecks(t):
     counts = t.lineitem.groupBy("l_suppkey", F.col("l_linenumber").alias("constraint_id")).agg(F.count("*").alias("probability"))
-    return O.order_bottlenecks(counts, "l_suppkey").withColumnRenamed("probability", "n")
+    return O.with_position(O.order_bottlenecks(counts, "l_suppkey")).withColumnRenamed("probability", "n")
 
 
-@query(f"""SELECT p_partkey AS parameter, p_brand AS owner, {sq("p_retailprice / 2000.0 * (1 - p_size / 100.0)")} AS research_priority FROM part""")
+@query(f"""SELECT *, row_number() OVER (ORDER BY research_priority DESC, owner, parameter) AS position
+FROM (SELECT p_partkey AS parameter, p_brand AS owner, {sq("p_retailprice / 2000.0 * (1 - p_size / 100.0)")} AS research_priority FROM part)""")
 def t3_order_research_queue(t):
     rows = t.part.select(
         F.col("p_partkey").alias("parameter"), F.col("p_brand").alias("owner"),
         settle(F.col("p_retailprice") / 2000.0 * (1 - F.col("p_size") / 100.0)).alias("research_priority"),
     )
-    return O.order_research_queue(rows, ["owner"])
+    return O.with_position(O.order_research_queue(rows, ["owner"]))
 
 
 @query("""WITH n AS (SELECT event_id, user_id, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)

@@ -234,11 +234,14 @@ def st3_normalize_ws(t):
     )
 
 
-@query("""SELECT doc_id, substring(text, 21, least(60, length(text)) - 20) AS around FROM documents WHERE length(text) >= 50""")
+@query("""SELECT doc_id, part, substring(text, greatest(s - 10, 0) + 1, least(least(s + 20, n) + 10, n) - greatest(s - 10, 0)) AS around
+FROM (SELECT doc_id, text, length(text) AS n, unnest([0, length(text) // 2, length(text)]) AS s, unnest(['first', 'middle', 'last']) AS part FROM documents)""")
 def st4_snippet(t):
-    return t.documents.where(F.char_length("text") >= 50).select(
-        "doc_id", X.snippet("text", F.lit(30), F.lit(50), 10).alias("around")
-    )
+    """Spans at the start, in the middle and at the end of every text."""
+    n = F.char_length("text")
+    spans = F.array(*[F.struct(F.lit(name).alias("part"), at.cast("int").alias("s")) for name, at in (("first", F.lit(0)), ("middle", F.floor(n / 2)), ("last", n))])
+    placed = t.documents.select("doc_id", "text", F.inline(spans))
+    return placed.select("doc_id", "part", X.snippet("text", F.col("s"), F.least(F.col("s") + 20, n), 10).alias("around"))
 
 
 @query(f"""SELECT o_orderkey, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/'
@@ -251,14 +254,13 @@ def st5_filing_url(t):
     )
 
 
-@query("""WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS parts FROM documents WHERE length(lower(text)) = length(text)),
+@query("""WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS parts FROM documents),
   e AS (SELECT doc_id, unnest(parts[1:len(parts) - 1]) AS piece, unnest(range(1, len(parts))) AS occurrence FROM p)
 SELECT doc_id, CAST(occurrence AS INTEGER) AS occurrence,
   CAST(sum(length(piece) + 4) OVER (PARTITION BY doc_id ORDER BY occurrence) - 4 AS INTEGER) AS character_start,
   CAST(sum(length(piece) + 4) OVER (PARTITION BY doc_id ORDER BY occurrence) AS INTEGER) AS character_end FROM e""")
 def st6_literal_positions(t):
-    docs = t.documents.where(F.char_length(F.lower("text")) == F.char_length("text"))
-    return docs.select("doc_id", F.inline(X.literal_spans("text", F.lit("TION"))))
+    return t.documents.select("doc_id", F.inline(X.literal_spans("text", F.lit("TION"))))
 
 
 @query("""SELECT p_partkey, p_brand || '|' || p_type || '|' || p_name AS joined, 3 AS id_count FROM part""")
@@ -267,13 +269,16 @@ def st7_join_split_ids(t):
     return t.part.select("p_partkey", joined.alias("joined"), F.size(X.split_ids(F.concat(joined, F.lit("||")))).alias("id_count"))
 
 
-@query("""SELECT d.doc_id, substring(d.text, 11, 20) = coalesce(substring(n.text, 11, 20), '') AS anchored
-FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1""")
+@query("""SELECT doc_id, substring(text, s + 1, 20) = CASE WHEN doc_id % 2 = 0 THEN substring(text, s + 1, 20) ELSE coalesce(substring(other, s + 1, 20), '') END AS anchored
+FROM (SELECT d.doc_id, d.text, n.text AS other, d.doc_id * 37 % greatest(length(d.text), 1) AS s FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)""")
 def st8_anchor_matches(t):
-    other = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 11, 20).alias("expected"))
+    """Spans that start anywhere in a text, held against the text itself or the next one."""
+    other = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     joined = t.documents.select("doc_id", "text").join(other, "doc_id", "left")
-    expected = F.coalesce("expected", F.lit(""))
-    return joined.select("doc_id", X.anchor_matches("text", F.lit(10), F.lit(30), expected).alias("anchored"))
+    joined = joined.withColumn("s", (F.col("doc_id") * 37 % F.greatest(F.char_length("text"), F.lit(1))).cast("int"))
+    held = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("other"))
+    expected = F.coalesce(F.substring(held, F.col("s") + 1, F.lit(20)), F.lit(""))
+    return joined.select("doc_id", X.anchor_matches("text", F.col("s"), F.col("s") + 20, expected).alias("anchored"))
 
 
 @query("""SELECT page_id, CASE WHEN url LIKE '%com%' THEN 'text/html' WHEN url LIKE '%net%' THEN 'application/pdf'

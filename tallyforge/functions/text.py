@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .maths import col
 
@@ -33,6 +28,9 @@ MEDIA_TYPES = {
 # Fixed value: base of the public filing archive.
 ARCHIVE_BASE = "https://www.sec.gov/Archives/edgar/data"
 
+# Named character references that markup itself needs; the ampersand last, as it begins all others.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+
 # Tags whose content is not visible text.
 HIDDEN_TAGS = ("script", "style", "noscript")
 
@@ -139,34 +137,24 @@ def evidence_kind_from_source(kind) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(kind)), F.lit("other"))
 
 
-class _TextCollector(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden = 0
-        self.pieces = []
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in HIDDEN_TAGS
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN_TAGS:
-            self.hidden = max(self.hidden - 1, 0)
+def decode_entities(text) -> Column:
+    """Character references as the characters they stand for: the named ones of markup itself, and all numbered ones."""
+    out = col(text)
+    for pattern, digits, base in ((r"&#(\d{1,7});?", r"&#\d{1,7};?", 10), (r"&#[xX]([0-9A-Fa-f]{1,6});?", r"&#[xX][0-9A-Fa-f]{1,6};?", 16)):
+        codes = F.regexp_extract_all(out, F.lit(pattern), F.lit(1))
+        signs = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32"))
+        put = F.array_join(F.flatten(F.zip_with(F.split(out, digits, -1), signs, lambda piece, sign: F.array(piece, F.coalesce(sign, F.lit(""))))), "")
+        out = F.when(out.rlike(digits), put).otherwise(out)
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
 
-    def handle_data(self, data):
-        if self.hidden == 0:
-            self.pieces.append(data)
 
+def visible_text(html) -> Column:
+    """The text a reader of the page sees: no hidden blocks, comments or tags, references decoded, white space collapsed.
 
-def _strip_markup(html: str | None) -> str | None:
-    if html is None:
-        return None
-    collector = _TextCollector()
-    collector.feed(html)
-    collector.close()
-    return re.sub(r"\s+", " ", " ".join(collector.pieces)).strip()
-
-
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Visible text of a page: markup needs a tokenizer, so this is the one Arrow UDF."""
-    return html.map(_strip_markup)
+    A tag ends at the first ``>`` outside quotes and parts words, as browsers break lines there.
+    """
+    hidden = "|".join(rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)" for tag in HIDDEN_TAGS)
+    markup = rf"(?is){hidden}|<!--.*?(?:-->|$)|</?[a-z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    return normalize_ws(decode_entities(F.regexp_replace(col(html), markup, " ")))

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.session import shared_dir
+
 # Alert severities, most urgent first.
 SEVERITY_ORDER = {"critical": 0, "high": 1, "medium": 2, "info": 3}
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The place of each row of a sorted frame, from 1 on.
+
+    The sorted partitions are fixed by a checkpoint; one row per partition then tells how many rows lie before it.
+    """
+    shared_dir(ordered.sparkSession)
+    fixed = ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint()
+    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = fixed.join(sizes.select("_part", "_from", before.alias("_before")), "_part")
+    return placed.select(*ordered.columns, (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias(name))
+
+
 def order_bottlenecks(df: DataFrame, stage: str = "stage_rank", constraint: str = "constraint_id") -> DataFrame:
     return df.orderBy(F.col(stage), F.col("probability").desc(), F.col(constraint))
 
