@@ -7,50 +7,56 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import ascii_lower, row_hash, whole_text, written
 
-#: What separates words once A-Z are lower-cased, as a pattern and as characters.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATOR_CHARS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+#: What separates words, as a pattern and as characters. Letters of either case are word characters here.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATOR_CHARS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased; no words for a null or empty one."""
-    inner = F.btrim(ascii_lower(text), F.lit(SEPARATOR_CHARS))
+    """The words of a text as they are written; no words for a null or empty one."""
+    inner = F.btrim(text, F.lit(SEPARATOR_CHARS))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATORS))
 
 
+def term_of(word: Column) -> Column:
+    """What the index is keyed by: a 64-bit hash of the word in lower case, of all scripts. Words equal after A-Z are lower-cased share a term."""
+    return F.xxhash64(F.lower(word))
+
+
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("row", row_hash("text"))
-    return rows.select("doc_id", "row", words_of(F.col("text")).alias("words"))
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("row", row_hash("text"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings ``term, doc_id, row, pos`` of all terms, or of those in the column ``word`` of ``terms``, as a written table sorted by term.
+    """Postings ``term, doc_id, row, pos`` of all terms, or of those in the column ``term`` of ``terms``, as a written table sorted by term.
 
     ``row`` hashes the text, so that rows sharing an id stay apart.
     """
-    postings = _tokens(docs, id_col, text_col).select("doc_id", "row", F.posexplode("words").alias("pos", "word"))
+    postings = _tokens(docs, id_col, text_col).select("doc_id", "row", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+    postings = postings.select("doc_id", "row", "pos", term_of(F.col("word")).alias("term"))
     if terms is not None:
-        postings = postings.join(terms.select("word").distinct(), "word")
-    return written(postings.select(F.xxhash64("word").alias("term"), "doc_id", "row", "pos").sortWithinPartitions("term"), "postings")
+        postings = postings.join(written(terms.select("term").distinct(), "asked"), "term")
+    return written(postings.select("term", "doc_id", "row", "pos").sortWithinPartitions("term"), "postings")
 
 
 def _anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """The words to look up: of every window the two rarest, as rows ``item_id, words, at, word, windows``.
+    """The words to look up: of every window the two rarest, as rows ``item, at, term, windows``.
 
     ``windows`` lists the places of each window's rarest words. Windows on the same words share them, so an item needs few.
     """
-    placed = items.select("item", F.posexplode("words").alias("at", "word")).join(counts, "word", "left").fillna(0, ["n"])
-    ranked = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "word", "n"))).alias("places"))
+    placed = items.select("item", F.posexplode("words").alias("at", "word")).withColumn("term", term_of(F.col("word")))
+    placed = placed.join(counts, "term", "left").fillna(0, ["n"])
+    ranked = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "term", "n"))).alias("places"))
     n = F.size("places")
     need = F.least(n, F.lit(window))
     starts = F.transform(F.sequence(F.lit(0), n - need), lambda s: F.struct(s.alias("from"), F.slice("places", s + 1, need).alias("in")))
     rarest = F.transform(
         starts,
-        lambda w: F.transform(F.slice(F.array_sort(F.transform(w["in"], lambda p: F.struct(p["n"].alias("n"), F.xxhash64(p["word"]).alias("tie"), p["at"].alias("at")))), 1, 2), lambda p: p["at"]),
+        lambda w: F.transform(F.slice(F.array_sort(F.transform(w["in"], lambda p: F.struct(p["n"].alias("n"), F.xxhash64(p["term"]).alias("tie"), p["at"].alias("at")))), 1, 2), lambda p: p["at"]),
     )
     chosen = ranked.select("item", "places", F.array_distinct(rarest).alias("windows"))
     looked = chosen.select("item", "windows", "places", F.explode(F.array_distinct(F.flatten("windows"))).alias("at"))
-    return looked.select("item", "windows", "at", F.get("places", F.col("at"))["word"].alias("word"))
+    return looked.select("item", "windows", "at", F.get("places", F.col("at"))["term"].alias("term"))
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -62,20 +68,21 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, window: int = 13, id_col
 
     Returns one row per document row: ``doc_id, n_words, spans`` (of struct ``item_id, start, length``, one for each
     window that occurs). Nulls have no words; equal ids with other texts stay apart; extra columns are ignored; items that
-    repeat or share a text each count. Either table may be empty.
+    repeat or share a text each count, and one without an id is not named. Either table may be empty.
     """
-    items = phrases.select(F.col(item_col).cast("string").alias("item"), words_of(whole_text(item_text_col)).alias("words")).filter(F.size("words") > 0)
+    items = phrases.select(F.col(item_col).cast("string").alias("item"), words_of(ascii_lower(whole_text(item_text_col))).alias("words")).filter(F.size("words") > 0)
     # A phrase is named by its words, so that repeated ids and texts are looked up once each.
     items = items.groupBy("words").agg(F.collect_set("item").alias("names")).withColumn("item", F.sha2(F.array_join("words", " "), 256))
-    items = written(items.select("item", "names", "words"), "phrases")
-    terms = written(items.select(F.explode("words").alias("word")).distinct(), "terms")
+    unnamed = F.array(F.lit(None).cast("string"))
+    items = written(items.select("item", F.when(F.size("names") == 0, unnamed).otherwise(F.col("names")).alias("names"), "words"), "phrases")
+    terms = written(items.select(F.explode("words").alias("word")).select(term_of(F.col("word")).alias("term")).distinct(), "terms")
     tokens = _tokens(docs, id_col, text_col)
-    counts = tokens.select(F.explode("words").alias("word")).join(terms, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.select(F.explode(words_of(F.col("text"))).alias("word")).select(term_of(F.col("word")).alias("term"))
+    counts = counts.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     anchors = written(_anchors(items, written(counts, "term-counts"), window), "anchors")
     index = build_index(docs, anchors, id_col, text_col)
 
-    aims = anchors.select("item", "at", F.xxhash64("word").alias("term"))
-    lists = index.join(aims, "term").select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("start"), "at")
+    lists = index.join(anchors.select("item", "at", "term"), "term").select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("start"), "at")
     both = lists.groupBy("doc_id", "row", "item", "start").agg(F.collect_set("at").alias("found"))
     asked = anchors.select("item", "windows").dropDuplicates(["item"]).join(items, "item")
     both = both.join(written(asked, "windows"), "item")
@@ -86,11 +93,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, window: int = 13, id_col
         """The starts of the windows of one phrase that hold, word by word."""
         size = F.size(hit["words"])
         need = F.least(size, F.lit(window))
-        same = F.transform(hit["words"], lambda w, i: F.get("words", hit["start"] + i).eqNullSafe(w))
+        same = F.transform(hit["words"], lambda w, i: ascii_lower(F.get("words", hit["start"] + i)).eqNullSafe(w))
         starts = F.filter(F.sequence(F.lit(0), size - need), lambda s: F.forall(F.slice(same, s + 1, need), lambda x: x))
         return F.flatten(F.transform(starts, lambda s: F.transform(hit["names"], lambda name: F.struct(name.alias("item_id"), (hit["start"] + s).alias("start"), need.alias("length")))))
 
-    out = tokens.join(aimed, tokens["doc_id"].eqNullSafe(aimed["_id"]) & (tokens["row"] == aimed["_row"]), "left")
+    out = tokens.join(aimed, tokens["doc_id"].eqNullSafe(aimed["_id"]) & (tokens["row"] == aimed["_row"]), "left").withColumn("words", words_of(F.col("text")))
     none = F.array().cast("array<struct<item_id:string,start:int,length:int>>")
     return out.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.flatten(F.transform("aimed", runs)), none).alias("spans"))
 
@@ -99,7 +106,7 @@ def contamination(docs: DataFrame, phrases: DataFrame, window: int = 13, hit_sha
     """Per document row: ``doc_id, n_words, n_hit, items, contaminated, spans``; contaminated when a word is hit and ``hit_share * n_hit >= n_words``."""
     found = phrase_matches(docs, phrases, window, **columns)
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    found = found.withColumns({"n_hit": F.size(F.array_distinct(places)).cast("long"), "items": F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))})
+    found = found.withColumns({"n_hit": F.size(F.array_distinct(places)).cast("long"), "items": F.array_sort(F.array_compact(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))))})
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(hit_share) * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -113,15 +120,16 @@ def clean_documents(docs: DataFrame, phrases: DataFrame, **options) -> DataFrame
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, within: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Places where all distinct terms of a phrase stand within ``within`` words, in any order, around its rarest term.
+    Terms are compared in lower case.
 
     Rows ``item_id, doc_id, anchor`` (the word position of the rarest term). Each list is cut into blocks of ``within``
     words, and only neighbouring blocks meet. A phrase with more distinct terms than ``within`` has no match.
     """
-    items = phrases.select(F.col(item_col).cast("string").alias("item_id"), F.explode(F.array_distinct(words_of(whole_text(item_text_col)))).alias("word"))
-    items = items.withColumn("term", F.xxhash64("word"))
+    items = phrases.select(F.col(item_col).cast("string").alias("item_id"), F.explode(words_of(whole_text(item_text_col))).alias("word"))
+    items = items.select("item_id", term_of(F.col("word")).alias("term")).distinct()
     index = build_index(docs, items, id_col, text_col)
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    terms = items.distinct().join(counts, "term", "left").fillna(0, ["n"])
+    terms = items.join(counts, "term", "left").fillna(0, ["n"])
     sizes = terms.groupBy("item_id").agg(F.min_by("term", F.struct("n", "term")).alias("rarest"), F.count(F.lit(1)).alias("need"))
     doc = ["doc_id", "row"]
     near = index.withColumn("block", F.floor(F.col("pos") / within))
