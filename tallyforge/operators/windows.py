@@ -55,7 +55,7 @@ def water_fill(
     """
     active = (F.col(weight) > 0) & (F.col(cap) > 0)
     ratio = F.col(cap) / F.col(weight)
-    total = F.greatest(F.col("total"), F.lit(0.0))
+    total = F.when(F.col("total").isNotNull(), F.greatest(F.col("total"), F.lit(0.0)))
     if bounded:
         w = Window.partitionBy(*group)
         by_ratio = w.orderBy("_ratio")

@@ -6,6 +6,7 @@ import math
 import random
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,96 @@ def test_sampled_values_share_a_correlation_group(spark):
     assert any(out["a", i] != out["c", i] for i in range(400))
     assert all(out["d", i] == 3.0 for i in range(400))
     assert math.isclose(sum(out["c", i] for i in range(400)) / 400, 1.0, abs_tol=0.1)
+
+
+def _fill_by_hand(demand, weight, capacity, need):
+    """Round by round on plain floats, until nobody is active."""
+    output = [0.0] * len(demand)
+    active = {p for p in range(len(demand)) if demand[p] > 0 and weight[p] > 0}
+    used = lambda r: sum(need[p][r] * output[p] for p in range(len(demand)))
+    while active:
+        steps = [(demand[p] - output[p]) / weight[p] for p in active]
+        for r in range(len(capacity)):
+            pull = sum(need[p][r] * weight[p] for p in active)
+            if pull > 1e-10:
+                steps.append(max(0.0, capacity[r] - used(r)) / pull)
+        step = max(0.0, min(steps))
+        for p in active:
+            output[p] = min(demand[p], output[p] + weight[p] * step)
+        leaving = {p for p in active if demand[p] - output[p] <= 1e-10 * max(1.0, demand[p])}
+        for r in range(len(capacity)):
+            if capacity[r] - used(r) <= 1e-10 * max(1.0, capacity[r]):
+                leaving |= {p for p in active if need[p][r] > 0}
+        if not leaving and step <= 1e-10:
+            break
+        active -= leaving
+    return output
+
+
+@pytest.mark.parametrize("scale", [1e2, 1e4, 1e6, 1e8])
+def test_fill_goes_on_until_nobody_is_active(scale):
+    from tallyforge.plans.capacity import _fill_stage
+
+    draw = np.random.RandomState(int(np.log10(scale)))
+    demand = draw.rand(1500, 5) * scale * 0.6
+    weight, capacity = draw.rand(1500, 5) * 3 + 0.01, draw.rand(1500, 3) * scale
+    need = draw.rand(1500, 5, 3) * (draw.rand(1500, 5, 3) < 0.6)
+    filled, _ = _fill_stage(demand, weight, capacity, need, 1e-10)
+    wanted = np.array([_fill_by_hand(list(d), list(w), list(c), n.tolist()) for d, w, c, n in zip(demand, weight, capacity, need)])
+    assert np.abs(filled - wanted).max() <= 1e-6 * scale
+    assert (np.einsum("gpr,gp->gr", need, filled) <= capacity * (1 + 1e-9)).all()
+
+
+def test_fill_keeps_groups_without_pools(spark):
+    from tallyforge.plans.capacity import chain_fill, fill_groups
+
+    platforms = spark.createDataFrame([(1, "a", 5.0, 1.0), (2, "a", 5.0, 1.0)], "g long, platform_id string, demand double, weight double")
+    pools = spark.createDataFrame([(1, 1, "p", 2.0)], "g long, stage_rank int, pool_id string, capacity double")
+    needs = spark.createDataFrame([(1, "a", "p", 1.0)], "g long, platform_id string, pool_id string, units double")
+    got = chain_fill(fill_groups(platforms, pools, needs, ["g"]), ["g"], [1]).collect()
+    assert {r.g: (r.output, r.blockers) for r in got} == {1: (2.0, ["p"]), 2: (5.0, [])}
+
+
+def test_water_fill_without_total_is_the_same_in_both_forms(spark):
+    from tallyforge.operators.windows import water_fill
+
+    rows = spark.createDataFrame([(1, 5.0), (1, 7.0), (2, 7.0)], "g long, cap double").selectExpr("*", "1.0D AS weight")
+    totals = spark.createDataFrame([(1, 2.0)], "g long, total double")
+    results = [sorted(map(tuple, water_fill(rows, totals, ["g"], "weight", "cap", bounded=b).collect())) for b in (True, False)]
+    assert results[0] == results[1] and (2, 7.0, 1.0, 7.0) in results[0]
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    from tallyforge.schemas import table as schema_of
+    from tallyforge.sources import ledger
+
+    schema = schema_of(claim_key="bigint", revision_id="bigint", recorded_at="timestamp", value="double", supersedes_revision_id="bigint")
+    rows = spark.createDataFrame([(1, 10, datetime(2024, 1, 1), 1.0, None), (1, 11, datetime(2024, 1, 2), 2.0, 10)], schema)
+    root = str(tmp_path / "ledger")
+    append = lambda df, name: ledger.append_ledger(spark, root, "revisions", schema, df, name)
+    ledger.write_batch(rows.limit(1), root, "revisions", "b1")  # written, but the job ended before it was committed
+    assert ledger.read_ledger(spark, root, "revisions", schema).count() == 0
+    for _ in range(3):
+        assert append(rows, "b1")["committed"]
+        assert ledger.read_ledger(spark, root, "revisions", schema).count() == 2
+    changed = append(rows.withColumn("value", F.lit(9.0)), "b2")
+    assert not changed["committed"] and {r.code for r in changed["problems"].collect()} == {"revision_collision"}
+    assert append(rows, "b3")["committed"] and ledger.read_ledger(spark, root, "revisions", schema).count() == 2
+
+
+def test_visible_text_rules(spark):
+    from tallyforge.functions.text import visible_text
+
+    page = "<style>p{}</style>A&amp;B <!-- x > y --><b title='a>b'>bold</b>&#233;&#x1F600;&lt;i&gt;<script>1 < 2</script> 3 < 4 &nbsp; end<noscript>no"
+    rows = spark.createDataFrame([(page,), (None,), ("",)], "html string").select(visible_text("html").alias("t")).collect()
+    assert [r.t for r in rows] == ["A&B bold é😀<i> 3 < 4 end", None, ""]
+
+
+def test_required_keys(spark, tmp_path):
+    from tallyforge.schemas import table as schema_of
+    from tallyforge.sources.readers import read_jsonl
+
+    (tmp_path / "a.jsonl").write_text('{"key": 1}\n{"key": 2, "nation": 3}\n{"nation": 1}\n')
+    rows, rejects = read_jsonl(spark, f"file://{tmp_path}/a.jsonl", schema_of(("key", "nation"), key="bigint", nation="int"))
+    assert [tuple(r) for r in rows.collect()] == [(2, 3)]
+    assert sorted(r.reason for r in rejects.collect()) == ["missing_fields:key", "missing_fields:nation"]
