@@ -83,10 +83,12 @@ CLOSURE = """edges AS (SELECT event_id AS claim_id, event_id // 2 AS depends_on
    UNION ALL SELECT seed_id, depends_on, depth + 1 FROM walk JOIN edges USING (claim_id))"""
 
 
-@query(f"WITH RECURSIVE {CLOSURE} SELECT seed_id, claim_id, depth, false AS reaches_itself, false AS missing FROM walk")
+@query(f"""WITH RECURSIVE {CLOSURE} SELECT seed_id, claim_id, depth, false AS reaches_itself, false AS missing FROM walk
+WHERE seed_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')""")
 def j13_claim_closure(t):
+    """Purchases are the selected claims."""
     nodes = t.events.select(F.col("event_id").alias("claim_id"))
-    seeds = t.events.select(F.col("event_id").alias("seed_id"))
+    seeds = t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("seed_id"))
     return J.claim_closure(dependency_edges(t), seeds, nodes)
 
 
@@ -94,9 +96,7 @@ def j13_claim_closure(t):
 SELECT e.event_id AS claim_id, u.user_id AS document_id, u.n AS document_rows FROM events e JOIN chosen ON chosen.claim_id = e.event_id
 LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) u ON u.user_id = e.user_id WHERE e.event_type IN ('view', 'click')""")
 def j6_supporting_evidence(t):
-    nodes = t.events.select(F.col("event_id").alias("claim_id"))
-    seeds = t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("seed_id"))
-    closure = J.claim_closure(dependency_edges(t), seeds, nodes)
+    closure = J.reached_claims(dependency_edges(t), t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("seed_id")))
     evidence = t.events.select(
         F.col("event_id").alias("claim_id"), F.col("user_id").alias("document_id"),
         F.when(F.col("event_type").isin("view", "click"), "support").otherwise("contrast").alias("role"),
@@ -314,7 +314,7 @@ def p3_flatten_paths(t):
     )
     source = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     docs = source.select("event_id", F.parse_json(document).alias("document"))
-    out = P.flatten_paths(docs, ["event_id"], "document", ["low", "base"], 4)
+    out = P.flatten_paths(docs, ["event_id"], "document", ["low", "base"])
     return out.select("event_id", "path", F.variant_get("node", "$.base", "double").alias("base"))
 
 

@@ -62,8 +62,8 @@ def changed_or_missing(current: DataFrame, previous: DataFrame, key: str, fields
 
 
 def supporting_evidence(evidence: DataFrame, closure: DataFrame, documents: DataFrame) -> DataFrame:
-    """Support rows whose claim is in the closure, with their source document."""
-    support = evidence.where(F.col("role") == "support").join(closure.select("claim_id").distinct(), "claim_id", "left_semi")
+    """Support rows whose claim is in the closure (a ``claim_id`` column), with their source document."""
+    support = evidence.where(F.col("role") == "support").join(closure.select("claim_id"), "claim_id", "left_semi")
     return support.join(documents, "document_id", "left")
 
 
@@ -145,27 +145,42 @@ def align_draws(source: DataFrame, keys: list[str], seed: int, index: str = "dra
     return numbered.withColumn("target_index", F.col("_position") - 1).drop("_h", "_position")
 
 
-def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """All claims each seed depends on: ``(seed_id, claim_id, depth, reaches_itself, missing)``.
+def _levels(start: DataFrame, edges: DataFrame, keys: list[str]) -> str:
+    """Walk ``edges`` from the rows of ``start`` until nothing new is reached; the folder with one partition per depth.
 
-    ``edges(claim_id, depends_on)``. One join round per level over all seeds at once. Each new
-    frontier becomes a partition of a table in the shared folder, so a lost executor costs one level
-    at most and the pairs seen so far are a plain scan.
+    A round joins the newest level only and drops what an earlier one holds. Each level is written to the shared folder, so
+    a lost executor costs one level at most. Rows already seen are never taken again, so cycles end.
     """
-    spark = edges.sparkSession
+    spark = start.sparkSession
     root = scratch_path(spark, "closure")
-    start = seeds.select("seed_id", F.col("seed_id").alias("claim_id")).distinct()
-    start.write.parquet(f"{root}/depth=0")
-    schema = T.StructType(start.schema.fields)
-    for depth in range(1, max_rounds + 1):
-        frontier = spark.read.schema(schema).parquet(f"{root}/depth={depth - 1}")
+    start.select(*keys).distinct().write.parquet(f"{root}/depth=0")
+    schema = T.StructType([start.schema[k] for k in keys])
+    depth = 0
+    while True:
+        frontier = spark.read.schema(schema).parquet(f"{root}/depth={depth}")
         if frontier.isEmpty():
-            break
-        visited = spark.read.schema(schema).parquet(*[f"{root}/depth={d}" for d in range(depth)])
-        step = frontier.join(edges, "claim_id").select("seed_id", F.col("depends_on").alias("claim_id")).distinct()
-        step.join(visited, ["seed_id", "claim_id"], "left_anti").write.parquet(f"{root}/depth={depth}")
-    else:
-        raise ValueError("claim dependencies are deeper than max_rounds")
+            return root
+        visited = spark.read.schema(schema).parquet(*[f"{root}/depth={d}" for d in range(depth + 1)])
+        step = frontier.join(edges, "claim_id").drop("claim_id").withColumnRenamed("depends_on", "claim_id").select(*keys).distinct()
+        step.join(visited, keys, "left_anti").write.parquet(f"{root}/depth={depth + 1}")
+        depth += 1
+
+
+def reached_claims(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The distinct ``claim_id`` that any of ``seeds(seed_id)`` depends on, the seeds included; no pairs are built."""
+    root = _levels(seeds.select(F.col("seed_id").alias("claim_id")), edges, ["claim_id"])
+    return edges.sparkSession.read.schema(T.StructType([T.StructField("claim_id", seeds.schema["seed_id"].dataType)])).parquet(root)
+
+
+def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All claims each selected seed depends on: ``(seed_id, claim_id, depth, reaches_itself, missing)``.
+
+    ``edges(claim_id, depends_on)``; ``seeds`` are the selected ids, not the whole table.
+    """
+    spark = edges.sparkSession
+    start = seeds.select("seed_id", F.col("seed_id").alias("claim_id"))
+    schema = T.StructType(start.schema.fields)
+    root = _levels(start, edges, ["seed_id", "claim_id"])
     reached = spark.read.schema(T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])).parquet(root)
     known = nodes.select("claim_id", F.lit(True).alias("_known"))
     cyclic = (

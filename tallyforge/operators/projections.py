@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions.maths import col
+from tallyforge.session import scratch_path
 
 from .aggregates import SUMMARY_FIELDS
 
@@ -24,38 +26,37 @@ def _labelled(value: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(value, f"$.{n}", "string") for n in names])
 
 
-def flatten_paths(df: DataFrame, keys: list[str], document: str, required: list[str], max_depth: int = 8) -> DataFrame:
+def flatten_paths(df: DataFrame, keys: list[str], document: str, required: list[str]) -> DataFrame:
     """Walk a JSON document (VARIANT) and return ``(keys, path, node)`` of nodes with all required keys.
 
     A matching node is not searched further. List items are labelled by their id, else by position.
-    Every level is one ``variant_explode_outer`` in a single narrow chain: found nodes ride along. A
-    container left open at ``max_depth`` fails the job.
+    Each level opens the containers that the last one left, and is written to the shared folder; a
+    node leaves the walk as soon as it is found. The walk ends with the deepest document.
     """
+    spark = df.sparkSession
+    root = scratch_path(spark, "paths")
     has_all = F.schema_of_variant("node").startswith("OBJECT")
     for name in required:
         has_all = has_all & F.try_variant_get("node", f"$.{name}", "variant").isNotNull()
     container = F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")
-    level = df.select(*keys, F.lit("").alias("path"), F.col(document).alias("node"), F.lit(False).alias("_found"))
-    for _ in range(max_depth):
-        judged = level.withColumn("_found", F.col("_found") | F.coalesce(has_all, F.lit(False)))
-        judged = judged.where(F.col("_found") | container)
-        opened = F.when(~F.col("_found"), F.col("node"))
-        spread = judged.withColumn("_open", opened).lateralJoin(
-            df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).select(
-                F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")
-            )
-        )
+    level = df.select(*keys, F.lit("").alias("path"), F.col(document).alias("node"))
+    schema = T.StructType([*level.schema.fields, T.StructField("found", T.BooleanType())])
+    depth = 0
+    while True:
+        judged = level.withColumn("found", F.coalesce(has_all, F.lit(False)))
+        judged.where(F.col("found") | container).write.parquet(f"{root}/depth={depth}")
+        level = spark.read.schema(schema).parquet(f"{root}/depth={depth}").where("not found")
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(root).where("found").select(*keys, "path", "node")
+        spread = level.lateralJoin(
+            spark.tvf.variant_explode_outer(F.col("node").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
+        ).where(F.col("_value").isNotNull())
         label = F.coalesce(_labelled(F.col("_value")), F.col("_pos").cast("string"))
         inner = F.when(F.col("_key").isNull(), F.concat(F.col("path"), F.lit("["), label, F.lit("]"))).otherwise(
             F.concat(F.col("path"), F.when(F.col("path") == "", F.lit("")).otherwise(F.lit(".")), F.col("_key"))
         )
-        level = spread.where(F.col("_found") | F.col("_value").isNotNull()).select(
-            *keys, F.when(F.col("_found"), F.col("path")).otherwise(inner).alias("path"),
-            F.when(F.col("_found"), F.col("node")).otherwise(F.col("_value")).alias("node"), "_found",
-        )
-    last = level.withColumn("_found", F.col("_found") | F.coalesce(has_all, F.lit(False)))
-    too_deep = F.when(~F.col("_found") & container, F.raise_error(F.lit("document is deeper than max_depth")).cast("boolean"))
-    return last.where(F.coalesce(too_deep, F.col("_found"))).select(*keys, "path", "node")
+        level = spread.select(*keys, inner.alias("path"), F.col("_value").alias("node"))
+        depth += 1
 
 
 def flatten_draw_columns(df: DataFrame, draw_keys: list[str], nested: str, fields: list[str]) -> DataFrame:
