@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.maths import col
 
-ROWS_HELD = 10_000  # groups up to this size are read whole when their exact quantiles are taken
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4e-4  # rank share kept on each side of a quantile; the sketch is off by at most 1e-4
 
@@ -90,9 +89,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
 
     ``percentile`` keeps every distinct value of a group in one task. Here a first pass brackets each
     wanted rank with a sketch; a second pass counts the rows below each bracket and keeps only the
-    values inside one (about 0.1 % of a group per quantile, or the whole of a group up to
-    ``ROWS_HELD`` rows). Only those are ranked. A rank outside its bracket fails the job instead of
-    giving a wrong number.
+    values inside one (about 0.1 % of a group per quantile) and the next value on either side, which
+    small groups need. Only those are ranked; they still meet in one task per group. A rank outside
+    its bracket fails the job instead of giving a wrong number.
     """
     over = keys or ["_all"]
     ids = range(len(probabilities))
@@ -100,7 +99,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     base = base if keys else base.withColumn("_all", F.lit(0))
     base = base.select(*over, F.col(value).cast("double").alias("_v"))
     marks = [x for p in probabilities for x in (max(p - BRACKET_MARGIN, 0.0), min(p + BRACKET_MARGIN, 1.0))]
-    small = F.col("n") <= ROWS_HELD
     stats = base.groupBy(*over).agg(
         F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
         F.percentile_approx("_v", marks, SKETCH_ACCURACY).alias("_marks"),
@@ -108,8 +106,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     fixed = ["n", "mean", "minimum", "maximum", *[f"_{end}{i}" for i in ids for end in ("lo", "hi")]]
     ranges = stats.select(
         *over, "n", "mean", "minimum", "maximum",
-        *[F.when(small, F.col("minimum")).otherwise(F.col("_marks")[2 * i]).alias(f"_lo{i}") for i in ids],
-        *[F.when(small, F.col("maximum")).otherwise(F.col("_marks")[2 * i + 1]).alias(f"_hi{i}") for i in ids],
+        *[F.col("_marks")[2 * i].alias(f"_lo{i}") for i in ids],
+        *[F.col("_marks")[2 * i + 1].alias(f"_hi{i}") for i in ids],
     )
     inside = F.lit(False)
     for i in ids:
@@ -120,6 +118,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
         .groupBy(*over, "_in")
         .agg(
             F.count("*").alias("_c"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in ids],
+            *[F.max(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_v"))).alias(f"_before{i}") for i in ids],
+            *[F.min(F.when(F.col("_v") > F.col(f"_hi{i}"), F.col("_v"))).alias(f"_after{i}") for i in ids],
             *[F.first(c).alias(c) for c in fixed],
         )
     )
@@ -136,7 +136,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     def held(i: int, rank: Column) -> Column:
         within = F.col("_in").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
         hit = within & (F.col(f"_upto{i}") - F.col("_c") < rank) & (rank <= F.col(f"_upto{i}"))
-        return F.max(F.when(hit, F.col("_in")))
+        below, inside = F.sum(f"_below{i}"), F.sum(F.when(within, F.col("_c")).otherwise(0))
+        first = F.first(rank)  # the same in all rows of a group
+        beside = F.when(first == below, F.max(f"_before{i}")).when(first == below + inside + 1, F.min(f"_after{i}"))
+        return F.coalesce(F.max(F.when(hit, F.col("_in"))), beside)
 
     def ends(i: int) -> list[Column]:
         position = F.lit(float(probabilities[i])) * (F.col("n") - 1)

@@ -466,3 +466,16 @@ def test_required_keys(spark, tmp_path):
     rows, rejects = read_jsonl(spark, f"file://{tmp_path}/a.jsonl", schema_of(("key", "nation"), key="bigint", nation="int"))
     assert [tuple(r) for r in rows.collect()] == [(2, 3)]
     assert sorted(r.reason for r in rejects.collect()) == ["missing_fields:key", "missing_fields:nation"]
+
+
+def test_quantiles_of_awkward_groups(spark):
+    draw = random.Random(9)
+    groups = {k: [draw.random() for _ in range(k)] for k in (1, 2, 3, 4, 5, 7, 10, 11, 12, 25)}
+    groups |= {100: [3.0] * 50, 101: [draw.random() * 1e-8 for _ in range(500)], 102: [float(draw.randint(0, 3)) for _ in range(999)]}
+    groups[103] = [draw.gauss(0, 1) for _ in range(30_000)]  # larger than the sketch is exact for
+    rows = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "g long, v double")
+    got = exact_quantiles(rows, ["g"], "v", (0.1, 0.5, 0.9, 0.0, 1.0)).collect()
+    assert len(got) == len(groups)
+    for r in got:
+        wanted = np.quantile(groups[r.g], [0.1, 0.5, 0.9, 0.0, 1.0])
+        assert np.allclose([r._p0, r._p1, r._p2, r._p3, r._p4], wanted, rtol=1e-12, atol=0)
