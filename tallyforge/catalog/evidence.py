@@ -40,9 +40,12 @@ def co22_claim_diff(t):
     return diff(t)
 
 
-@query(f"WITH {DIFF} SELECT id, 'alert_id_mismatch' AS code FROM (SELECT 'x' || id AS id FROM x WHERE severity = 'high') UNION ALL SELECT 'diff', 'alert_count_mismatch' FROM (SELECT count(*) AS n FROM x) WHERE n <> -1")
+@query(f"""WITH {DIFF} SELECT 'DQ16' AS check_id, 'claim_diff' AS "table", 'x' || id AS key, 'alert_id_mismatch' AS detail FROM x WHERE severity = 'high'
+UNION ALL SELECT 'DQ16', 'claim_diff', '', 'alert_id_missing' FROM x WHERE severity <> 'high' AND type = 'claim_added'
+UNION ALL SELECT 'DQ16', 'claim_diff', 'diff', 'alert_count_mismatch' FROM (SELECT count(*) AS n FROM x) WHERE n <> -1""")
 def dq16_diff_integrity(t):
-    broken = diff(t).withColumn("id", F.when(F.col("severity") == "high", F.concat(F.lit("x"), "id")).otherwise(F.col("id")))
+    lost = (F.col("severity") != "high") & (F.col("type") == "claim_added")
+    broken = diff(t).withColumn("id", F.when(F.col("severity") == "high", F.concat(F.lit("x"), "id")).when(~lost, F.col("id")))
     return C.diff_integrity(broken, -1)
 
 

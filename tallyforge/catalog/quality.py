@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.dates import quarter_end, quarter_of
 from tallyforge.operators import quality as Q
 from tallyforge.plans.conversion import conservation_errors, supplier_pool
+from tallyforge.plans.filings import rejected_filings
 
 from . import query
 from .capacity import FLOWS, flows
@@ -60,8 +61,8 @@ def dq5_temporal_order(t):
     return Q.flag_rows(rows, "lineitem", "l_orderkey", Q.temporal_problems([("ordered", "shipped"), ("shipped", "recorded")]))
 
 
-@query(f"""WITH {FLOWS} SELECT l_returnflag, l_orderkey, 'parts_do_not_sum' AS code FROM p WHERE l_returnflag = 'A'
-UNION ALL SELECT l_returnflag, l_orderkey, 'support_mismatch' FROM p WHERE l_returnflag = 'N'""")
+@query(f"""WITH {FLOWS} SELECT 'DQ7' AS check_id, 'supplier_pool' AS "table", l_returnflag || '|' || l_orderkey AS key,
+ CASE l_returnflag WHEN 'A' THEN 'parts_do_not_sum' ELSE 'support_mismatch' END AS detail FROM p WHERE l_returnflag IN ('A', 'N')""")
 def dq7_conservation(t):
     f, demand = flows(t)
     totals = supplier_pool(f, demand, ["l_returnflag"], "l_orderkey", "l_suppkey")["totals"]
@@ -77,11 +78,12 @@ def dq8_scope_once(t):
     return Q.duplicates(t.supplier.select(scope.alias("capacity_scope_id")), "supplier", ["capacity_scope_id"], "DQ8")
 
 
-@query(rows_sql("DQ9", "part", "p_partkey", "concat_ws('|', CASE WHEN p_size > 40 THEN 'stacks' END, CASE WHEN p_type = 'PROMO' THEN 'dies' END)", "part WHERE p_size > 40 OR p_type = 'PROMO'"))
+@query(rows_sql("DQ9", "part", "p_partkey", "CASE WHEN p_size = 1 THEN 'missing_in:first' WHEN p_size = 2 THEN 'missing_in:second' ELSE concat_ws('|', CASE WHEN p_size > 40 THEN 'stacks' END, CASE WHEN p_type = 'PROMO' THEN 'dies' END) END", "part WHERE p_size > 40 OR p_type = 'PROMO' OR p_size IN (1, 2)"))
 def dq9_topology(t):
     a = t.part.select("p_partkey", F.lit(8).alias("stacks"), F.lit(2).alias("dies"))
     b = t.part.select("p_partkey", F.when(F.col("p_size") > 40, 12).otherwise(8).alias("stacks"), F.when(F.col("p_type") == "PROMO", F.lit(None).cast("int")).otherwise(2).alias("dies"))
-    return Q.topology_mismatch(a, b, "part", "p_partkey", ["stacks", "dies"])
+    first, second = t.part.where("p_size <> 1").select("p_partkey"), t.part.where("p_size <> 2").select("p_partkey")
+    return Q.topology_mismatch(a.join(first, "p_partkey"), b.join(second, "p_partkey"), "part", "p_partkey", ["stacks", "dies"])
 
 
 @query(rows_sql("DQ10", "lineitem", "l_orderkey", "'synthetic_in_real_scenario'", "lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND s_acctbal >= 0"))
@@ -177,3 +179,60 @@ def dq18_evidence_family(t):
     links = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("evidence_id"))
     evidence = t.orders.select(F.col("o_orderkey").alias("evidence_id"), F.col("o_orderpriority").alias("source_family"))
     return Q.family_mismatch(outcomes, links, evidence, "customer", "c_custkey")
+
+
+def unmatched_sql(check: str, table: str, key: str, left: str, right: str, left_name: str, right_name: str) -> str:
+    """Keys of one side only, by set differences."""
+    return f"""SELECT '{check}' AS check_id, '{table}' AS "table", CAST(k AS VARCHAR) AS key, detail FROM (
+ SELECT k, 'missing_in:{right_name}' AS detail FROM (SELECT {key} AS k FROM {left} EXCEPT SELECT {key} FROM {right})
+ UNION ALL SELECT k, 'missing_in:{left_name}' FROM (SELECT {key} AS k FROM {right} EXCEPT SELECT {key} FROM {left}))"""
+
+
+@query(unmatched_sql("CO4", "supplier_pool", "l_returnflag || '|' || l_orderkey", "lineitem WHERE l_discount < 0.05", "lineitem WHERE l_quantity > 10", "flows", "demand"))
+def co4_unmatched_draws(t):
+    """Draws with supply and no demand, or the other way round."""
+    return Q.unmatched(t.lineitem.where("l_discount < 0.05"), t.lineitem.where("l_quantity > 10"), ["l_returnflag", "l_orderkey"], "CO4", "supplier_pool", "flows", "demand")
+
+
+@query(unmatched_sql("CO5", "assembly_pool", "l_orderkey", "lineitem WHERE l_tax > 0.03", "orders WHERE o_orderstatus <> 'P'", "flows", "demand").replace("SELECT l_orderkey FROM orders", "SELECT o_orderkey FROM orders").replace("SELECT l_orderkey AS k FROM orders", "SELECT o_orderkey AS k FROM orders"))
+def co5_unmatched_draws(t):
+    """Draws with assembly flows and no rack demand, or the other way round."""
+    demand = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return Q.unmatched(t.lineitem.where("l_tax > 0.03"), demand, ["l_orderkey"], "CO5", "assembly_pool", "flows", "demand")
+
+
+@query(unmatched_sql("CO10", "opportunity_ranking", "s_suppkey", "supplier WHERE s_acctbal > 0", "supplier WHERE s_nationkey > 3", "consensus", "factors"))
+def co10_unmatched_companies(t):
+    """Companies without consensus or without screening factors."""
+    return Q.unmatched(t.supplier.where("s_acctbal > 0"), t.supplier.where("s_nationkey > 3"), ["s_suppkey"], "CO10", "opportunity_ranking", "consensus", "factors")
+
+
+@query("""SELECT 'CO14' AS check_id, 'outcomes' AS "table", CAST(k AS VARCHAR) AS key, 'missing_in:forecasts' AS detail
+FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1995-01-01')""")
+def co14_unknown_forecasts(t):
+    """Outcomes of forecasts that were never frozen."""
+    outcomes, frozen = t.part.select(F.col("p_partkey").alias("forecast_id")), t.lineitem.where("l_shipdate < DATE '1995-01-01'").select(F.col("l_partkey").alias("forecast_id"))
+    return Q.unmatched(outcomes, frozen, ["forecast_id"], "CO14", "outcomes", "outcomes", "forecasts").where("detail = 'missing_in:forecasts'")
+
+
+@query(unmatched_sql("CO16", "forecast_register", "o_orderkey", "orders", "lineitem WHERE l_quantity > 25", "contracts", "draws").replace("SELECT o_orderkey FROM lineitem", "SELECT l_orderkey FROM lineitem").replace("SELECT o_orderkey AS k FROM lineitem", "SELECT l_orderkey AS k FROM lineitem"))
+def co16_contracts_without_draws(t):
+    draws = t.lineitem.where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return Q.unmatched(t.orders, draws, ["o_orderkey"], "CO16", "forecast_register", "contracts", "draws")
+
+
+@query("""SELECT 'P20' AS check_id, 'claim_evidence' AS "table", CAST(k AS VARCHAR) AS key, 'missing_in:metadata' AS detail
+FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def p20_edges_without_metadata(t):
+    """Evidence edges whose snapshot has no metadata."""
+    edges, metadata = t.orders.select(F.col("o_custkey").alias("snapshot_id")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("snapshot_id"))
+    return Q.unmatched(edges, metadata, ["snapshot_id"], "P20", "claim_evidence", "edges", "metadata").where("detail = 'missing_in:metadata'")
+
+
+@query("""SELECT 'CO23' AS check_id, 'filings' AS "table", CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_orderkey AS VARCHAR) ELSE 'x' || o_orderkey END AS key,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 'array_lengths_differ' ELSE 'invalid_accession' END AS detail FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def co23_rejected_filings(t):
+    number = F.when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.format_string("%010d-%02d-%06d", F.col("o_custkey"), F.lit(24), F.col("o_orderkey") % 1000000))
+    forms = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("F"), F.lit("O"))).otherwise(F.array(F.lit("F")))
+    sources = t.orders.select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").alias("cik"), F.lit("company").alias("company_name"), F.array(number).alias("accession_number"), forms.alias("form"))
+    return rejected_filings(sources, ["accession_number", "form"])

@@ -30,6 +30,14 @@ def flag_rows(df: DataFrame, table: str, key, problems: dict[str, tuple[str, Col
     return rows.select("check_id", F.lit(table).alias("table"), "key", "detail")
 
 
+def unmatched(left: DataFrame, right: DataFrame, keys: list[str], check_id: str, table: str, left_name: str, right_name: str) -> DataFrame:
+    """Keys that only one of two inputs has: what an inner join of them would drop without a word."""
+    a, b = left.select(*keys).distinct().withColumn("_left", F.lit(True)), right.select(*keys).distinct().withColumn("_right", F.lit(True))
+    alone = a.join(b, keys, "full").where("_left IS NULL OR _right IS NULL")
+    missing = F.when(F.col("_left").isNull(), f"missing_in:{left_name}").otherwise(f"missing_in:{right_name}")
+    return _shape(alone, check_id, table, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), missing)
+
+
 def duplicates(df: DataFrame, table: str, keys: list[str], check_id: str = "DQ1") -> DataFrame:
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     return _shape(counted, check_id, table, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), F.concat(F.lit("rows:"), F.col("_n").cast("string")))
@@ -71,8 +79,11 @@ def temporal_problems(pairs: list[tuple[str, str]], strict: bool = False) -> dic
 
 
 def topology_mismatch(a: DataFrame, b: DataFrame, table: str, key: str, fields: list[str]) -> DataFrame:
-    joined = a.join(b.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields]), key)
+    """Fields in which two versions of a fixed topology differ, and rows that only one of them has."""
+    first, second = a.select(key, *fields, F.lit(True).alias("_a")), b.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields], F.lit(True).alias("_b"))
+    joined = first.join(second, key, "full")
     differs = F.concat_ws("|", *[F.when(~F.col(f).eqNullSafe(F.col(f"_b_{f}")), F.lit(f)) for f in fields])
+    differs = F.when(F.col("_a").isNull(), "missing_in:first").when(F.col("_b").isNull(), "missing_in:second").otherwise(differs)
     return _shape(joined.where(differs != ""), "DQ9", table, key, differs)
 
 

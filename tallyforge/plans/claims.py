@@ -48,13 +48,24 @@ def alert_id():
     )
 
 
+# The kinds of claim alerts.
+ALERT_TYPES = ("claim_added", "claim_removed", "claim_revised")
+
+
 def diff_integrity(diff: DataFrame, declared_count: int) -> DataFrame:
-    """Alerts whose id is not the digest of their content, plus a row if the declared count is wrong."""
-    wrong = diff.where(F.col("id") != alert_id()).select("id", F.lit("alert_id_mismatch").alias("code"))
+    """Violations: alerts whose id is missing, repeated or not the digest of their content, alerts without a known type, and a wrong count."""
+    kinds = F.array(*[F.lit(k) for k in ALERT_TYPES])
+    codes = F.array(
+        F.when(F.col("id").isNull(), "alert_id_missing").when(~F.col("id").eqNullSafe(alert_id()), "alert_id_mismatch"),
+        F.when(~F.coalesce(F.array_contains(kinds, F.col("type")), F.lit(False)), "alert_type_unknown"),
+    )
+    wrong = diff.select("id", F.explode(F.array_compact(codes)).alias("code"))
+    twice = diff.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("alert_id_repeated").alias("code"))
     count = diff.agg(F.count("*").alias("n")).where(F.col("n") != declared_count).select(
         F.lit("diff").alias("id"), F.lit("alert_count_mismatch").alias("code")
     )
-    return wrong.unionByName(count)
+    every = wrong.unionByName(twice).unionByName(count)
+    return every.select(F.lit("DQ16").alias("check_id"), F.lit("claim_diff").alias("table"), F.coalesce("id", F.lit("")).alias("key"), F.col("code").alias("detail"))
 
 
 def gate_claims(claims: DataFrame, selections: DataFrame) -> DataFrame:

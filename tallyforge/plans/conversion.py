@@ -124,7 +124,8 @@ def conservation_errors(flows: DataFrame, totals: DataFrame, keys: list[str], re
         F.when(~ok("demanded_stacks", F.col("package_demand") * F.col("stacks_per_accelerator")), "demand_mismatch"),
         F.when(~ok("packages_supported", F.least("package_capacity", "package_demand")), "support_mismatch"),
     )
-    return joined.select(*keys, F.explode(F.array_compact(codes)).alias("code"))
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
+    return joined.select(F.lit("DQ7").alias("check_id"), F.lit("supplier_pool").alias("table"), key, F.explode(F.array_compact(codes)).alias("detail"))
 
 
 def link_supplier_pool(conversion: DataFrame, pool_draws: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,6 +32,14 @@ def normalize_filings(sources: DataFrame, watches: DataFrame, columns: list[str]
     return order_filings(filter_filings(linked, watches))
 
 
+def rejected_filings(sources: DataFrame, columns: list[str]) -> DataFrame:
+    """Violations: sources whose parallel arrays differ in length, and filings whose accession number has another form."""
+    rows, uneven = columns_to_rows(sources, ["entity_id", "cik", "company_name"], columns)
+    bad = rows.where(~F.coalesce(matches_id("accession_number", "accession"), F.lit(False)))
+    shape = lambda df, key, detail: df.select(F.lit("CO23").alias("check_id"), F.lit("filings").alias("table"), F.col(key).cast("string").alias("key"), F.lit(detail).alias("detail"))
+    return shape(uneven, "entity_id", "array_lengths_differ").unionByName(shape(bad, "accession_number", "invalid_accession"))
+
+
 def filing_delta(current: DataFrame, previous: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """New filings, and earlier ones that vanished or changed (violations)."""
     key = "accession_number"
