@@ -91,7 +91,44 @@ def pool_inputs(t):
     return keys, order_platforms(t), pools, needs
 
 
-@query()
+FILL = """i AS (SELECT l_orderkey AS g, p_type AS platform, n_name AS pool, n_regionkey AS stage, l_quantity, l_extendedprice, l_tax
+   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey),
+ p AS (SELECT g, platform, sum(l_quantity) AS demand, sum(l_extendedprice) AS weight FROM i GROUP BY ALL),
+ c AS (SELECT g, stage, pool, sum(l_quantity) * 0.7 AS capacity FROM i GROUP BY ALL),
+ n AS (SELECT g, platform, pool, 1 + avg(l_tax) AS units FROM i GROUP BY ALL),
+ m AS (SELECT c.g, c.stage, c.pool, c.capacity, list(coalesce(units, 0.0) ORDER BY p.platform) AS need
+   FROM c JOIN p ON p.g = c.g LEFT JOIN n ON n.g = c.g AND n.pool = c.pool AND n.platform = p.platform GROUP BY ALL),
+ q AS (SELECT g, stage, list(pool ORDER BY pool) AS pools, list(capacity ORDER BY pool) AS room, list(need ORDER BY pool) AS need FROM m GROUP BY ALL),
+ k AS (SELECT g, list(struct_pack(pools := coalesce(pools, []), room := coalesce(room, []), need := coalesce(need, [])) ORDER BY r.stage) AS stages
+   FROM (SELECT DISTINCT p.g, x.stage FROM p, (SELECT unnest([0, 1, 2, 3, 4]) AS stage) x) r LEFT JOIN q USING (g, stage) GROUP BY g),
+ b AS (SELECT g, list(platform ORDER BY platform) AS platforms, list(demand ORDER BY platform) AS demand, list(weight ORDER BY platform) AS weight FROM p GROUP BY g),
+ t AS (
+  SELECT g, platforms, weight, stages, 0 AS stage, demand, list_transform(demand, lambda d: 0.0::DOUBLE) AS output, list_transform(demand, lambda d: true) AS active,
+    list_transform(demand, lambda d: []::VARCHAR[]) AS blockers, false AS ended FROM b JOIN k USING (g)
+  UNION ALL
+  SELECT g, platforms, weight, stages, CASE WHEN ended THEN stage + 1 ELSE stage END, CASE WHEN ended THEN output ELSE demand END,
+    CASE WHEN ended THEN list_transform(output, lambda o: 0.0::DOUBLE) ELSE after END,
+    CASE WHEN ended THEN list_transform(output, lambda o: o > 1e-10) ELSE going END,
+    CASE WHEN ended THEN list_transform(output, lambda o: []::VARCHAR[]) ELSE stops END,
+    NOT list_contains(CASE WHEN ended THEN list_transform(output, lambda o: o > 1e-10) ELSE going END, true)
+  FROM (SELECT *, list_transform(range(1, len(demand) + 1), lambda j: active[j] AND demand[j] - after[j] > 1e-10 * greatest(1.0, demand[j]) AND len(stops[j]) = 0
+        AND (step > 1e-10 OR NOT stuck)) AS going
+   FROM (SELECT *, NOT list_contains(list_transform(range(1, len(demand) + 1), lambda j: active[j] AND (demand[j] - after[j] <= 1e-10 * greatest(1.0, demand[j]) OR len(stops[j]) > 0)), true) AS stuck
+    FROM (SELECT *, list_transform(range(1, len(demand) + 1), lambda j: CASE WHEN active[j] AND demand[j] - after[j] > 1e-10 * greatest(1.0, demand[j])
+         THEN list_transform(list_filter(range(1, len(pools) + 1), lambda r: need[r][j] > 0 AND room[r] - coalesce(list_sum(list_transform(range(1, len(demand) + 1), lambda h: need[r][h] * after[h])), 0)
+           <= 1e-10 * greatest(1.0, room[r])), lambda r: pools[r]) ELSE blockers[j] END) AS stops
+     FROM (SELECT *, list_transform(range(1, len(demand) + 1), lambda j: CASE WHEN active[j] THEN least(demand[j], output[j] + weight[j] * step) ELSE output[j] END) AS after
+      FROM (SELECT *, greatest(0.0, coalesce(list_min(list_concat(
+          list_transform(list_filter(range(1, len(demand) + 1), lambda j: active[j]), lambda j: (demand[j] - output[j]) / weight[j]),
+          list_transform(list_filter(range(1, len(pools) + 1), lambda r: list_sum(list_transform(range(1, len(demand) + 1), lambda h: CASE WHEN active[h] THEN need[r][h] * weight[h] ELSE 0.0 END)) > 1e-10),
+            lambda r: greatest(0.0, room[r] - list_sum(list_transform(range(1, len(demand) + 1), lambda h: need[r][h] * output[h])))
+              / list_sum(list_transform(range(1, len(demand) + 1), lambda h: CASE WHEN active[h] THEN need[r][h] * weight[h] ELSE 0.0 END))))), 0.0)) AS step
+       FROM (SELECT *, stages[stage + 1].pools AS pools, stages[stage + 1].room AS room, stages[stage + 1].need AS need FROM t WHERE NOT (ended AND stage = 4)))))))),
+ o AS (SELECT g, stage, unnest(platforms) AS platform, unnest(demand) AS demand, unnest(output) AS output, unnest(blockers) AS blockers FROM t WHERE ended)"""
+
+
+@query(f"""WITH RECURSIVE {FILL} SELECT g AS l_orderkey, stage AS stage_rank, platform AS platform_id, {sq('demand', 5)} AS demand, {sq('output', 5)} AS output,
+ {sq('greatest(demand - output, 0.0)', 5)} AS held_back, array_to_string(list_sort(blockers), '|') AS blockers FROM o""")
 def co2_progressive_fill(t):
     keys, platforms, pools, needs = pool_inputs(t)
     out = C.chain_fill(C.fill_groups(platforms, pools, needs, keys), keys, [0, 1, 2, 3, 4])
@@ -99,14 +136,19 @@ def co2_progressive_fill(t):
     return settled(out, ["demand", "output", "held_back"], 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILL}, u AS (SELECT c.g, c.stage, c.pool, any_value(capacity) AS capacity, sum(units * output) AS consumption
+   FROM c JOIN n ON n.g = c.g AND n.pool = c.pool JOIN o ON o.g = c.g AND o.stage = c.stage AND o.platform = n.platform GROUP BY ALL)
+SELECT g AS l_orderkey, stage AS stage_rank, pool AS pool_id, {sq('capacity', 5)} AS capacity, {sq('consumption', 5)} AS consumption,
+ {sq('CASE WHEN capacity <= 1e-10 THEN 0.0 ELSE least(1.0, consumption / capacity) END', 5)} AS utilization FROM u""")
 def co2_pool_use(t):
     keys, platforms, pools, needs = pool_inputs(t)
     filled = C.chain_fill(C.fill_groups(platforms, pools, needs, keys), keys, [0, 1, 2, 3, 4])
     return settled(C.pool_use(filled, pools, needs, keys), ["capacity", "consumption", "utilization"], 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILL}, x AS (SELECT stage, platform, CASE WHEN len(blockers) = 0 THEN ['demand_or_carry'] ELSE blockers END AS names FROM o),
+ y AS (SELECT stage, platform, unnest(names) AS name, 1.0 / len(names) AS credit FROM x), z AS (SELECT stage, platform, name, sum(credit) AS credit FROM y GROUP BY ALL)
+SELECT 'orders' AS scenario_id, stage AS stage_rank, platform AS platform_id, name AS constraint_id, {sq('credit / sum(credit) OVER (PARTITION BY stage, platform)')} AS probability FROM z""")
 def co2_binding_pools(t):
     keys, platforms, pools, needs = pool_inputs(t)
     filled = C.chain_fill(C.fill_groups(platforms, pools, needs, keys), keys, [0, 1, 2, 3, 4])
