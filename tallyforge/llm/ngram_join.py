@@ -117,16 +117,38 @@ def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks)
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    return dealt.drop("other", "m").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node")
+    return dealt.drop("other", "m").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "own", "node")
 
 
-def _pairs(task: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the pairs a task is for: within its block, or between its two."""
-    if task["i"].iat[0] == task["j"].iat[0]:
-        return np.triu_indices(len(task), 1)
-    left = task["own"].to_numpy() == task["i"].iat[0]
-    a, b = np.flatnonzero(left), np.flatnonzero(~left)
-    return np.repeat(a, len(b)), np.tile(b, len(a))
+def _whole_tasks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The sorted rows of a partition in tables of whole tasks: what a batch cuts off waits for the next one."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        values = np.stack([rows[k].to_numpy() for k in keys])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        cut = int(cuts[-1]) if len(cuts) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def _pairs(bucket: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all tasks of a table sorted by task and block: within a task's one block, or between its two."""
+    place = np.arange(len(bucket))
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    task = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(bucket))[task]
+    second = (first + np.bincount(task, weights=own == i).astype(int))[task]
+    same = i == j
+    low = np.where(same, place + 1, second)
+    count = np.where(same | (own == i), np.maximum(end - low, 0), 0)
+    a = np.repeat(place, count)
+    return a, np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(a))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -162,15 +184,13 @@ def _candidates(classes: DataFrame, bands: int, rows: int, threshold: float, tol
     members = placed.join(full, "bucket").join(classes.select("node", "signature"), "node")
     needed = least_matches(16, size, threshold, tolerance)
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for task in _tasks(batches, ["bucket", "i", "j"]):
-            a, b = _pairs(task)
-            if not len(a):
-                continue
-            signatures = np.frombuffer(b"".join(task["signature"]), "<u4").reshape(len(task), size)
-            kept = []
-            for at in range(0, len(a), 1 << 18):
-                x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tasks(batches, ["bucket", "i", "j"]):
+            signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u4").reshape(len(rows), size)
+            a, b = _pairs(*(rows[c].to_numpy() for c in ("bucket", "own", "i", "j")))
+            kept = [(a[:0], b[:0])]
+            for at in range(0, len(a), 1 << 16):
+                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
                 matches = np.zeros(len(x), np.int32)
                 for step, least in enumerate(needed):
                     cut = slice(16 * step, 16 * step + 16)
@@ -179,14 +199,12 @@ def _candidates(classes: DataFrame, bands: int, rows: int, threshold: float, tol
                     x, y, matches = x[going], y[going], matches[going]
                 kept.append((x, y))
             x, y = (np.concatenate(side) for side in zip(*kept))
-            if len(x):
-                node, root = task["node"].to_numpy(), _roots(len(task), x, y)
-                apart = root != np.arange(len(task))
-                if apart.any():
-                    yield pd.DataFrame({"a": node[apart], "b": node[root[apart]]})
+            node, root = rows["node"].to_numpy(), _roots(len(rows), x, y)
+            apart = root != np.arange(len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(node[root[apart]])], ["a", "b"])
 
     dealt = _in_blocks(members.select("bucket", "node", "signature", "m"), "bucket", block)
-    return dealt.mapInPandas(prune, "a long, b long")
+    return dealt.mapInArrow(prune, "a long, b long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
