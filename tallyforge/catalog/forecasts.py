@@ -175,6 +175,41 @@ def co17_review_violations(t):
     return reviewed(t)[1]
 
 
+@query("""WITH d AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '2-HIGH' THEN 'observed' WHEN '3-MEDIUM' THEN 'unobservable' WHEN '5-LOW' THEN 'not_comparable' ELSE 'pending' END AS st, o_orderstatus AS s,
+   o_custkey AS c, CAST(o_orderdate AS DATE) AS day FROM orders),
+ e AS (SELECT d.*, x.c_nationkey AS nation, CAST('1996-01-01' AS DATE) + x.c_nationkey * 30 AS published, y.c_custkey IS NULL AS lost FROM d LEFT JOIN customer x ON x.c_custkey = c AND x.c_acctbal > 0 LEFT JOIN customer y ON y.c_custkey = c AND y.c_acctbal > 0),
+ k AS (SELECT id, 'reason_not_supported' AS code FROM e WHERE st = 'unobservable' AND s = 'P'
+  UNION ALL SELECT id, 'no_evidence' FROM e WHERE st IN ('not_comparable', 'observed') AND s = 'P'
+  UNION ALL SELECT id, 'evidence_repeated' FROM e WHERE st IN ('not_comparable', 'observed') AND s = 'O'
+  UNION ALL SELECT id, 'evidence_missing' FROM e WHERE st IN ('not_comparable', 'observed') AND s <> 'P' AND lost
+  UNION ALL SELECT id, 'mismatch_dimensions_invalid' FROM e WHERE st = 'not_comparable' AND s = 'F'
+  UNION ALL SELECT id, 'mismatch_dimensions_repeated' FROM e WHERE st = 'not_comparable' AND s = 'O'
+  UNION ALL SELECT id, 'family_mismatch' FROM e WHERE st = 'observed' AND s <> 'P' AND NOT lost AND nation > 12
+  UNION ALL SELECT id, 'observed_before_publication' FROM e WHERE st = 'observed' AND s <> 'P' AND NOT lost AND published > day
+  UNION ALL SELECT id, 'reviewed_before_retrieval' FROM e WHERE st IN ('not_comparable', 'observed') AND s <> 'P' AND NOT lost AND published + 10 > day + 5)
+SELECT id AS forecast_id, code FROM k""")
+def co17_review_evidence(t):
+    """Orders as dispositions, customers as evidence: repeated, absent, foreign and late evidence, wrong reasons and dimensions."""
+    kind, own = F.col("o_orderstatus"), F.concat(F.lit("e"), F.col("o_custkey").cast("string"))
+    status = (
+        F.when(F.col("o_orderpriority") == "2-HIGH", "observed").when(F.col("o_orderpriority") == "3-MEDIUM", "unobservable")
+        .when(F.col("o_orderpriority") == "5-LOW", "not_comparable").otherwise("pending")
+    )
+    day = F.to_date("o_orderdate")
+    ids = F.when(kind == "F", F.array(own)).when(kind == "O", F.array(own, own)).otherwise(F.array().cast("array<string>"))
+    dimensions = F.when(kind == "F", F.array(F.lit("colour"))).when(kind == "O", F.array(F.lit("unit"), F.lit("unit"))).otherwise(F.array(F.lit("entity"), F.lit("unit")))
+    dispositions = t.orders.select(
+        F.col("o_orderkey").alias("forecast_id"), status.alias("status"), F.when(kind == "P", "other").otherwise("no_public_disclosure").alias("reason_code"), ids.alias("evidence_ids"),
+        dimensions.alias("mismatch_dimensions"), F.lit("low").alias("source_family"), day.alias("observed_at"), F.date_add(day, 5).alias("reviewed_at"),
+    )
+    published = F.date_add(F.lit("1996-01-01").cast("date"), F.col("c_nationkey") * 30)
+    evidence = t.customer.where("c_acctbal > 0").select(
+        F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("evidence_id"), F.when(F.col("c_nationkey") > 12, "high").otherwise("low").alias("source_family"),
+        published.alias("published_at"), F.date_add(published, 10).alias("retrieved_at"),
+    )
+    return P.review_evidence(dispositions, evidence)
+
+
 @query(f"""WITH {REVIEW} SELECT count_if(st = 'pending') AS pending, count_if(st = 'unobservable') AS unobservable, count_if(st = 'not_comparable') AS not_comparable, count_if(st = 'observed') AS observed,
  {sq("avg(CASE WHEN a BETWEEN floor(p10 * 1e6 + 0.3217) / 1e6 AND floor(p90 * 1e6 + 0.3217) / 1e6 THEN 1.0 WHEN a IS NOT NULL THEN 0.0 END)")} AS interval_coverage_rate FROM w WHERE code IS NULL""")
 def co17_review_summary(t):

@@ -15,6 +15,9 @@ from tallyforge.operators.skew import exact_quantiles
 # Postures an outcome may have, and disposition statuses.
 OUTCOME_POSTURES = ("reported", "derived")
 DISPOSITIONS = ("pending", "unobservable", "not_comparable", "observed")
+# Why an outcome cannot be observed, and in what a candidate may differ from its forecast.
+UNOBSERVABLE_REASONS = ("no_public_disclosure", "scope_not_disclosed", "source_access_unavailable", "evidence_conflict_unresolved")
+MISMATCH_DIMENSIONS = ("entity", "product", "geography", "period", "stage", "quantity_semantics", "aggregation", "unit", "cutoff")
 
 
 def score_rows(df: DataFrame, probability: Column | None = None) -> DataFrame:
@@ -190,6 +193,38 @@ def review_outcomes(forecasts: DataFrame, dispositions: DataFrame, as_of: str) -
     return scored.withColumnRenamed("d_status", "disposition"), judged.where("code IS NOT NULL").select("forecast_id", "code")
 
 
+def review_evidence(dispositions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What the evidence of dispositions lacks: ``(forecast_id, code)``, one row per broken rule.
+
+    ``dispositions(forecast_id, status, reason_code, evidence_ids, mismatch_dimensions, source_family, observed_at,
+    reviewed_at)``; ``evidence(evidence_id, source_family, published_at, retrieved_at)``. Only a closed disposition needs
+    evidence; only an observed one is held against family and publication.
+    """
+    status = F.col("status")
+    closed, observed = status.isin("not_comparable", "observed"), status == "observed"
+    links = dispositions.where(closed).select("forecast_id", "observed_at", "reviewed_at", F.col("source_family").alias("_declared"), F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    known = links.join(evidence.withColumn("_known", F.lit(True)), "evidence_id", "left")
+    facts = known.groupBy("forecast_id").agg(
+        F.bool_or(F.col("_known").isNull()).alias("_missing"), F.bool_or(F.col("_known") & ~F.col("source_family").eqNullSafe(F.col("_declared"))).alias("_family"),
+        F.bool_or(F.col("published_at") > F.col("observed_at")).alias("_published"), F.bool_or(F.col("retrieved_at") > F.col("reviewed_at")).alias("_retrieved"),
+    )
+    ids, dimensions = F.coalesce("evidence_ids", F.array().cast("array<string>")), F.coalesce("mismatch_dimensions", F.array().cast("array<string>"))
+    allowed = F.array(*map(F.lit, MISMATCH_DIMENSIONS))
+    rules = {
+        "reason_not_supported": (status == "unobservable") & ~F.coalesce(F.col("reason_code").isin(*UNOBSERVABLE_REASONS), F.lit(False)),
+        "no_evidence": closed & (F.size(ids) == 0),
+        "evidence_repeated": closed & (F.size(F.array_distinct(ids)) < F.size(ids)),
+        "evidence_missing": closed & F.col("_missing"),
+        "mismatch_dimensions_invalid": (status == "not_comparable") & ((F.size(dimensions) == 0) | (F.size(F.array_except(dimensions, allowed)) > 0)),
+        "mismatch_dimensions_repeated": (status == "not_comparable") & (F.size(F.array_distinct(dimensions)) < F.size(dimensions)),
+        "family_mismatch": observed & F.col("_family"),
+        "observed_before_publication": observed & F.col("_published"),
+        "reviewed_before_retrieval": closed & F.col("_retrieved"),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules.items()]))
+    return dispositions.join(facts, "forecast_id", "left").select("forecast_id", F.explode(codes).alias("code"))
+
+
 def review_summary(reviewed: DataFrame) -> DataFrame:
     observed = F.col("disposition") == "observed"
     return reviewed.agg(
