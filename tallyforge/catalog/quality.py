@@ -159,6 +159,26 @@ def dq15_claim_contract(t):
     return Q.violations(Q.flag_rows(rows, "events", "event_id", Q.claim_problems()), Q.duplicates(rows, "claims", ["user_id", "valid_from"]))
 
 
+_EDGES = """(SELECT l_orderkey || '|' || l_suppkey || '|' || l_returnflag AS key, count(*) AS n, any_value(s_suppkey) IS NULL AS lost, any_value(o_orderkey) IS NULL AS unrecorded,
+  any_value(DATE '1992-01-01' + CAST(s_nationkey * 90 AS INTEGER)) > any_value(CAST(o_orderdate AS DATE)) AS late
+  FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' GROUP BY l_orderkey, l_suppkey, l_returnflag)"""
+
+
+@query(
+    rows_sql("DQ15", "claim_evidence", "key", "'source_and_role_repeated'", f"{_EDGES} WHERE n > 1")
+    + " UNION ALL " + rows_sql("DQ15", "claim_evidence", "key", "'unknown_source'", f"{_EDGES} WHERE lost")
+    + " UNION ALL " + rows_sql("DQ15", "claim_evidence", "key", "'unknown_revision'", f"{_EDGES} WHERE unrecorded")
+    + " UNION ALL " + rows_sql("DQ15", "claim_evidence", "key", "'retrieved_after_recording'", f"{_EDGES} WHERE NOT lost AND NOT unrecorded AND late")
+)
+def dq15_pack_evidence(t):
+    """Lines as edges from orders (revisions) to suppliers (snapshots)."""
+    revisions = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("revision_id"), F.to_date("o_orderdate").alias("recorded_at"))
+    edges = t.lineitem.select(F.col("l_orderkey").alias("revision_id"), F.col("l_suppkey").alias("snapshot_id"), F.col("l_returnflag").alias("evidence_role"))
+    retrieved = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("s_nationkey") * 90).cast("int"))
+    snapshots = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("snapshot_id"), retrieved.alias("retrieved_at"))
+    return Q.pack_evidence_problems(revisions, edges, snapshots)
+
+
 @query(
     rows_sql("DQ17", "part", "p_partkey", "'single_needs_one_id'", "part WHERE p_size < 25 AND p_type <> 'SMALL'")
     + " UNION ALL " + rows_sql("DQ17", "part", "p_partkey", "'sum_needs_two_ids'", "part WHERE p_size >= 25 AND p_type = 'SMALL'")

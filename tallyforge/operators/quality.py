@@ -138,6 +138,28 @@ def claim_problems() -> dict[str, tuple[str, Column]]:
     }
 
 
+def pack_evidence_problems(revisions: DataFrame, edges: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Evidence rules of an ingested pack, one violation per edge and rule.
+
+    ``revisions(revision_id, recorded_at)``; ``edges(revision_id, snapshot_id, evidence_role)``;
+    ``snapshots(snapshot_id, retrieved_at)``. A revision names a source once per role, every source exists, and none was
+    retrieved after the pack was recorded.
+    """
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("revision_id", "snapshot_id", "evidence_role")])
+    once = edges.groupBy("revision_id", "snapshot_id", "evidence_role").agg(F.count("*").alias("_n"))
+    known = once.join(snapshots.select("snapshot_id", "retrieved_at", F.lit(True).alias("_known")), "snapshot_id", "left")
+    rows = known.join(revisions.select("revision_id", "recorded_at", F.lit(True).alias("_recorded")), "revision_id", "left")
+    return flag_rows(
+        rows, "claim_evidence", key,
+        {
+            "source_and_role_repeated": ("DQ15", F.col("_n") > 1),
+            "unknown_source": ("DQ15", F.col("_known").isNull()),
+            "unknown_revision": ("DQ15", F.col("_recorded").isNull()),
+            "retrieved_after_recording": ("DQ15", F.coalesce(F.col("retrieved_at") > F.col("recorded_at"), F.lit(False))),
+        },
+    )
+
+
 def selection_problems() -> dict[str, tuple[str, Column]]:
     n = F.size("claim_ids")
     forecast_fields = F.col("forecast_vintage").isNotNull()
