@@ -66,7 +66,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, window: int = 13, id_col
     stored, moved by the term's place in its phrase, and intersected: both must point at the same start. What is left is
     compared word by word with the whole document. A phrase of fewer words, but not none, is one window.
 
-    Returns one row per document row: ``doc_id, n_words, spans`` (of struct ``item_id, start, length``, one for each
+    Returns one row per document row: ``doc_id, row`` (a hash of the text), ``n_words, spans`` (of struct ``item_id, start, length``, one for each
     window that occurs). Nulls have no words; equal ids with other texts stay apart; extra columns are ignored; items that
     repeat or share a text each count, and one without an id is not named. Either table may be empty.
     """
@@ -99,11 +99,13 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, window: int = 13, id_col
 
     out = tokens.join(aimed, tokens["doc_id"].eqNullSafe(aimed["_id"]) & (tokens["row"] == aimed["_row"]), "left").withColumn("words", words_of(F.col("text")))
     none = F.array().cast("array<struct<item_id:string,start:int,length:int>>")
-    return out.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(F.flatten(F.transform("aimed", runs)), none).alias("spans"))
+    spans = F.coalesce(F.flatten(F.transform("aimed", runs)), none)
+    # As a generator's output the spans are made once a row; a filter on them above cannot repeat the split within each comparison.
+    return out.select("doc_id", "row", F.inline(F.array(F.struct(F.size("words").cast("long").alias("n_words"), spans.alias("spans")))))
 
 
 def contamination(docs: DataFrame, phrases: DataFrame, window: int = 13, hit_share: int = 20, **columns: str) -> DataFrame:
-    """Per document row: ``doc_id, n_words, n_hit, items, contaminated, spans``; contaminated when a word is hit and ``hit_share * n_hit >= n_words``."""
+    """Per document row: ``doc_id, row, n_words, n_hit, items, contaminated, spans``; contaminated when a word is hit and ``hit_share * n_hit >= n_words``."""
     found = phrase_matches(docs, phrases, window, **columns)
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
     found = found.withColumns({"n_hit": F.size(F.array_distinct(places)).cast("long"), "items": F.array_sort(F.array_compact(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))))})
@@ -113,9 +115,9 @@ def contamination(docs: DataFrame, phrases: DataFrame, window: int = 13, hit_sha
 def clean_documents(docs: DataFrame, phrases: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = contamination(docs, phrases, **options).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n")).distinct()
-    rows = docs.withColumn("_words", F.size(words_of(whole_text(text_col))).cast("long"))
-    return rows.join(bad, rows[id_col].eqNullSafe(bad["_id"]) & (rows["_words"] == bad["_n"]), "left_anti").select(*docs.columns)
+    bad = contamination(docs, phrases, **options).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    rows = docs.withColumn("_text_row", F.xxhash64(whole_text(text_col)))
+    return rows.join(bad, rows[id_col].eqNullSafe(bad["_id"]) & (rows["_text_row"] == bad["_row"]), "left_anti").select(*docs.columns)
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, within: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

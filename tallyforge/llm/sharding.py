@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import row_hash, whole_text, written
+from tallyforge.llm.common import row_hash, written
 
 KEY_BITS = 62
 
