@@ -99,6 +99,13 @@ def count_corpus(docs: DataFrame, order: int, text_col: str = "text") -> DataFra
     return written(partial.groupBy("key").agg(F.sum("n").alias("n")).select(kind.cast("string").alias("kind"), rest.alias("key"), "n"), "lm-counts")
 
 
+def _least_count(rows: DataFrame, column: str, most: int) -> int:
+    """The smallest count from which on at most ``most`` rows are left. Only counts and how often they come reach the driver."""
+    often = rows.groupBy(column).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc(column)).limit(most + 1).toPandas()
+    beyond = np.flatnonzero(np.cumsum(often["m"].to_numpy()) > most)
+    return int(often[column].iloc[beyond[0]]) + 1 if len(beyond) else 1
+
+
 @dataclass
 class ByteModel:
     """A context trie as tables: for each state and symbol column the log10 probability and the next state."""
@@ -121,14 +128,7 @@ def fit_bytes(counts: DataFrame, order: int, contexts: int) -> ByteModel:
     long = grams.select(levels, F.col("gram").bitwiseAND(F.lit(mask)).cast("int").alias("symbol"), "n").select("c.*", "symbol", "n")
     symbols = written(long.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")), "lm-trie")
     totals = written(symbols.groupBy("depth", "context").agg(F.sum("n").alias("total")), "lm-contexts")
-    edge = totals.groupBy("total").agg(F.count(F.lit(1)).alias("m"))
-    most = [(r["total"], r["m"]) for r in edge.orderBy(F.desc("total")).limit(contexts).collect()]
-    held, least = 0, 1
-    for total, m in most:
-        held += m
-        if held > contexts:
-            least = total + 1
-            break
+    least = _least_count(totals, "total", contexts)
     kept = symbols.join(totals.filter(F.col("total") >= least), ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas()
     return build_trie(kept["depth"].to_numpy(), kept["context"].to_numpy(), kept["symbol"].to_numpy(), kept["n"].to_numpy(), order)
 
@@ -140,53 +140,48 @@ def build_trie(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np
     columns = np.full(SYMBOLS + 1, width - 1, dtype=np.int32)
     columns[BEFORE] = 0
     columns[seen] = np.arange(1, len(seen) + 1)
-    unseen = SYMBOLS - len(seen)
+    lacking = SYMBOLS - len(seen)
     names = [np.unique(context[depth == o]) if o else np.zeros(1, np.int64) for o in range(order + 1)]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-    states = int(first[-1])
-    logs = np.zeros((states, width), np.float32)
-    rest = np.zeros((states, width), np.float32)  # given an escape from the state: what remains, shared out
-    tally = np.zeros((states, width), np.float32)
-    following = np.zeros((states, width), np.int32)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64)
+    steps = np.zeros((int(first[-1]), width), np.int64)
+    above = rest_above = None  # counts, and what is left after an escape, of the contexts one shorter
     for o in range(order + 1):
-        own = slice(first[o], first[o + 1])
         pick = depth == o
-        np.add.at(tally, (first[o] + np.searchsorted(names[o], context[pick]), columns[symbol[pick]]), n[pick])
-        count = tally[own]
-        here = count > 0
-        total, kinds = count.sum(1, dtype=np.float64), here.sum(1)
-        full = kinds >= SYMBOLS
-        off = np.where(full, 0.0, 0.5)  # a seen symbol gives half a count to the escape
-        escape = off * kinds / np.maximum(total, 1)
-        escape = np.where(total == 0, 1.0, escape)
-        if o == 0:
-            left = np.zeros((1, width))
-            left[0, 1:] = 1.0 / max(1, SYMBOLS - kinds[0])
-            following[0] = 0
-        else:
-            up = first[o - 1] + np.searchsorted(names[o - 1], names[o] & ((1 << BITS * (o - 1)) - 1))
-            above = tally[up]
-            fresh = np.where(here, 0, above)
-            mass, new = fresh.sum(1, dtype=np.float64), (fresh > 0).sum(1)
-            less = np.where(new + kinds >= SYMBOLS, 0.0, 0.5)
-            onward = np.where(mass > 0, less * new / np.maximum(mass, 1), 1.0)[:, None]
-            left = np.where(above > 0, np.maximum(fresh - less[:, None], 0) / np.maximum(mass, 1)[:, None], onward * rest[up])
-            following[own] = following[up]
-        rest[own] = left
-        chance = np.where(here, (count - off[:, None]) / np.maximum(total, 1)[:, None], escape[:, None] * left)
-        chance[:, 0] = 1.0
-        if unseen == 0:
-            chance[:, -1] = 1.0
-        logs[own] = np.log10(np.maximum(chance, 1e-300))
+        tally = np.zeros((len(names[o]), width), np.float32)
+        np.add.at(tally, (np.searchsorted(names[o], context[pick]), columns[symbol[pick]]), n[pick])
+        rest = np.zeros_like(tally)
+        up = np.searchsorted(names[o - 1], names[o] & ((1 << BITS * (o - 1)) - 1)) if o else None
+        for a in range(0, len(tally), 4096):
+            count = tally[a : a + 4096].astype(np.float64)
+            here = count > 0
+            total, kinds = count.sum(1), here.sum(1)
+            off = np.where(kinds >= SYMBOLS, 0.0, 0.5)  # a seen symbol gives half a count to the escape
+            escape = np.where(total == 0, 1.0, off * kinds / np.maximum(total, 1))
+            if o == 0:
+                left = np.full((1, width), 1.0 / max(1, SYMBOLS - kinds[0]))
+            else:
+                own = up[a : a + 4096]
+                fresh = np.where(here, 0, above[own])
+                mass, new = fresh.sum(1), (fresh > 0).sum(1)
+                less = np.where(new + kinds >= SYMBOLS, 0.0, 0.5)
+                onward = np.where(mass > 0, less * new / np.maximum(mass, 1), 1.0)[:, None]
+                left = np.where(above[own] > 0, np.maximum(fresh - less[:, None], 0) / np.maximum(mass, 1)[:, None], onward * rest_above[own])
+            rest[a : a + 4096] = left
+            chance = np.where(here, (count - off[:, None]) / np.maximum(total, 1)[:, None], escape[:, None] * left)
+            chance[:, 0] = 1.0
+            if lacking == 0:
+                chance[:, -1] = 1.0
+            logs = np.log10(np.maximum(chance, 1e-300)).astype(np.float32)
+            steps[first[o] + a : first[o] + a + len(logs)] = logs.view(np.uint32)
+        above, rest_above = tally, rest
+    following = np.zeros((1, width), np.int64)  # of the contexts one shorter: the longest known suffix of context and symbol
     for o in range(order + 1):
-        own = slice(first[o], first[o + 1])
         if o:
-            up = first[o - 1] + np.searchsorted(names[o - 1], names[o] & ((1 << BITS * (o - 1)) - 1))
-            following[own] = following[up]
+            following = following[np.searchsorted(names[o - 1], names[o] & ((1 << BITS * (o - 1)) - 1))]
         if o < order and len(names[o + 1]):
-            prefix = first[o] + np.searchsorted(names[o], names[o + 1] >> BITS)
+            prefix = np.searchsorted(names[o], names[o + 1] >> BITS)
             following[prefix, columns[names[o + 1] & ((1 << BITS) - 1)]] = first[o + 1] + np.arange(len(names[o + 1]))
-    steps = (following.astype(np.int64) << 32) | logs.view(np.uint32).astype(np.int64)
+        steps[first[o] : first[o + 1]] |= following << 32
     return ByteModel(order, columns, steps.reshape(-1), width)
 
 
@@ -245,7 +240,7 @@ def adaptive_scores(docs: DataFrame, order: int = 5, id_col: str = "doc_id", tex
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 100_000, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 40_000, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole documents by a base of word counts and by a byte model, both counted over all of ``training``.
 
     Words are cut at ASCII white space, A-Z lower-cased, and each document adds one end. ``frequent`` words travel to every
@@ -264,8 +259,8 @@ def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contex
     tokens, types, ends = size["tokens"] or 0, size["types"] or 0, size["ends"] or 0
     below = np.log10(tokens + 0.1 * (types + 1))
     plain = words.filter("kind = 'w'").select("key", "n")
-    top = plain.orderBy(F.desc("n"), "key").limit(frequent).toPandas()  # bounded by the parameter
-    known = {bytes(k): float(v) for k, v in zip(top["key"], np.log10(top["n"].to_numpy(dtype=float) + 0.1) - below)}
+    top = plain.filter(F.col("n") >= _least_count(plain, "n", frequent)).toPandas()  # at most ``frequent`` rows
+    known = dict(zip(map(bytes, top.pop("key")), (np.log10(top["n"].to_numpy(dtype=float) + 0.1) - below).tolist()))
     shared = spark.sparkContext.broadcast((known, fit_bytes(counts, order, contexts), float(np.log10(ends + 0.1) - below)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
 
