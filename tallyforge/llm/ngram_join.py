@@ -18,7 +18,7 @@ from tallyforge.llm.common import row_hash, whole_text, written
 #: A byte table that lower-cases A-Z and turns every other ASCII byte but digits and letters into a blank.
 _BLANKS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _HASHES: dict[bytes, int] = {}
-_HELD = 1_000_000
+_HELD = 1 << 16  # words a worker remembers the hash of; it outlives the stage
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -27,13 +27,13 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     found = text.translate(_BLANKS).split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > _HELD:
-        _HASHES.clear()
     hashes = np.empty(len(found), np.uint64)
     for i, word in enumerate(found):
         known = _HASHES.get(word)
         if known is None:
-            known = _HASHES[word] = xxhash.xxh64_intdigest(word)
+            known = xxhash.xxh64_intdigest(word)
+            if len(_HASHES) < _HELD:
+                _HASHES[word] = known
         hashes[i] = known
     n = max(1, len(found) - words + 1)
     total = np.full(n, min(words, len(found)), np.uint64)

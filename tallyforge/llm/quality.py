@@ -18,7 +18,7 @@ WORD = re.compile(r"\w+|[^\w\s]+")
 #: Odd multipliers that mix the two words of a pair.
 LEFT, RIGHT = 0x9E3779B1, 0x85EBCA77
 _HASHES: dict[str, int] = {}
-_HELD = 1_000_000
+_HELD = 1 << 16  # words a worker remembers the hash of; it outlives the stage
 
 
 def features(text: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,14 +27,14 @@ def features(text: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
     A run of signs is a word. A pair of equal words is the same feature whatever the word.
     """
     words = WORD.findall(text)
-    if len(_HASHES) > _HELD:
-        _HASHES.clear()
     hashes = np.empty(len(words) + 2, np.uint32)
     hashes[0], hashes[-1] = 1, 2  # both ends of the text
     for i, word in enumerate(words, 1):
         known = _HASHES.get(word)
         if known is None:
-            known = _HASHES[word] = zlib.crc32(word.encode())
+            known = zlib.crc32(word.encode())
+            if len(_HASHES) < _HELD:
+                _HASHES[word] = known
         hashes[i] = known
     a, b = hashes[:-1], hashes[1:]
     pairs = np.where(a == b, np.uint32(3), a * np.uint32(LEFT) + b * np.uint32(RIGHT))
