@@ -129,8 +129,9 @@ def fit_bytes(counts: DataFrame, order: int, contexts: int) -> ByteModel:
     symbols = written(long.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")), "lm-trie")
     totals = written(symbols.groupBy("depth", "context").agg(F.sum("n").alias("total")), "lm-contexts")
     least = _least_count(totals, "total", contexts)
-    kept = symbols.join(totals.filter(F.col("total") >= least), ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas()
-    return build_trie(kept["depth"].to_numpy(), kept["context"].to_numpy(), kept["symbol"].to_numpy(), kept["n"].to_numpy(), order)
+    kept = symbols.join(totals.filter(F.col("total") >= least), ["depth", "context"])
+    kept = kept.select(F.col("depth").cast("byte").alias("depth"), "context", F.col("symbol").cast("short").alias("symbol"), "n").toPandas()
+    return build_trie(*(kept.pop(name).to_numpy() for name in ("depth", "context", "symbol", "n")), order)
 
 
 def build_trie(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int) -> ByteModel:
@@ -240,7 +241,7 @@ def adaptive_scores(docs: DataFrame, order: int = 5, id_col: str = "doc_id", tex
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 40_000, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 30_000, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole documents by a base of word counts and by a byte model, both counted over all of ``training``.
 
     Words are cut at ASCII white space, A-Z lower-cased, and each document adds one end. ``frequent`` words travel to every
