@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import whole_text, written
@@ -106,9 +106,133 @@ def _least_count(rows: DataFrame, column: str, most: int) -> int:
     return int(often[column].iloc[beyond[0]]) + 1 if len(beyond) else 1
 
 
+@dataclass
+class GramTable:
+    """Full grams with the log10 probability of their last symbol: an open-addressed hash table over packed grams."""
+
+    slots: np.ndarray  # places in ``keys``, -1 where empty
+    keys: np.ndarray  # grams, and one entry that equals none
+    logs: np.ndarray
+
+    @staticmethod
+    def of(grams: np.ndarray, logs: np.ndarray) -> GramTable:
+        slots = np.full(1 << max(4, (2 * len(grams)).bit_length()), -1, np.int32)
+        left, at = np.arange(len(grams), dtype=np.int32), _home(grams, len(slots))
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = left[free]
+            missed = slots[at] != left
+            left, at = left[missed], (at[missed] + 1) & (len(slots) - 1)
+        return GramTable(slots, np.append(grams, -1), np.append(logs, np.nan))
+
+    def look_up(self, grams: np.ndarray) -> np.ndarray:
+        """The log10 probability of each gram; NaN for those the table lacks."""
+        at = _home(grams, len(self.slots))
+        place = self.slots[at]
+        left = np.flatnonzero((self.keys[place] != grams) & (place >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            place[left] = self.slots[at[left]]
+            left = left[(self.keys[place[left]] != grams[left]) & (place[left] >= 0)]
+        return self.logs[place]
+
+
+def _home(grams: np.ndarray, slots: int) -> np.ndarray:
+    return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def count_trie(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The whole trie as two written tables, with exact counts: ``depth, gram, n`` and ``depth, context, total, kinds, met``.
+
+    A gram of a depth is a context of so many codes and the symbol after it, packed. ``met`` is the count that a context's symbols have
+    after the context one shorter. No key of these joins and groups has more rows than there are symbols.
+    """
+    grams = counts.filter("kind = 'g'").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("gram"), "n")
+    trie = written(_all_depths(grams, order).groupBy("depth", "gram").agg(F.sum("n").alias("n")), "lm-trie")
+    shorter = trie.select((F.col("depth") + 1).alias("depth"), F.col("gram").alias("shorter"), F.col("n").alias("n_up"))
+    both = trie.withColumn("shorter", F.expr(f"gram & (shiftleft(1L, {BITS} * depth) - 1)")).join(shorter, ["depth", "shorter"], "left")
+    contexts = both.groupBy("depth", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n_up").alias("met"))
+    return trie, written(contexts, "lm-contexts")
+
+
+def _all_depths(grams: DataFrame, order: int) -> DataFrame:
+    """Each row of full grams once for every depth, with the gram's last ``depth`` + 1 codes."""
+    cuts = [F.struct(F.lit(o).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << BITS * (o + 1)) - 1)).alias("gram")) for o in range(order + 1)]
+    return grams.select(F.explode(F.array(*cuts)).alias("c"), *[x for x in grams.columns if x != "gram"]).select("c.*", *[x for x in grams.columns if x != "gram"])
+
+
+def _discount(kinds: str) -> Column:
+    """What each seen symbol gives to the escape: half a count, nothing once all symbols were seen."""
+    return F.when(F.col(kinds) >= SYMBOLS, 0.0).otherwise(0.5)
+
+
+def gram_chances(grams: DataFrame, trie: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """``gram, log``: the log10 probability of each distinct full gram, seen or not, by joins with the trie's tables from depth 0 up.
+
+    ``chance`` holds where no longer context is known; ``rest`` is the share of a symbol in what its context's escape leaves. As
+    in ``build_trie``, symbols that longer contexts saw are excluded below.
+    """
+    up = contexts.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("shorter"), F.col("total").alias("total_up"), F.col("kinds").alias("kinds_up"))
+    linked = contexts.withColumn("shorter", F.expr(f"if(depth = 0, null, context & (shiftleft(1L, {BITS} * greatest(depth - 1, 0)) - 1))")).join(up, ["depth", "shorter"], "left").drop("shorter")
+    wanted = _all_depths(grams.select("gram"), order).distinct()
+    wanted = wanted.join(trie, ["depth", "gram"], "left").withColumn("context", F.shiftright("gram", BITS)).join(linked, ["depth", "context"], "left")
+    wanted = written(wanted, "lm-wanted")
+    seen = (F.col("n") - _discount("kinds")) / F.col("total")
+    escape = _discount("kinds") * F.col("kinds") / F.col("total")
+    mass, new, less = F.col("total_up") - F.col("met"), F.col("kinds_up") - F.col("kinds"), _discount("kinds_up")
+    onward = F.when(mass > 0, less * new / mass).otherwise(1.0)
+    level = None
+    for o in range(order + 1):
+        here = wanted.filter(F.col("depth") == o)
+        if level is None:
+            rest, unknown = 1.0 / F.greatest(F.lit(1), SYMBOLS - F.col("kinds")), F.lit(1.0 / SYMBOLS)
+        else:
+            below = level.select(F.col("gram").alias("shorter"), F.col("n").alias("n_up"), F.col("chance").alias("chance_up"), F.col("rest").alias("rest_up"))
+            here = here.withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << BITS * o) - 1))).join(below, "shorter")
+            rest, unknown = F.when(F.col("n_up").isNotNull(), (F.col("n_up") - less) / mass).otherwise(onward * F.col("rest_up")), F.col("chance_up")
+        here = here.withColumn("rest", F.when(F.col("n").isNull() & F.col("total").isNotNull(), rest))
+        chance = F.when(F.col("total").isNull(), unknown).when(F.col("n").isNotNull(), seen).otherwise(escape * F.col("rest"))
+        level = here.select("gram", "n", chance.alias("chance"), "rest")
+    return level.select("gram", F.log10(F.greatest("chance", F.lit(1e-300))).alias("log"))
+
+
+def frequent_grams(trie: DataFrame, contexts: DataFrame, order: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The at most ``most`` most frequent full grams of the trie and their log10 probabilities; only these reach the driver."""
+    full = trie.filter(F.col("depth") == order)
+    full = full.filter(F.col("n") >= _least_count(full, "n", most)).withColumn("context", F.shiftright("gram", BITS))
+    rows = full.join(contexts.filter(F.col("depth") == order).select("context", "total", "kinds"), "context")
+    rows = rows.select("gram", F.log10((F.col("n") - _discount("kinds")) / F.col("total")).alias("log")).toArrow()
+    return rows["gram"].to_numpy(), rows["log"].to_numpy()
+
+
+def look_up_texts(texts: list[bytes], order: int, table: GramTable) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each text and its end the sum over the grams in ``table``, and the distinct grams that are not, with how often they come."""
+    codes, starts = _codes(texts, order)
+    logs = np.zeros(len(codes))
+    far_at, far = [], []
+    for a in range(0, len(codes) - order, 1 << 18):
+        run = codes[a : a + (1 << 18) + order]
+        grams = run[: len(run) - order].copy()
+        for j in range(1, order + 1):
+            grams <<= BITS
+            grams |= run[j : len(run) - order + j]
+        found = table.look_up(grams)
+        found[run[order:] == BEFORE] = 0
+        lacking = np.flatnonzero(np.isnan(found))
+        far_at.append(lacking + a)
+        far.append(grams[lacking])
+        found[lacking] = 0
+        logs[a : a + len(found)] = found
+    owner = np.searchsorted(starts, np.concatenate(far_at), "right") - 1
+    far = np.concatenate(far)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    missed, times = zip(*[np.unique(far[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:])])
+    return np.add.reduceat(logs, starts[:-1]), list(missed), list(times)
+
+
 @dataclass
 class ByteModel:
-    """A context trie as tables: for each state and symbol column the log10 probability and the next state."""
+    """A context trie in memory: for each state and symbol column the log10 probability and the next state."""
 
     order: int
     columns: np.ndarray  # column of each code
@@ -116,26 +240,11 @@ class ByteModel:
     width: int
 
 
-def fit_bytes(counts: DataFrame, order: int, contexts: int) -> ByteModel:
-    """The trie of the ``contexts`` most frequent contexts over all counted grams, with exact counts.
+def build_trie(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int) -> ByteModel:
+    """The model in memory, for corpora of which all counts fit; the tests hold the joins against it.
 
-    All contexts above a count are taken: their suffixes and prefixes are as frequent, so the trie is closed. What comes to the driver is
-    bounded by ``contexts`` times the symbols.
+    Probabilities with escapes (half a count for each distinct symbol of a context) and exclusion of what longer contexts saw.
     """
-    mask = (1 << BITS) - 1
-    grams = counts.filter("kind = 'g'").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("gram"), "n")
-    levels = F.explode(F.array(*[F.struct(F.lit(o).alias("depth"), F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << BITS * o) - 1)).alias("context")) for o in range(order + 1)])).alias("c")
-    long = grams.select(levels, F.col("gram").bitwiseAND(F.lit(mask)).cast("int").alias("symbol"), "n").select("c.*", "symbol", "n")
-    symbols = written(long.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")), "lm-trie")
-    totals = written(symbols.groupBy("depth", "context").agg(F.sum("n").alias("total")), "lm-contexts")
-    least = _least_count(totals, "total", contexts)
-    kept = symbols.join(totals.filter(F.col("total") >= least), ["depth", "context"])
-    kept = kept.select(F.col("depth").cast("byte").alias("depth"), "context", F.col("symbol").cast("short").alias("symbol"), "n").toPandas()
-    return build_trie(*(kept.pop(name).to_numpy() for name in ("depth", "context", "symbol", "n")), order)
-
-
-def build_trie(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, order: int) -> ByteModel:
-    """Probabilities with escapes (half a count for each distinct symbol of a context) and exclusion of what longer contexts saw."""
     seen = np.unique(symbol[symbol > BEFORE]).astype(np.int64)
     width = len(seen) + 2  # column 0: BEFORE; the last: any symbol the corpus lacks
     columns = np.full(SYMBOLS + 1, width - 1, dtype=np.int32)
@@ -241,13 +350,14 @@ def adaptive_scores(docs: DataFrame, order: int = 5, id_col: str = "doc_id", tex
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 30_000, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contexts: int = 1 << 19, frequent: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole documents by a base of word counts and by a byte model, both counted over all of ``training``.
 
     Words are cut at ASCII white space, A-Z lower-cased, and each document adds one end. ``frequent`` words travel to every
     task; they take most tokens and all hot ones. The other tokens meet their counts in a join, where no word is hot, so
-    the base is exact for any vocabulary. The byte model is a trie of at most ``contexts`` contexts (its size is the
-    model's, not the corpus's) of up to ``order`` bytes.
+    the base is exact for any vocabulary. The byte model is the whole trie of all contexts of up to ``order`` bytes, as tables.
+    Its ``contexts`` most frequent full contexts with their symbol travel in the same way; all other grams of the documents, seen or
+    not, meet the tables in joins. Neither number changes a result.
 
     Returns one row per row of ``docs``: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``. Null texts count
     as empty: one end. With no training rows the base is 0 and every byte is as likely. Ids may be null or repeat; other columns are
@@ -260,13 +370,15 @@ def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contex
     tokens, types, ends = size["tokens"] or 0, size["types"] or 0, size["ends"] or 0
     below = np.log10(tokens + 0.1 * (types + 1))
     plain = words.filter("kind = 'w'").select("key", "n")
-    top = plain.filter(F.col("n") >= _least_count(plain, "n", frequent)).toPandas()  # at most ``frequent`` rows
-    known = dict(zip(map(bytes, top.pop("key")), (np.log10(top["n"].to_numpy(dtype=float) + 0.1) - below).tolist()))
-    shared = spark.sparkContext.broadcast((known, fit_bytes(counts, order, contexts), float(np.log10(ends + 0.1) - below)))
+    top = plain.filter(F.col("n") >= _least_count(plain, "n", frequent)).toArrow()  # at most ``frequent`` rows
+    known = top["key"].combine_chunks(), np.log10(top["n"].to_numpy().astype(float) + 0.1) - below
+    trie, totals = count_trie(counts, order)
+    shared = spark.sparkContext.broadcast((known, frequent_grams(trie, totals, order, contexts), float(np.log10(ends + 0.1) - below)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, model, end = shared.value
+        (keys, key_logs), frequent_logs, end = shared.value
+        table, grams = dict(zip(keys.to_pylist(), key_logs.tolist())), GramTable.of(*frequent_logs)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts, ids = [t.as_py() for t in batch.column("text")], batch.column("doc_id")
@@ -279,14 +391,20 @@ def score_documents(docs: DataFrame, training: DataFrame, order: int = 5, contex
                     sums.append(sum(x for x in logs if x is not None) + end if tail else sum(logs) + end)
                     n.append(len(own) + 1)
                     tails.append(tail)
-                arrays = [ids.slice(a, b - a), pa.array(range(row, row + b - a), pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(score_bytes(texts[a:b], model), pa.float64()), pa.array(tails, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "sums", "score", "tail"])
+                found, missed, times = look_up_texts(texts[a:b], order, grams)
+                arrays = [ids.slice(a, b - a), pa.array(range(row, row + b - a), pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(found, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(missed, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_tokens", "sums", "found", "tail", "missed", "times"])
                 row += b - a
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(score, f"doc_id {kind}, row long, n_tokens long, sums double, score double, tail array<binary>"), "lm-scores")
+    scored = written(rows.mapInArrow(score, f"doc_id {kind}, row long, n_tokens long, sums double, found double, tail array<binary>, missed array<long>, times array<long>"), "lm-scores")
     tail = scored.select("row", F.explode("tail").alias("key")).join(plain, "key", "left")
-    rest = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1) - F.lit(float(below))).alias("rest"), F.count_if(F.col("n").isNull()).alias("unknown"))
-    out = scored.drop("tail").join(rest, "row", "left")
+    tail = tail.select("row", (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - F.lit(float(below))).alias("rest"), F.when(F.col("n").isNull(), 1).otherwise(0).alias("unknown"), F.lit(0.0).alias("far"))
+    missed = scored.select("row", F.explode(F.arrays_zip("missed", "times")).alias("m")).select("row", F.col("m.missed").alias("gram"), F.col("m.times").alias("times"))
+    chances = gram_chances(missed.select("gram").distinct(), trie, totals, order)
+    far = missed.join(chances, "gram").select("row", F.lit(0.0).alias("rest"), F.lit(0).alias("unknown"), (F.col("times") * F.col("log")).alias("far"))
+    rest = tail.unionByName(far).groupBy("row").agg(F.sum("rest").alias("rest"), F.sum("unknown").alias("unknown"), F.sum("far").alias("far"))
+    out = scored.drop("tail", "missed", "times").join(rest, "row", "left")
     unknown = F.coalesce("unknown", F.lit(0)) + (0 if ends else 1)
-    return out.select("doc_id", "n_tokens", (F.col("n_tokens") - unknown).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("sums") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    base, bytes_ = F.col("sums") + F.coalesce("rest", F.lit(0.0)), F.col("found") + F.coalesce("far", F.lit(0.0))
+    return out.select("doc_id", "n_tokens", (F.col("n_tokens") - unknown).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), bytes_.alias("score"))

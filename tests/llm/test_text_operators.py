@@ -186,6 +186,25 @@ def test_trie_is_a_distribution():
     assert len(score_bytes([], model)) == 0 and score_bytes([b"", b"a"], model)[0] < 0
 
 
+@pytest.mark.parametrize("order", [0, 3, 5])
+def test_whole_trie_at_any_broadcast_size(spark, order):
+    """However few grams travel, all contexts count: the scores are those of the whole trie in memory."""
+    rows = corpus()
+    docs = frame(spark, rows)
+    tables = defaultdict(Counter)
+    for i, t in rows:
+        if i is None or i % 5:
+            past = [0] * order + [b + 2 for b in (t or "").encode()] + [1]
+            for k in range(order, len(past)):
+                for o in range(order + 1):
+                    tables[o, sum(c << 9 * (o - 1 - j) for j, c in enumerate(past[k - o : k]))][past[k]] += 1
+    whole = build_trie(*map(np.array, zip(*[(o, c, s, n) for (o, c), own in tables.items() for s, n in own.items()])), order)
+    wanted = sorted(score_bytes([(t or "").encode() for _, t in rows], whole))
+    for contexts in (1, 300, 1 << 20):
+        got = score_documents(docs, docs.filter("doc_id is null or doc_id % 5 <> 0"), order=order, contexts=contexts).collect()
+        assert np.allclose(sorted(r.score for r in got), wanted, rtol=1e-5, atol=1e-4)
+
+
 def test_adaptive(spark):
     assert abs(adaptive_log10(b"", 2) - np.log10(1 / 257)) < 1e-12
     assert adaptive_log10(b"ab" * 200) > adaptive_log10(bytes(random.Random(1).choices(range(256), k=400)))
