@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of at most 1024 tokens."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, added_tokens=True)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact_copies), ("near duplicates", near_copies), ("benchmark decontamination", decontaminate), ("packing", packing)]

@@ -6,6 +6,7 @@ import heapq
 import json
 from bisect import insort
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +17,29 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import whole_text
 
 PIECES = "doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_LOADED: dict[str, Callable[[str], np.ndarray]] = {}
+_LOADED: dict[tuple[str, bool], Callable[[str], np.ndarray]] = {}
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to token ids for a byte-level BPE file of the ``tokenizers`` library, without special tokens.
+def encoder(path: str, added_tokens: bool = False) -> Callable[[str], np.ndarray]:
+    """Text to token ids for a byte-level BPE file of the ``tokenizers`` library; no special tokens are added.
 
-    The file's own vocabulary and split pattern are run by the faster ``tiktoken``; strings of special tokens in a text are
-    ordinary text. The tests hold the ids against the ``tokenizers`` library.
+    The file's own vocabulary and split pattern are run by the faster ``tiktoken``. With ``added_tokens``, the string of an added token
+    of the file is that token's one id, as in the library's default call; without, it is ordinary text. The tests hold the ids against the ``tokenizers`` library.
     """
-    if path not in _LOADED:
+    if (path, added_tokens) not in _LOADED:
         import public_tokenizers
         import tiktoken
 
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-        coding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[path] = lambda text: np.array(coding.encode_ordinary(text), dtype="<u4")
-    return _LOADED[path]
+            content = json.load(file)
+        vocabulary, added = content["model"]["vocab"], {t["content"]: t["id"] for t in content["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
+        coding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        encode = partial(coding.encode, allowed_special="all") if added_tokens else coding.encode_ordinary
+        _LOADED[path, added_tokens] = lambda text: np.array(encode(text), dtype="<u4")
+    return _LOADED[path, added_tokens]
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -78,10 +81,10 @@ def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
         windows = max(windows + 1, -(-total // max(1, capacity - (top - total // windows))) if top - total // windows < capacity else windows * 2)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, grain: int = 256, end_id: int = 0, group_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, grain: int = 256, end_id: int = 0, group_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Tokenize whole documents and pack them into sequences of at most ``capacity`` tokens.
 
-    A document is its ids and ``end_id``. Its full windows of ``capacity`` ids are sequences of their own. The rest is cut
+    A document is its ids (see ``encoder`` for ``added_tokens``) and ``end_id``. Its full windows of ``capacity`` ids are sequences of their own. The rest is cut
     into parts of ``grain`` ids and one of what is left, and the parts of some ``group_tokens`` of neighbouring documents are dealt by
     differencing into near-equal windows; the window count rises whenever one would exceed the capacity. A task holds one
     group at a time, so memory is bounded whatever the size of the table, and no row is shuffled. Sequence ids are
@@ -95,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, grain:
     kind = rows.schema["doc_id"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, next_id = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        encode, next_id = encoder(tokenizer, added_tokens), TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         waiting = 0
 

@@ -105,7 +105,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, added_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -140,6 +140,23 @@ def test_packing(spark):
     assert all(encode(t or "").tolist() == plain.encode(t or "", add_special_tokens=False).ids for _, t in rows)
 
 
+def test_packing_of_added_tokens(spark, monkeypatch):
+    """The query and the pipeline's last stage give the ids of the library's default call."""
+    import corpus_pipeline
+    from tallyforge.llm import queries
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(TOKENIZER)
+    texts = ["<|endoftext|> is text", "a <|endoftext|>  b<|endoftext|><|endoftext|>\n", "x <|endoftext|>\n\n y", "<|<|endoftext|>|>", "<|endoftext|", None]
+    wanted = {i: [*default.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert wanted[0] == [50256, 318, 2420, 0]
+    docs = frame(spark, list(enumerate(texts)))
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    crc = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in wanted.items()}
+    assert {p.doc_id: (p.length, p.ids_crc32) for p in queries.op6_packing(spark, "").collect()} == crc
+    assert {p.doc_id: np.frombuffer(bytes(p.ids), "<u4").tolist() for p in corpus_pipeline.packing(spark, docs, "").collect()} == wanted
+
+
 def test_language_model_base_and_trie(spark):
     rows = corpus()
     docs = frame(spark, rows)
