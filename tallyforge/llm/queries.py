@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import crc_mod
 from tallyforge.llm.decontaminate import contamination
 from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.fingerprints import as_text, distinct_shingles, fingerprint_edits, resemblance
 from tallyforge.llm.language import identify_languages
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.lm_ppm import score_documents
@@ -149,3 +150,38 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, docs.filter(crc_mod("doc_id", 10) != 0))
     return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _padded(text: str) -> str:
+    return "list_concat(['', '', '', ''], regexp_extract_all(" + _lower(text) + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))"
+
+
+def _sketch(words: str) -> str:
+    """SQL for the 128 smallest hashes, as hex, of the five-word shingles of a padded list of words."""
+    return f"list_sort(list_distinct(list_transform(range(1, len({words}) - 3), lambda i: substr(md5(array_to_string({words}[i:i + 4], ' ')), 1, 15))))[1:128]"
+
+
+def _alike(a: str, b: str) -> str:
+    union = f"list_sort(list_distinct(list_concat({a}, {b})))[1:128]"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({union}, list_intersect({a}, {b})))::DOUBLE / len({union}) END"
+
+
+@register(
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+    n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM d),
+    e AS (SELECT doc_id, n_chars, text, next, substr(text, 1, n_chars - n_chars // 3) || substr(next, 1, n_chars // 3) AS edited FROM n),
+    w AS (SELECT doc_id, n_chars, edited, {_padded("text")} AS own, {_padded("edited")} AS new, {_padded("next")} AS following FROM e),
+    s AS (SELECT doc_id, n_chars, edited, {_sketch("own")} AS a, {_sketch("new")} AS b, {_sketch("following")} AS c FROM w)
+    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+           {_alike("a", "b")} AS near_edited, {_alike("a", "c")} AS near_next,
+           CASE WHEN len(a) < 128 THEN len(a)::DOUBLE ELSE 127 / (('0x' || a[128])::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE) END AS n_shingles
+    FROM s
+    """
+)
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(table(spark, sf_dir, "documents"), words=5, k=128)
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), distinct_shingles(F.col("sketch")).alias("n_shingles"),
+    )
