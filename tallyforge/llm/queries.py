@@ -14,6 +14,7 @@ from tallyforge.llm.decontaminate import contamination
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.fingerprints import as_text, distinct_shingles, fingerprint_edits, resemblance
 from tallyforge.llm.language import identify_languages
+from tallyforge.llm.lexical_search import search
 from tallyforge.llm.line_dedup import line_dedup
 from tallyforge.llm.lm_ppm import score_documents
 from tallyforge.llm.ngram_join import ngram_join
@@ -185,3 +186,24 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), distinct_shingles(F.col("sketch")).alias("n_shingles"),
     )
+
+
+_TERMS = "regexp_extract_all(" + _lower("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register(
+    f"""
+    WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+    size AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+    tf AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    met AS (SELECT item_id, doc_id, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))) AS part
+            FROM asked JOIN df USING (term) JOIN tf USING (term), size),
+    scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM met GROUP BY ALL HAVING sum(part) > 0)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores QUALIFY rank <= 10
+    """
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
