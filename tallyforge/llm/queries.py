@@ -21,6 +21,7 @@ from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.packing import pack_documents
 from tallyforge.llm.quality import fit_quality, score_quality
 from tallyforge.llm.sharding import shard_by_bytes
+from tallyforge.llm.spelling import spelling_variants
 from tallyforge.llm.suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +208,26 @@ _TERMS = "regexp_extract_all(" + _lower("coalesce(text, '')") + r", '[^\x00-\x2F
 )
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@register(
+    f"""
+    WITH RECURSIVE step AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) r(i)),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+    hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+    hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                                            lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, step),
+    cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM words, unnest(range(1, length(word) + 1)) r(i)),
+    near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+             UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.short = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.short = b.word),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON walk.at = f.word WHERE f.form IS NOT NULL)
+    SELECT forms.word, forms.form, walk.at AS root, forms.n, forms.n_near, forms.form_n
+    FROM forms JOIN walk USING (word) JOIN forms f ON walk.at = f.word AND f.form IS NULL
+    """
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_chars=6, least_n=5, ratio=5, modulus=199)
