@@ -19,10 +19,8 @@ from tallyforge.llm.common import row_hash, whole_text, written
 
 #: Separators become spaces and A-Z a-z; every other byte belongs to a term.
 TERM_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: Coordinates of a sketch, what an impact is counted in there, bits of the map of texts to rescore, counts a task holds.
-WIDTH, STEP, MAP_BITS, HELD = 1 << 16, 16, 1 << 20, 400_000
-#: Query terms that one pass takes, on average.
-BLOCK_TERMS = 1 << 16
+#: What an impact is counted in within a sketch, and counts a task holds.
+STEP, HELD = 16, 400_000
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -65,7 +63,7 @@ def term_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return written(partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")), "search-terms")
 
 
-def build_sketches(docs: DataFrame, documents: int, length: int, text_col: str = "text") -> DataFrame:
+def build_sketches(docs: DataFrame, documents: int, length: int, width: int = 1 << 16, text_col: str = "text") -> DataFrame:
     """``row, places, peaks`` as a written table: for each document with terms the coordinates its terms fall on and the largest impact on each.
 
     ``row`` hashes the text; places and peaks are little-endian 16-bit. A peak is the impact in steps of ``STEP``, rounded up, so
@@ -79,7 +77,7 @@ def build_sketches(docs: DataFrame, documents: int, length: int, text_col: str =
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 own = Counter(terms_of(text.as_py()))
                 if own:
-                    places, at = np.unique(np.fromiter((zlib.crc32(t) % WIDTH for t in own), np.int64, len(own)), return_inverse=True)
+                    places, at = np.unique(np.fromiter((zlib.crc32(t) % width for t in own), np.int64, len(own)), return_inverse=True)
                     peaks = np.zeros(len(places), np.int64)
                     np.maximum.at(peaks, at, -(-impacts(np.fromiter(own.values(), np.int64, len(own)), own.total(), documents, length) // STEP))
                     out.append((row, places.astype("<u2").tobytes(), peaks.astype("<u2").tobytes()))
@@ -98,21 +96,22 @@ class Block:
     terms: list[bytes]
     weights: np.ndarray
     starts: np.ndarray
+    width: int
 
     @staticmethod
-    def of(rows: pa.Table, documents: int) -> Block:
+    def of(rows: pa.Table, documents: int, width: int) -> Block:
         rows = rows.sort_by([("item", "ascending"), ("term", "ascending")])
         items, starts = np.unique(rows["item"].to_numpy(), return_index=True)
-        return Block(items.tolist(), rows["term"].to_pylist(), np.array([weight(documents, df) for df in rows["df"].to_pylist()], np.int64), starts)
+        return Block(items.tolist(), rows["term"].to_pylist(), np.array([weight(documents, df) for df in rows["df"].to_pylist()], np.int64), starts, width)
 
     @property
     def places(self) -> np.ndarray:
-        return np.array([zlib.crc32(t) % WIDTH for t in self.terms], np.int64)
+        return np.array([zlib.crc32(t) % self.width for t in self.terms], np.int64)
 
 
 def _bounds(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For some documents at a time their rows and an upper bound of each one's score for each item."""
-    places, peak = block.places, np.zeros(WIDTH, np.int64)
+    places, peak = block.places, np.zeros(block.width, np.int64)
     most = max(1, (1 << 21) // len(block.items))
     for batch in batches:
         for a in range(0, len(batch), most):
@@ -147,11 +146,12 @@ def highest_bounds(sketches: DataFrame, block: Block, most: int) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= most).drop("place")
 
 
-def _marked(rows: DataFrame) -> np.ndarray:
-    """A map of ``MAP_BITS`` flags: set where a row's hash falls. However many rows there are, it stays that small."""
-    flags = np.zeros(MAP_BITS, bool)
-    flags[rows.select(F.pmod("row", F.lit(MAP_BITS)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()] = True
-    return np.packbits(flags)
+def _marked(rows: DataFrame, flags: int) -> np.ndarray:
+    """A map of so many flags, set where a row's hash falls. However many rows there are, it stays that small."""
+    at = rows.select(F.pmod("row", F.lit(flags)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    marked = np.zeros(flags, bool)
+    marked[at] = True
+    return marked
 
 
 def rows_above(sketches: DataFrame, block: Block, floors: np.ndarray) -> DataFrame:
@@ -168,9 +168,9 @@ def rows_above(sketches: DataFrame, block: Block, floors: np.ndarray) -> DataFra
 
 def exact_top(docs: DataFrame, block: Block, flags: np.ndarray, documents: int, length: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``item, doc_id, row, score, rank``: for each item the ``k`` best of the documents whose text is flagged, by their exact scores above 0."""
-    shared = docs.sparkSession.sparkContext.broadcast((block, flags))
+    shared = docs.sparkSession.sparkContext.broadcast((block, np.packbits(flags)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("row", row_hash("text"))
-    rows = rows.withColumn("at", F.pmod("row", F.lit(MAP_BITS)).cast("int")).withColumn("text", F.col("text").cast("binary"))
+    rows = rows.withColumn("at", F.pmod("row", F.lit(len(flags))).cast("int")).withColumn("text", F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +208,14 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return items.select("item", F.col("text").cast("binary").alias("text")).mapInArrow(split, "item long, term binary")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10, first: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, first: int = 40, width: int = 1 << 16, flags: int = 1 << 20, block_terms: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The ``k`` best documents for each item.
 
     The terms of all documents are counted, and each document's impacts are folded into a stored sketch of coordinatewise maxima. Items
-    are searched in blocks of some ``BLOCK_TERMS`` terms. A block's lookups give every document an upper bound; the ``first`` documents
+    are searched in blocks of some ``block_terms`` terms. A block's lookups give every document an upper bound; the ``first`` documents
     of highest bound are scored exactly, which gives each item a floor: its ``k``-th best score so far. Every document whose bound
     reaches the floor is scored next, so none that belongs to the result is missed, whatever the sketches are worth. A document's text is
-    read again only if its hash is flagged in a map of fixed size; a crowded map costs time, not results.
+    read again only if its hash is flagged in a map of ``flags`` bits. A crowded map and a small ``width`` (at most 65,536 coordinates) cost time, not results.
 
     Returns ``item_id, rank, doc_id, score``: ranks count from 1, highest score first, ties by ascending ``doc_id`` (null last), then by a hash of
     the text. Documents with score 0 are not listed. Null texts have no terms; an item without terms has no rows. Items that repeat
@@ -228,19 +228,19 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, first: int = 40, id_c
     size = statistics.filter(F.col("term") == F.lit(b"")).first()
     documents, length = (size["df"], size["n"]) if size else (0, 0)
     wanted = written(_item_terms(asked).join(statistics.select("term", "df"), "term"), "search-asked")
-    blocks = -(-wanted.count() // BLOCK_TERMS)
-    sketches = build_sketches(docs, documents, length, text_col) if blocks else None
+    blocks = -(-wanted.count() // block_terms)
+    sketches = build_sketches(docs, documents, length, width, text_col) if blocks else None
     results = []
     for b in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).select("item", "term", "df").toArrow()
         if not rows.num_rows:
             continue
-        block = Block.of(rows, documents)
-        tops = exact_top(docs, block, _marked(highest_bounds(sketches, block, first)), documents, length, k, id_col, text_col)
+        block = Block.of(rows, documents, width)
+        tops = exact_top(docs, block, _marked(highest_bounds(sketches, block, first), flags), documents, length, k, id_col, text_col)
         floors = np.ones(len(block.items), np.int64)
         for r in tops.filter(F.col("rank") == k).select("item", "score").collect():  # one row an item of the block
             floors[np.searchsorted(block.items, r["item"])] = r["score"]
-        best = exact_top(docs, block, _marked(rows_above(sketches, block, floors)), documents, length, k, id_col, text_col)
+        best = exact_top(docs, block, _marked(rows_above(sketches, block, floors), flags), documents, length, k, id_col, text_col)
         results.append(written(best.select("item", "rank", "doc_id", "score"), "search-best"))
     if not results:
         kind = docs.schema[id_col].dataType.simpleString()

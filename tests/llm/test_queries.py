@@ -17,7 +17,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_decontamination", "op8_exact_dedup", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_decontamination", "op8_exact_dedup", "op9_line_dedup", "op11_fingerprints", "op12_lexical_search", "op13_spelling_variants"])
 def test_against_sql(spark, name):
     assert compare(QUERIES[name](spark, FOLDER), connect(FOLDER), SQL[name]) is None
 
