@@ -17,22 +17,41 @@ from tallyforge.llm.common import whole_text, written
 #: Codes of the byte model: 0 stands before a text, 1 ends it, a byte ``b`` is ``b + 2``. Nine bits each.
 BEFORE, END, BITS = 0, 1, 9
 SYMBOLS = 257
-#: Text handled at a time, and counts a task holds before it hands them on.
-SLICE_BYTES, HELD_WORDS = 1 << 22, 400_000
+#: Text handled at a time, grams made at a time, and counts a task holds before it hands them on.
+SLICE_BYTES, RUN, HELD_WORDS, HELD_GRAMS = 1 << 20, 1 << 18, 150_000, 1 << 19
 
 
 def _codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one run of codes, each after ``order`` codes BEFORE and ended by END; and where each one starts."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + order + 1)])
-    codes = np.zeros(starts[-1], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    shift = np.repeat(np.arange(len(texts), dtype=np.int64) * (order + 1) + order, sizes)
-    codes[np.arange(len(data)) + shift] = data.astype(np.int64) + 2
+    """All texts as one run of 16-bit codes, each after ``order`` codes BEFORE and ended by END; and where each one starts."""
+    starts = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], dtype=np.int64) + order + 1)])
+    codes = np.zeros(starts[-1], dtype=np.int16)
+    for text, start in zip(texts, starts + order):
+        codes[start : start + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        codes[start : start + len(text)] += 2
     codes[starts[1:] - 1] = END
     return codes, starts
 
 
+def _grams(codes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The packed grams of ``order`` + 1 codes, ``RUN`` at a time, each time with the place of the first."""
+    for a in range(0, len(codes) - order, RUN):
+        run = codes[a : a + RUN + order].astype(np.int64)
+        grams = run[: len(run) - order].copy()
+        for j in range(1, order + 1):
+            grams <<= BITS
+            grams |= run[j : len(run) - order + j]
+        yield a, grams
+
+
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of keys and counts as one."""
+    keys, n = np.concatenate([k for k, _ in runs]), np.concatenate([n for _, n in runs])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``SLICE_BYTES``."""
     first, held = 0, 0
@@ -65,31 +84,29 @@ def count_corpus(docs: DataFrame, order: int, text_col: str = "text") -> DataFra
             return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
 
         words: Counter = Counter()
-        keys, sums, ends = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        runs, waiting, ends = [], 0, 0
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             ends += len(texts)
             for a, b in _slices(texts):
                 for text in texts[a:b]:
                     words.update(text.lower().split())
-                codes, _ = _codes(texts[a:b], order)
-                grams = codes[: len(codes) - order].copy()
-                for j in range(1, order + 1):
-                    grams <<= BITS
-                    grams |= codes[j : len(codes) - order + j]
-                new, n = np.unique(grams[(grams & ((1 << BITS) - 1)) != BEFORE], return_counts=True)
-                both = np.concatenate([keys, new])
-                keys, at = np.unique(both, return_inverse=True)
-                sums = np.bincount(at, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
                 if len(words) >= HELD_WORDS:
                     yield rows(pa.array([b"w" + w for w in words], pa.binary()), list(words.values()))
                     words = Counter()
-                if len(keys) >= 4 * HELD_WORDS:
-                    yield rows(_tagged(b"g", keys), sums)
-                    keys, sums = keys[:0], sums[:0]
+                for _, grams in _grams(_codes(texts[a:b], order)[0], order):
+                    runs.append(np.unique(grams[(grams & ((1 << BITS) - 1)) != BEFORE], return_counts=True))
+                    waiting += len(runs[-1][0])
+                    if waiting >= 2 * HELD_GRAMS:
+                        runs = [_merged(runs)]
+                        waiting = len(runs[0][0])
+                        if waiting >= HELD_GRAMS:
+                            yield rows(_tagged(b"g", runs[0][0]), runs[0][1])
+                            runs, waiting = [], 0
         if words:
             yield rows(pa.array([b"w" + w for w in words], pa.binary()), list(words.values()))
-        if len(keys):
+        if waiting:
+            keys, sums = _merged(runs)
             yield rows(_tagged(b"g", keys), sums)
         if ends:
             yield rows(pa.array([b"e"], pa.binary()), [ends])
@@ -208,26 +225,21 @@ def frequent_grams(trie: DataFrame, contexts: DataFrame, order: int, most: int)
 def look_up_texts(texts: list[bytes], order: int, table: GramTable) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """For each text and its end the sum over the grams in ``table``, and the distinct grams that are not, with how often they come."""
     codes, starts = _codes(texts, order)
-    logs = np.zeros(len(codes))
-    far_at, far = [], []
-    for a in range(0, len(codes) - order, 1 << 18):
-        run = codes[a : a + (1 << 18) + order]
-        grams = run[: len(run) - order].copy()
-        for j in range(1, order + 1):
-            grams <<= BITS
-            grams |= run[j : len(run) - order + j]
+    sums = np.zeros(len(texts))
+    owners, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, grams in _grams(codes, order):
         found = table.look_up(grams)
-        found[run[order:] == BEFORE] = 0
+        found[(grams & ((1 << BITS) - 1)) == BEFORE] = 0
+        owner = np.searchsorted(starts, np.arange(a, a + len(grams)), "right") - 1
         lacking = np.flatnonzero(np.isnan(found))
-        far_at.append(lacking + a)
+        owners.append(owner[lacking])
         far.append(grams[lacking])
         found[lacking] = 0
-        logs[a : a + len(found)] = found
-    owner = np.searchsorted(starts, np.concatenate(far_at), "right") - 1
+        sums[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], weights=found)
     far = np.concatenate(far)
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    cuts = np.searchsorted(np.concatenate(owners), np.arange(len(texts) + 1))
     missed, times = zip(*[np.unique(far[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:])])
-    return np.add.reduceat(logs, starts[:-1]), list(missed), list(times)
+    return sums, list(missed), list(times)
 
 
 @dataclass

@@ -72,7 +72,7 @@ def _counts(word: Column, groups: list[str]) -> list[Column]:
 
 
 def _moves(depth: int) -> list[list[int]]:
-    """All changes of a length and ``depth`` counts that a surplus and a deficit of at most one each allow."""
+    """All changes of a length and ``depth`` counts that a surplus and a deficit of at most one each allow. With each its opposite is one too."""
     moves = []
     for up in range(-1, depth):
         for down in range(-1, depth):
@@ -112,23 +112,23 @@ class Trie:
                 self.ends.setdefault((True, word[:3]), []).append((word, n))
                 self.ends.setdefault((False, word[-3:]), []).append((word, n))
 
-    def search(self, word: str, counts: tuple[int, ...], level: int, surplus: bool, deficit: bool) -> Iterator[tuple[str, int]]:
-        """The near words of ``word`` below this node, depth first, with what is left of the budget. One edit leaves the first or the last three letters."""
+    def search(self, word: str, counts: tuple[int, ...], level: int, surplus: bool, deficit: bool, found: list[tuple[str, int]]) -> None:
+        """Adds the near words of ``word`` below this node, depth first, with what is left of the budget. One edit leaves the first or the last three letters."""
         if self.children is None:
             for other in self.ends.get((True, word[:3]), ()):
                 if near(word, other[0]):
-                    yield other
+                    found.append(other)
             for other in self.ends.get((False, word[-3:]), ()):
                 if other[0][:3] != word[:3] and near(word, other[0]):
-                    yield other
+                    found.append(other)
             return
         own = counts[level]
         if child := self.children.get(own):
-            yield from child.search(word, counts, level + 1, surplus, deficit)
+            child.search(word, counts, level + 1, surplus, deficit, found)
         if surplus and (child := self.children.get(own + 1)):
-            yield from child.search(word, counts, level + 1, False, deficit)
+            child.search(word, counts, level + 1, False, deficit, found)
         if deficit and (child := self.children.get(own - 1)):
-            yield from child.search(word, counts, level + 1, surplus, False)
+            child.search(word, counts, level + 1, surplus, False, found)
 
 
 def _depth(words: DataFrame, levels: int, most: int) -> int:
@@ -144,19 +144,20 @@ def near_words(words: DataFrame, groups: int = 16, most: int = 4096) -> DataFram
     """``word, n_near, best, best_n``: for each word that has near words their number and the one of largest ``n`` (ties: the smallest in code-point order).
 
     The top of the trie divides the words: its first levels, as few as leave at most ``most`` words below a node, are the key by which
-    words meet. Each word is sent to the nodes that the budget reaches. A task holds the trie below one node at a time and walks it for
-    each word sent there; no pair leaves the task, only a word's sum and best. Words of at least six code points are expected.
+    words meet. Each word is sent to its own node and, of any two nodes that the budget links, from the lesser to the greater. A task holds the
+    trie below one node at a time and walks it for each word sent there, which then counts for both sides; no pair leaves the task, only a
+    word's sum and best. Words of at least six code points are expected.
     """
     letters = letter_groups(words, groups)
     levels = _counts(F.col("word"), letters)
     placed = written(words.select("word", "n", levels[0].alias("length"), F.array(*levels[1:]).alias("counts")), "spelling-levels")
     depth = _depth(placed, len(letters), most)
     top = F.concat(F.array("length"), F.slice("counts", 1, depth))
-    moves = F.array(*[F.array(*map(F.lit, m)) for m in _moves(depth)])
+    moves = F.array(*[F.array(*map(F.lit, m)) for m in _moves(depth) if m >= [0] * (depth + 1)])
     path = lambda c: F.array_join(c.cast("array<string>"), ",")
     members = placed.select(path(top).alias("key"), F.lit(0).alias("asks"), "word", "n")
-    moved = placed.select("word", F.explode(F.transform(moves, lambda m: F.zip_with(top, m, lambda a, b: a + b))).alias("top"))
-    asking = moved.filter(F.array_min("top") >= 0).select(path(F.col("top")).alias("key"), F.lit(1).alias("asks"), "word", F.lit(0).cast("long").alias("n"))
+    moved = placed.select("word", "n", F.explode(F.transform(moves, lambda m: F.zip_with(top, m, lambda a, b: a + b))).alias("top"))
+    asking = moved.filter(F.array_min("top") >= 0).select(path(F.col("top")).alias("key"), F.lit(1).alias("asks"), "word", "n")
     table = {ord(c): chr(i) for i, g in enumerate(letters) for c in g}
     marks = [chr(i) for i in range(len(letters))]
 
@@ -165,29 +166,47 @@ def near_words(words: DataFrame, groups: int = 16, most: int = 4096) -> DataFram
             coded = word.translate(table)
             return tuple(coded.count(m) for m in marks)
 
-        key, held, trie, there = None, [], None, ()
+        def rows(found: dict[str, list]) -> pa.RecordBatch:
+            n_near, best_n, best = zip(*found.values())
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(n_near, pa.int64()), pa.array(best, pa.string()), pa.array([-n for n in best_n], pa.int64())], ["word", "n_near", "best", "best_n"])
+
+        def tell(met: dict[str, list], word: str, other: str, n: int) -> None:
+            if word not in met:
+                met[word] = [1, -n, other]
+            else:
+                so_far = met[word]
+                so_far[0] += 1
+                if (-n, other) < (so_far[1], so_far[2]):
+                    so_far[1:] = -n, other
+
+        key, held, trie, there, met = None, [], None, (), {}
         for batch in batches:
-            out = []
             for k, asks, word, n in zip(*[batch.column(c).to_pylist() for c in ("key", "asks", "word", "n")]):
                 if k != key:
-                    key, held, trie, there = k, [], None, tuple(map(int, k.split(",")[1:]))
+                    if len(met) >= HELD // 8:
+                        yield rows(met)
+                        met = {}
+                    key, held, trie, there = k, [], None, tuple(map(int, k.split(",")))
                 if not asks:
                     held.append((word, n, counts(word)))
                     continue
                 if not held:
                     continue
-                trie = trie or Trie(held, depth)
-                own = counts(word)
-                found = list(trie.search(word, own, depth, all(a <= b for a, b in zip(there, own)), all(a >= b for a, b in zip(there, own))))
-                if found:
-                    best, best_n = min(found, key=lambda f: (-f[1], f[0]))
-                    out.append((word, len(found), best, best_n))
-            if out:
-                word, n_near, best, best_n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n_near, pa.int64()), pa.array(best, pa.string()), pa.array(best_n, pa.int64())], ["word", "n_near", "best", "best_n"])
-
-    met = members.unionByName(asking).repartition("key").sortWithinPartitions("key", "asks")
-    parts = met.mapInArrow(walk, "word string, n_near long, best string, best_n long")
+                trie, own, found = trie or Trie(held, depth), counts(word), []
+                trie.search(word, own, depth, all(a <= b for a, b in zip(there[1:], own)), all(a >= b for a, b in zip(there[1:], own)), found)
+                away = there[1:] != own[:depth] or there[0] != len(word)
+                for other, other_n in found:
+                    tell(met, word, other, other_n)
+                    if away:
+                        tell(met, other, word, n)
+                if len(met) >= HELD:
+                    yield rows(met)
+                    met = {}
+        if met:
+            yield rows(met)
+
+    dealt = members.unionByName(asking).repartition("key").sortWithinPartitions("key", "asks")
+    parts = dealt.mapInArrow(walk, "word string, n_near long, best string, best_n long")
     best = F.min_by(F.struct("best", "best_n"), F.struct((-F.col("best_n")).alias("most"), "best"))
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("top")).select("word", "n_near", "top.best", "top.best_n")
 
