@@ -23,12 +23,14 @@ _LOADED: dict[tuple[str, bool], Callable[[str], np.ndarray]] = {}
 def encoder(path: str, added_tokens: bool = False) -> Callable[[str], np.ndarray]:
     """Text to token ids for a byte-level BPE file of the ``tokenizers`` library; no special tokens are added.
 
-    The file's own vocabulary and split pattern are run by the faster ``tiktoken``. With ``added_tokens``, the string of an added token
+    The file's own vocabulary and split pattern are run by the faster ``tiktoken``, whose pattern engine gives up on very long runs of white
+    space; such a text goes to ``tokenizers``. With ``added_tokens``, the string of an added token
     of the file is that token's one id, as in the library's default call; without, it is ordinary text. The tests hold the ids against the ``tokenizers`` library.
     """
     if (path, added_tokens) not in _LOADED:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -38,7 +40,18 @@ def encoder(path: str, added_tokens: bool = False) -> Callable[[str], np.ndarray
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
         coding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         encode = partial(coding.encode, allowed_special="all") if added_tokens else coding.encode_ordinary
-        _LOADED[path, added_tokens] = lambda text: np.array(encode(text), dtype="<u4")
+        slow = []
+
+        def ids(text: str) -> np.ndarray:
+            try:
+                return np.array(encode(text), dtype="<u4")
+            except ValueError:  # the pattern engine's stack is full
+                if not slow:
+                    slow.append(Tokenizer.from_file(path))
+                    slow[0].encode_special_tokens = not added_tokens
+                return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+        _LOADED[path, added_tokens] = ids
     return _LOADED[path, added_tokens]
 
 
