@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import row_hash, written
+from tallyforge.llm.common import whole_text, written
 
 KEY_BITS = 62
 
@@ -50,7 +50,7 @@ def _place(keys: Column, bounds: list[int]) -> Column:
     return sum((F.when(keys >= b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, probes: int = 1024, id_col: str = "doc_id", text_col: str = "text", blocks: int = 64) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, probes: int = 1024, id_col: str = "doc_id", text_col: str = "text", blocks: int = 64, block_bytes: int = 1 << 26) -> DataFrame:
     """Deal rows into shards of nearly equal bytes; equal texts share a shard.
 
     A row weighs its UTF-8 bytes plus 8. Its key is a hash of the text, so equal texts have one key and all others spread
@@ -58,14 +58,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002,
     they go to the emptiest shard first, the largest group first. The other keys are cut where they fill the shards up:
     rounds of exact byte counts below candidate keys move the splitters until each is within ``tolerance`` of its aim. Only
     then the rows are exchanged, once, by shard and block; a block is a hash share of a shard's rows, so a group of copies
-    of any size is split over the blocks.
+    of any size is split over the blocks. A shard has ``blocks`` of them, or as many as keep one near ``block_bytes``. The place of a block's
+    first slot comes with a row of its own.
 
     Returns all rows with ``doc_id, text, size, shard, slot``; slots count from 0 within a shard without gaps. Null texts
-    have no bytes and stay null. A group larger than a shard gets a shard of its own, and the others share the rest. Ids
+    have no bytes, stay null and share a shard with empty ones. A group larger than a shard gets a shard of its own, and the others share the rest. Ids
     may repeat or be null; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), "key": F.shiftrightunsigned(row_hash("text"), 64 - KEY_BITS), "block": F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("int")})
+    rows = rows.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), "key": F.shiftrightunsigned(F.xxhash64(whole_text("text")), 64 - KEY_BITS)})
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("mass")), "shard-keys")
     total = groups.agg(F.sum("mass")).first()[0] or 0
     slack = max(1.0, tolerance * total / shards)
@@ -82,7 +83,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002,
     room = [max(0.0, top - x) for x in load]
     shares = [sum(room[: i + 1]) / (sum(room) or 1) for i in range(shards - 1)]
     spark = docs.sparkSession
-    heavy_rows = spark.createDataFrame([(k, s) for k, s in home.items()], "key long, heavy_shard int")
+    heavy_rows = F.broadcast(spark.createDataFrame([(k, s) for k, s in home.items()], "key long, heavy_shard int"))
+    blocks = max(blocks, math.ceil(max([total / shards, *heavy.values()]) / block_bytes))
     small = groups.join(heavy_rows, "key", "left_anti")
 
     def count(ranges: list[tuple[int, int]]) -> dict[int, int]:
@@ -96,10 +98,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.002,
         return {r["cell"]: r["mass"] for r in cells.collect()}  # at most probes x (shards - 1) rows
 
     bounds = find_splitters(count, light, shares, probes, slack / 2) if light else [1 << KEY_BITS] * (shards - 1)
-    rows = rows.join(heavy_rows, "key", "left").withColumn("shard", F.coalesce("heavy_shard", _place(F.col("key"), bounds)))
-    sizes = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))  # at most shards x blocks rows
-    first = sizes.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["first"])
-    first = written(first.select("shard", "block", "first"), "shard-slots")
-    rows = rows.join(F.broadcast(first), ["shard", "block"])
-    inside = Window.partitionBy("shard", "block").orderBy("key", "doc_id")
-    return rows.select("doc_id", "text", "size", "shard", (F.col("first") + F.row_number().over(inside) - 1).cast("long").alias("slot"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(7)), F.lit(blocks)).cast("int"))
+    rows = rows.join(heavy_rows, "key", "left").withColumn("shard", F.coalesce("heavy_shard", _place(F.col("key"), bounds))).drop("heavy_shard")
+    sizes = written(rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")), "shard-blocks")
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    kind = rows.schema["doc_id"].dataType
+    firsts = firsts.select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("key"), "block", "shard", "first")
+    both = rows.withColumn("first", F.lit(None).cast("long")).select(*firsts.columns).unionByName(firsts)
+    inside = Window.partitionBy("shard", "block").orderBy("key", "doc_id")  # the row of the first slot has the smallest key
+    numbered = both.withColumn("slot", (F.max("first").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(inside) - 2).cast("long"))
+    return numbered.filter(F.col("key") >= 0).select("doc_id", "text", "size", "shard", "slot")
