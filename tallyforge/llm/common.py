@@ -25,6 +25,11 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def carried(docs: DataFrame, **beside: Column) -> DataFrame:
+    """All columns of ``docs`` as the one column ``whole``, and others beside it: no name of theirs can meet one of the table's. ``select("whole.*")`` gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *[c.alias(name) for name, c in beside.items()])
+
+
 def row_hash(*names: str) -> Column:
     """A hash of the row's content. With the id it names a row: rows equal in both behave alike, so sharing a name is harmless."""
     return F.xxhash64(*[F.col(n) for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ascii_lower, row_hash, whole_text, written
+from tallyforge.llm.common import ascii_lower, carried, row_hash, whole_text, written
 
 #: What separates words, as a pattern and as characters. Letters of either case are word characters here.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -115,9 +115,9 @@ def contamination(docs: DataFrame, phrases: DataFrame, window: int = 13, hit_sha
 def clean_documents(docs: DataFrame, phrases: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = contamination(docs, phrases, **options).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_text_row", F.xxhash64(whole_text(text_col)))
-    return rows.join(bad, rows[id_col].eqNullSafe(bad["_id"]) & (rows["_text_row"] == bad["_row"]), "left_anti").select(*docs.columns)
+    bad = contamination(docs, phrases, **options).filter("contaminated").select(F.col("doc_id").alias("bad"), F.col("row").alias("bad_hash")).distinct()
+    rows = carried(docs, id=F.col(id_col), hash=F.xxhash64(whole_text(text_col)))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("whole.*")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, within: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

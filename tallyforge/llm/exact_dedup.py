@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import whole_text, written
+from tallyforge.llm.common import carried, whole_text, written
 
 DIGEST = ["sha", "check", "n_bytes"]
 
@@ -76,9 +76,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     verdict = exact_dedup(docs, id_col, text_col, keep)
     own = verdict.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    marks = own.filter("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    rows = docs.withColumn("_sha_own", F.sha2(whole_text(text_col), 256))
-    found = rows.join(marks, rows[id_col].eqNullSafe(marks["_id"]) & (F.col("_sha_own") == F.col("_sha")), "left")
-    once = found.filter(F.col("kept").isNull()).select(*docs.columns)
-    again = found.filter("kept").dropDuplicates([id_col, "_sha_own"]).select(*docs.columns)
-    return once.unionByName(again)
+    marks = own.filter("not kept or n > 1").select(F.col("doc_id").alias("marked"), F.col("text_sha256").alias("marked_sha"), "kept")
+    rows = carried(docs, id=F.col(id_col), sha=F.sha2(whole_text(text_col), 256))
+    found = rows.join(marks, F.col("id").eqNullSafe(F.col("marked")) & (F.col("sha") == F.col("marked_sha")), "left")
+    once, again = found.filter(F.col("kept").isNull()), found.filter("kept").dropDuplicates(["id", "sha"])
+    return once.select("whole.*").unionByName(again.select("whole.*"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import row_hash, whole_text, written
+from tallyforge.llm.common import carried, row_hash, whole_text, written
 
 #: A byte table that lower-cases A-Z and turns every other ASCII byte but digits and letters into a blank.
 _BLANKS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -255,7 +255,7 @@ def _verified(texts: DataFrame, words: int, threshold: float, block: int) -> Dat
     return _in_blocks(texts, "root", block).mapInPandas(verify, "node long, links long, near long")
 
 
-def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, tolerance: float = 1e-6, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_links(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, tolerance: float = 1e-6, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All links of Jaccard similarity ``threshold`` or more between the word n-gram sets of whole documents.
 
     Documents with equal sets are one class. Classes that share a band of MinHash values meet in tasks of two blocks at
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: i
     misses all bands with a chance of 3e-6 and is pruned with one of about 6 times the tolerance.
 
     Returns one row per input row: ``doc_id, row, class_id`` (the smallest id joined by links), ``copy_id`` (the smallest id with an
-    equal set) and ``n_links`` (other documents linked with this one). Documents without words have equal, empty sets.
+    equal set), ``n_links`` (other documents linked with this one) and ``group``, one number for all rows joined by links, null for a row alone. Documents without words have equal, empty sets.
     ``row`` hashes the text. Ids may repeat or be null; every row counts as a document; null texts are empty; other columns
     are ignored; an empty table gives no rows.
     """
@@ -291,10 +291,10 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: i
     linked = written(_verified(found, words, threshold, block), "links")
     joined = connected(linked.select(F.col("node").alias("a"), F.col("near").alias("b")))
     joined = joined.join(classes.select("node", "copy_id"), "node")
-    named = joined.join(joined.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id")
+    named = joined.join(joined.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "root", "class_id")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     marks = classes.filter("copies > 1").select("node").unionByName(links.select("node")).distinct().join(classes, "node")
-    marks = marks.join(links, "node", "left").join(named, "node", "left").select("set", "copies", "copy_id", "links", "class_id")
+    marks = marks.join(links, "node", "left").join(named, "node", "left").select("set", "copies", "copy_id", "links", "class_id", F.coalesce("root", "node").alias("group"))
     out = signed.select("doc_id", "row", "set").join(marks, "set", "left")
     alone: Column = F.col("copies").isNull()
     return out.select(
@@ -303,19 +303,29 @@ def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: i
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "copy_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.when(alone, 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        "group",
     )
 
 
+def ngram_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, **options) -> DataFrame:
+    """``ngram_links`` without the groups' numbers: ``doc_id, row, class_id, copy_id, n_links``."""
+    return ngram_links(docs, words, threshold, **options).drop("group")
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of every group joined by links the row with the smallest id.
+    """The rows of ``docs`` that stay, with all their columns: of every group joined by links one row, that with the smallest id.
 
-    Rows that share that id are cut to one. Rows without an id stay only if nothing else is linked with them.
+    A row without an id comes after all others, and rows of one id follow in order of a hash of their texts; one of rows repeated in both
+    stays. A row that nothing is linked with stays, whatever ids other rows have.
     """
-    verdict = ngram_join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    again = verdict.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
-    own = docs.withColumn("_text_row", F.xxhash64(whole_text(text_col)))
-    kept = own.join(gone, own[id_col].eqNullSafe(gone["_id"]) & (F.col("_text_row") == F.col("_row")), "left_anti")
-    marked = kept.join(again, kept[id_col].eqNullSafe(again["_again"]), "left")
-    once, repeated = marked.filter(F.col("_again").isNull()), marked.filter(F.col("_again").isNotNull())
-    return once.select(*docs.columns).unionByName(repeated.dropDuplicates([id_col]).select(*docs.columns))
+    verdict = ngram_links(docs, id_col=id_col, text_col=text_col, **options).filter(F.col("group").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row")).alias("first")
+    verdict = verdict.groupBy("group", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    stays = verdict.groupBy("group").agg(first)
+    verdict = verdict.join(stays, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
+    marks = written(verdict.select(F.col("doc_id").alias("marked"), F.col("row").alias("marked_hash"), "stays", "n"), "group-marks")
+    rows = carried(docs, id=F.col(id_col), hash=F.xxhash64(whole_text(text_col)))
+    same = F.col("id").eqNullSafe(F.col("marked")) & (F.col("hash") == F.col("marked_hash"))
+    found = rows.join(marks.filter("not stays or n > 1"), same, "left")
+    once, again = found.filter(F.col("stays").isNull()), found.filter("stays").dropDuplicates(["id", "hash"])
+    return once.select("whole.*").unionByName(again.select("whole.*"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import whole_text
+from tallyforge.llm.common import carried, whole_text
 
 WORD = re.compile(r"\w+|[^\w\s]+")
 #: Odd multipliers that mix the two words of a pair.
@@ -81,8 +81,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, dims
     """
     rows = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
     total = rows.count()
-    place = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000))
-    sample = rows.filter(place < int(1e6 * min(1.0, max_rows / max(1, total))))
+    place = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 62))
+    sample = rows.filter(place < int((1 << 62) * min(1.0, max_rows / max(1, total))))
     own = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     known = own.join(F.broadcast(sample), own["doc_id"] == sample["_id"]).select("text", "label", F.xxhash64("doc_id", "text", F.lit(13)).alias("place"))
 
@@ -102,9 +102,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, dims
 def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` and ``_score`` in 0 to 1: the sparse dot product of a whole text with the weights.
 
-    A null text counts as empty. A narrow step: nothing is shuffled. The weights travel to each task, their size is the
+    A column ``_score`` of the table's own is replaced. A null text counts as empty. A narrow step: nothing is shuffled. The weights travel to each task, their size is the
     classifier's own.
     """
+    return docs.withColumn("_score", scorer(docs, weights)(whole_text(text_col)))
+
+
+def good_documents(docs: DataFrame, weights: np.ndarray, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns, whatever their names."""
+    rows = carried(docs, text=whole_text(text_col))
+    return rows.withColumn("score", scorer(docs, weights)("text")).filter(F.col("score") >= least).select("whole.*")
+
+
+def scorer(docs: DataFrame, weights: np.ndarray):
+    """A vectorised function from whole texts to scores."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(texts: pd.Series) -> pd.Series:
@@ -116,6 +127,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
             dots.append(float(w[index] @ value) + float(w[-1]))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(dots), -35, 35))))
 
-    return docs.withColumn("_score", F.pandas_udf(score, "double")(whole_text(text_col)))
+    return F.pandas_udf(score, "double")
 
 

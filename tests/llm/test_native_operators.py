@@ -2,15 +2,20 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import corpus, empty, frame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import queries
 from tallyforge.llm.decontaminate import clean_documents, contamination, phrase_matches, proximity_matches
 from tallyforge.llm.exact_dedup import drop_copies, exact_dedup
 from tallyforge.llm.line_dedup import line_dedup
+from tallyforge.llm.ngram_join import one_of_each_group
+from tallyforge.llm.quality import good_documents
 from tallyforge.llm.sharding import find_splitters, shard_by_bytes
 
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -151,3 +156,48 @@ def test_shards(spark):
     hot = frame(spark, [(i, "same text" * 20) for i in range(50)] + [(100 + i, f"text {i} " * 20) for i in range(50)])
     home = {r.shard for r in shard_by_bytes(hot, shards=4).filter(F.col("doc_id") < 50).collect()}
     assert len(home) == 1
+
+
+AWKWARD = ["whole", "id", "sha", "hash", "kept", "_row", "_sha", "_again", "_text_row", "_score", "stays", "marked", "bad", "n", "score", "group", "first"]
+
+
+def test_filtering_stages_keep_columns_and_unlinked_rows(spark):
+    """Whatever the columns are called; equal or lacking ids lose no row of their own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "one text of its own that stands here alone"), (1, "quite another text under the very same number"), (2, "a third text nobody copied from anywhere"), (3, text), (None, text + " tail"), (4, text + " end"),
+            (None, "nameless words that come twice in this table"), (None, "nameless words that come twice in this table"), (5, None), (None, "")]
+    docs = frame(spark, rows).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string"), F.col("text")) for c in AWKWARD})
+    marks = lambda df: Counter((r.doc_id, r.text, *(r[c] for c in AWKWARD)) for r in df.collect())
+    given = marks(docs)
+    phrases = spark.createDataFrame([(1, "a third text nobody copied from anywhere")], "item_id long, text string")
+    want = {
+        "copies": {(i, t): 1 for i, t in rows if (i, t) not in [(None, "")]},
+        "near": {(i, t): 1 for i, t in rows if i not in (4,) and t not in (text + " tail", "")},
+        "clean": {**Counter((i, t) for i, t in rows if i != 2)},
+        "good": {**Counter(rows)},
+    }
+    found = {"copies": drop_copies(docs), "near": one_of_each_group(docs), "clean": clean_documents(docs, phrases), "good": good_documents(docs, np.zeros(65, np.float32))}
+    for name, df in found.items():
+        got = marks(df)
+        assert df.columns == docs.columns and got.keys() <= given.keys()
+        assert {k[:2]: n for k, n in got.items()} == want[name], name
+    lacking = frame(spark, [(None, text), (None, text), (None, text + " tail")])
+    assert one_of_each_group(lacking).count() == 1 and good_documents(lacking, np.zeros(65, np.float32), 0.6).count() == 0
+
+
+def test_shards_query(spark, monkeypatch):
+    rows = corpus() + [(2000 + i, "hot text") for i in range(300)] + [(3000, "long " * 200_000)]
+    docs = frame(spark, rows)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = queries.op7_sharding(spark, "").collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    shards, homes = defaultdict(list), defaultdict(set)
+    for r in got:
+        shards[r.shard].append(r.slot)
+        homes[r.text_crc32].add(r.shard)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in shards.values()) and shards.keys() <= set(range(24))
+    assert all(len(s) == 1 for s in homes.values()) and {r.law for r in got} == {"bytes"}
+    plan = shard_by_bytes(docs)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # the rows, and the few rows of the blocks' first slots
+    small = shard_by_bytes(docs, shards=3, blocks=1, block_bytes=1000).collect()
+    assert all(sorted(r.slot for r in small if r.shard == s) == list(range(sum(r.shard == s for r in small))) for s in range(3))

@@ -16,6 +16,7 @@ from tallyforge.llm.language import identify_languages
 from tallyforge.llm.lm_ppm import adaptive_log10, adaptive_scores, build_trie, score_bytes, score_documents
 from tallyforge.llm.ngram_join import _roots, connected, least_matches, ngram_join, one_of_each_group
 from tallyforge.llm.packing import difference, encoder, near_equal, pack_documents
+from tallyforge.llm.queries import op10_lm_scoring
 from tallyforge.llm.quality import Ftrl, features, fit_quality, score_quality
 from tallyforge.llm.suffix_dedup import remove_repeats
 
@@ -150,11 +151,19 @@ def test_packing_of_added_tokens(spark, monkeypatch):
     texts = ["<|endoftext|> is text", "a <|endoftext|>  b<|endoftext|><|endoftext|>\n", "x <|endoftext|>\n\n y", "<|<|endoftext|>|>", "<|endoftext|", None]
     wanted = {i: [*default.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     assert wanted[0] == [50256, 318, 2420, 0]
+    for sign in " \n\t":  # more white space than the fast library's pattern engine takes
+        wanted[len(texts)] = [*default.encode(f"a{sign * 3_000_000}b", add_special_tokens=False).ids, 0]
+        texts.append(f"a{sign * 3_000_000}b")
     docs = frame(spark, list(enumerate(texts)))
     monkeypatch.setattr(queries, "table", lambda *_: docs)
-    crc = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in wanted.items()}
-    assert {p.doc_id: (p.length, p.ids_crc32) for p in queries.op6_packing(spark, "").collect()} == crc
-    assert {p.doc_id: np.frombuffer(bytes(p.ids), "<u4").tolist() for p in corpus_pipeline.packing(spark, docs, "").collect()} == wanted
+    flat = {i: np.array(ids, "<u4") for i, ids in wanted.items()}
+    for p in queries.op6_packing(spark, "").collect():
+        own = flat[p.doc_id][p.start : p.start + p.length]
+        assert (len(own), p.doc_tokens, p.ids_crc32) == (p.length, len(flat[p.doc_id]), zlib.crc32(own.tobytes()))
+    found = defaultdict(list)
+    for p in corpus_pipeline.packing(spark, docs, "").collect():
+        found[p.doc_id].append((p.start, bytes(p.ids)))
+    assert {i: b"".join(b for _, b in sorted(parts)) for i, parts in found.items()} == {i: ids.tobytes() for i, ids in flat.items()}
 
 
 def test_language_model_base_and_trie(spark):
@@ -222,6 +231,51 @@ def test_whole_trie_at_any_broadcast_size(spark, order):
         assert np.allclose(sorted(r.score for r in got), wanted, rtol=1e-5, atol=1e-4)
 
 
+def plain_ppm(text, tables, order):
+    """The log10 chance of a text by a dictionary of contexts: half a count of each seen symbol escapes, longer contexts' symbols are left out below."""
+    past, total = (None,) * order, 0.0
+    for symbol in [*text, "end"]:
+        left_out = set()
+        for o in range(order, -1, -1):
+            own = tables.get(past[order - o :])
+            fresh = {s: n for s, n in (own or {}).items() if s not in left_out}
+            if not fresh:
+                continue
+            size, off = sum(fresh.values()), 0.5 if len(own) < 257 else 0
+            if symbol in fresh:
+                total += np.log10((fresh[symbol] - off) / size)
+                break
+            total += np.log10(off * len(fresh) / size)
+            left_out |= own.keys()
+        else:
+            total -= np.log10(257 - len(left_out))
+        past = (*past, symbol)[1:]
+    return total
+
+
+def test_language_model_query(spark):
+    """The query's columns over the smallest driver table, against dictionaries."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
+    counts, tables, order = Counter(), defaultdict(Counter), 5
+    for i in docs.keys() - held:
+        counts.update([*docs[i].lower().split(), None])
+        past = [None] * order + [*docs[i], "end"]
+        for k in range(order, len(past)):
+            for o in range(order + 1):
+                tables[tuple(past[k - o : k])][past[k]] += 1
+    total, asked = sum(counts.values()), {*sorted(held)[:15], *sorted(docs.keys() - held)[:15]}
+    got = op10_lm_scoring(spark, folder).collect()
+    assert {r.doc_id for r in got} == docs.keys() and len(got) == len(docs)
+    for r in got:
+        own = [*docs[r.doc_id].lower().split(), None]
+        base = sum(np.log10((counts[w] + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in own)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(own), sum(w in counts for w in own), total) and abs(r.base_score - base) < 1e-6
+        if r.doc_id in asked:
+            assert abs(r.score - plain_ppm(docs[r.doc_id], tables, order)) < 1e-4 * len(own)
+
+
 def test_adaptive(spark):
     assert abs(adaptive_log10(b"", 2) - np.log10(1 / 257)) < 1e-12
     assert adaptive_log10(b"ab" * 200) > adaptive_log10(bytes(random.Random(1).choices(range(256), k=400)))
