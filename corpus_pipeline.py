@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm.common import crc_mod, written
 from tallyforge.llm.decontaminate import clean_documents
 from tallyforge.llm.exact_dedup import drop_copies
 from tallyforge.llm.ngram_join import one_of_each_group
 from tallyforge.llm.packing import pack_documents
-from tallyforge.llm.quality import fit_quality, score_quality
+from tallyforge.llm.quality import fit_quality, good_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3 go. The classifier learns from the labels of four fifths of the ids, as its query does."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
-    return score_quality(docs, fit_quality(docs, labels)).filter(F.col("_score") >= 0.3).select(*docs.columns)
+    return good_documents(docs, fit_quality(docs, labels), least=0.3)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
