@@ -324,6 +324,52 @@ def co26_import_problems(t):
     return D.import_capacity(capacity_rows(t), capacity_selections(t))[1]
 
 
+def closure_inputs(t):
+    """Claims = parts, each resting on half its key; every 50th dependency is a part that does not exist and some parts rest on a greater one. Links = lines."""
+    p = F.col("p_partkey")
+    claims = t.part.select(p.alias("claim_id"))
+    above = F.when(p % 90 == 0, p + 10**9).when(p % 70 == 7, p * 2)
+    edges = claims.select("claim_id", F.floor(F.col("claim_id") / 2).alias("depends_on")).where("depends_on > 0")
+    edges = edges.unionByName(t.part.select(p.alias("claim_id"), above.alias("depends_on")).where("depends_on IS NOT NULL"))
+    n, line = F.col("s_suppkey"), F.concat_ws("-", "l_orderkey", "l_linenumber")
+    selections = t.supplier.select(n.alias("selection_id"), F.array(n, n + 3).alias("claim_ids"))
+    evidence = t.lineitem.where("l_linenumber <= 2 AND l_suppkey % 3 <> 0").select(
+        F.when(F.col("l_discount") < 0.1, line).otherwise("shared").alias("link_id"), F.col("l_partkey").alias("claim_id"), F.col("l_orderkey").alias("document_id"),
+        F.when(F.col("l_returnflag") == "R", "support").otherwise("contrast").alias("role"), F.concat(F.lit("https://data.gov/"), line).alias("document_url"),
+        F.when(F.col("l_quantity") < 50, "press").otherwise(" ").alias("publisher"), F.col("l_shipdate").alias("retrieved_at"), F.lit("filing").alias("source_family"),
+    )
+    documents = t.orders.select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(F.col("o_orderpriority")).alias("title"))
+    return selections, claims, edges, evidence, documents
+
+
+CLOSURE_OF = """RECURSIVE edges AS (SELECT p_partkey AS claim_id, p_partkey // 2 AS depends_on FROM part WHERE p_partkey >= 2
+   UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 90 = 0 THEN p_partkey + 1000000000 ELSE p_partkey * 2 END FROM part WHERE p_partkey % 90 = 0 OR p_partkey % 70 = 7),
+ sel AS (SELECT s_suppkey AS selection_id, unnest([s_suppkey, s_suppkey + 3]) AS claim_id FROM supplier),
+ clo AS (SELECT selection_id, claim_id FROM sel UNION SELECT selection_id, depends_on FROM clo JOIN edges USING (claim_id)),
+ ring AS (SELECT claim_id AS start, depends_on AS met FROM edges WHERE claim_id IN (SELECT claim_id FROM clo) UNION SELECT start, depends_on FROM ring JOIN edges ON edges.claim_id = met),
+ loops AS (SELECT DISTINCT start FROM ring WHERE start = met),
+ between AS (SELECT DISTINCT r.start FROM ring r JOIN loops ON r.met = loops.start WHERE r.start IN (SELECT r2.met FROM ring r2 JOIN loops l2 ON r2.start = l2.start)),
+ ev AS (SELECT CASE WHEN l_discount < 0.1 THEN l_orderkey || '-' || l_linenumber ELSE 'shared' END AS link_id, l_partkey AS claim_id, l_orderkey AS document_id, 'https://data.gov/' || l_orderkey || '-' || l_linenumber AS url,
+   CASE WHEN o_orderpriority LIKE '1%' THEN 'https://data.gov/' || l_orderkey || '-' || l_linenumber ELSE o_orderpriority END AS title, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+   WHERE l_linenumber <= 2 AND l_suppkey % 3 <> 0 AND l_returnflag = 'R'),
+ rows_of AS (SELECT selection_id, ev.*, CASE WHEN count(*) OVER (PARTITION BY selection_id, link_id, claim_id) > 0 AND (SELECT count(*) FROM ev e WHERE e.link_id = ev.link_id) > 1 THEN 'link_not_unique' WHEN l_quantity >= 50 THEN 'publisher_missing' END AS problem
+   FROM clo JOIN ev USING (claim_id)),
+ wrong AS (SELECT selection_id, CAST(claim_id AS VARCHAR) AS key, 'claim_missing' AS problem FROM clo WHERE claim_id NOT IN (SELECT p_partkey FROM part)
+   UNION ALL SELECT selection_id, CAST(claim_id AS VARCHAR), 'dependency_cycle' FROM clo WHERE claim_id IN (SELECT start FROM loops UNION SELECT start FROM between)
+   UNION ALL SELECT DISTINCT selection_id, link_id, problem FROM rows_of WHERE problem IS NOT NULL
+   UNION ALL SELECT s_suppkey, NULL, 'no_support' FROM supplier WHERE s_suppkey NOT IN (SELECT selection_id FROM rows_of))"""
+
+
+@query(f"WITH {CLOSURE_OF} SELECT selection_id, key, problem FROM wrong")
+def co26_closure_problems(t):
+    return D.capacity_evidence(*closure_inputs(t))[1]
+
+
+@query(f"WITH {CLOSURE_OF} SELECT selection_id, link_id, claim_id, title, 'government_record' AS kind, url AS document_url FROM rows_of WHERE selection_id NOT IN (SELECT selection_id FROM wrong)")
+def co26_closure_evidence(t):
+    return D.capacity_evidence(*closure_inputs(t))[0].select("selection_id", "link_id", "claim_id", "title", "kind", "document_url")
+
+
 @query(f"""WITH c AS (SELECT l_partkey AS claim_id, CAST(year(l_shipdate) AS VARCHAR) || '-Q' || quarter(l_shipdate) AS quarter, min(l_quantity) AS low, avg(l_quantity) AS base, max(l_quantity) AS high, min(1 - l_discount) AS confidence FROM lineitem GROUP BY ALL),
  w AS (SELECT s_suppkey AS selection_id, unnest([s_suppkey, s_suppkey + 7]) AS claim_id FROM supplier),
  j AS (SELECT w.selection_id, w.claim_id AS wanted, c.* FROM w LEFT JOIN c ON c.claim_id = w.claim_id AND quarter = '1998-Q1')
@@ -427,6 +473,28 @@ def co11_link_chain(t):
     return settled(L.link_chain(*chain_inputs(t), 13), ["equivalents"], 6)
 
 
+@query(f"""WITH {CONSTRAINTS}, s AS (SELECT l_returnflag AS source, l_orderkey FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+ p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY l_orderkey) - 1 AS draw_index FROM s)
+SELECT draw_index, constraint_id, false AS synthetic FROM c WHERE scenario_id = 'N' AND constraint_id NOT IN (2, 4)
+UNION ALL SELECT draw_index, CASE source WHEN 'A' THEN 101 ELSE 102 END, source = 'A' AND (SELECT min(s_acctbal) < 0 FROM supplier) FROM p""")
+def co11_chain_taint(t):
+    """Source A was linked from suppliers' best one, and that from the worst: a chain of three."""
+    base, draws, links, replaced = chain_inputs(t)
+    worst = t.supplier.agg(F.min("s_acctbal").alias("least")).select(F.lit("worst").alias("source"), (F.col("least") < 0).alias("synthetic"))
+    sources = worst.unionByName(t.supplier.agg(F.max("s_acctbal")).select(F.explode(F.array(F.lit("best"), F.lit("A"), F.lit("R"))).alias("source"), F.lit(False).alias("synthetic")))
+    chain = t.spark.createDataFrame([("A", "best"), ("best", "worst")], "scenario string, source string")
+    return L.link_chain(base, draws, links, replaced, 13, sources, chain).select("draw_index", "constraint_id", "synthetic")
+
+
+@query("""WITH RECURSIVE up AS (SELECT s_suppkey AS scenario, s_suppkey AS met FROM supplier UNION SELECT scenario, met // 3 FROM up WHERE met // 3 > 0)
+SELECT scenario, bool_or(s_acctbal < -600) AS synthetic FROM up JOIN supplier ON s_suppkey = met WHERE scenario >= 3 AND met <> scenario GROUP BY scenario""")
+def dq10_chain_synthetic(t):
+    """Every supplier is linked from the one of a third of its key."""
+    n = F.col("s_suppkey")
+    links = t.supplier.select(n.alias("scenario"), F.floor(n / 3).alias("source")).where("source > 0")
+    return L.chain_synthetic(links, t.supplier.select(n.alias("source"), (F.col("s_acctbal") < -600).alias("synthetic")))
+
+
 @query("""SELECT '4' AS key, 'replaced_twice' AS code UNION ALL SELECT '9', 'replacement_missing' UNION ALL SELECT n_name, 'kind_not_covered' FROM nation WHERE n_regionkey = 0
 UNION ALL SELECT 'R.peak', 'draws_do_not_reproduce'""")
 def co11_link_violations(t):

@@ -75,23 +75,33 @@ def spans_of_pieces(pieces, literal, limit: int | None = None) -> Column:
     pieces, width = col(pieces), F.char_length(col(literal))
     matches = F.greatest(F.size(pieces) - 1, F.lit(0))
     wanted = matches if limit is None else F.least(matches, F.lit(limit))
-    spans_type = "array<struct<occurrence:int,character_start:int,character_end:int>>"
-    folded = F.aggregate(
-        F.slice(pieces, F.lit(1), wanted),
-        F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("spans")),
-        lambda state, piece: F.struct(
-            (state["at"] + F.char_length(piece) + width).alias("at"),
-            F.array_append(
-                state["spans"],
-                F.struct(
-                    (F.size(state["spans"]) + 1).alias("occurrence"),
-                    (state["at"] + F.char_length(piece)).alias("character_start"),
-                    (state["at"] + F.char_length(piece) + width).alias("character_end"),
-                ),
-            ).cast(spans_type).alias("spans"),
-        ),
+    steps = F.transform(F.slice(pieces, F.lit(1), wanted), lambda piece: F.char_length(piece) + width)
+    return F.transform(
+        running_sums(steps),
+        lambda stop, i: F.struct((i + 1).alias("occurrence"), (stop - width).alias("character_start"), stop.alias("character_end")),
     )
-    return folded["spans"]
+
+
+def running_sums(numbers: Column, part: int = 512) -> Column:
+    """Sums of an array of ints up to and including each item. Parts are summed apart and then shifted, so long arrays take no square time."""
+
+    def within(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+        step = lambda state, x: F.struct((state["at"] + x).alias("at"), F.array_append(state["sums"], state["at"] + x).alias("sums"))
+        return F.aggregate(xs, start, step)["sums"]
+
+    def shifted(parts: Column) -> Column:
+        totals = within(F.transform(parts, lambda sums: F.element_at(sums, -1)))
+        add = lambda ends: F.transform(parts, lambda sums, i: F.when(i == 0, sums).otherwise(F.transform(sums, lambda x: x + F.get(ends, i - 1))))
+        return F.flatten(F.flatten(F.transform(F.array(totals), add)))
+
+    def whole(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(part))).otherwise(F.array().cast("array<int>"))
+        return shifted_once(F.transform(starts, lambda at: within(F.slice(xs, at, part))))
+
+    # As an argument of a one-element transform an array is made once, however often the lambda names it.
+    shifted_once = lambda parts: F.flatten(F.transform(F.array(parts), shifted))
+    return F.flatten(F.transform(F.array(numbers), whole))
 
 
 def literal_spans(text, literal) -> Column:
@@ -137,12 +147,19 @@ def evidence_kind_from_source(kind) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(kind)), F.lit("other"))
 
 
+def _sign(digits: Column, base: int) -> Column:
+    """The character of a number without leading zeros; U+FFFD where there is none: 0, surrogates and numbers beyond the last code point."""
+    number = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("bigint"))
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def decode_entities(text) -> Column:
     """Character references as the characters they stand for: the named ones of markup itself, and all numbered ones."""
     out = col(text)
-    for pattern, digits, base in ((r"&#(\d{1,7});?", r"&#\d{1,7};?", 10), (r"&#[xX]([0-9A-Fa-f]{1,6});?", r"&#[xX][0-9A-Fa-f]{1,6};?", 16)):
+    for pattern, digits, base in ((r"&#0*(\d+);?", r"&#\d+;?", 10), (r"&#[xX]0*([0-9A-Fa-f]+);?", r"&#[xX][0-9A-Fa-f]+;?", 16)):
         codes = F.regexp_extract_all(out, F.lit(pattern), F.lit(1))
-        signs = F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32"))
+        signs = F.transform(codes, lambda c: _sign(c, base))
         put = F.array_join(F.flatten(F.zip_with(F.split(out, digits, -1), signs, lambda piece, sign: F.array(piece, F.coalesce(sign, F.lit(""))))), "")
         out = F.when(out.rlike(digits), put).otherwise(out)
     for name, sign in ENTITIES.items():
@@ -153,8 +170,9 @@ def decode_entities(text) -> Column:
 def visible_text(html) -> Column:
     """The text a reader of the page sees: no hidden blocks, comments or tags, references decoded, white space collapsed.
 
-    A tag ends at the first ``>`` outside quotes and parts words, as browsers break lines there.
+    A tag ends at the first ``>`` outside quotes and parts words, as browsers break lines there. Its length is not limited: what was read is
+    never given back, so the pattern needs no stack.
     """
     hidden = "|".join(rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|$)" for tag in HIDDEN_TAGS)
-    markup = rf"(?is){hidden}|<!--.*?(?:-->|$)|</?[a-z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    markup = rf"(?is){hidden}|<!--.*?(?:-->|$)|</?[a-z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     return normalize_ws(decode_entities(F.regexp_replace(col(html), markup, " ")))

@@ -68,8 +68,12 @@ def supporting_evidence(evidence: DataFrame, closure: DataFrame, documents: Data
 
 
 def match_exactly_one(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Payload of the single match per left row, with the match count; a count other than 1 is a violation."""
-    found = right.groupBy(*keys).agg(F.count("*").alias("matches"), *[F.first(c).alias(c) for c in payload])
+    """Payload of the single match per left row, with the match count; a count other than 1 is a violation.
+
+    Only rows of the right side that some left row asks for are grouped.
+    """
+    asked = right.join(left.select(*keys).distinct(), keys, "left_semi")
+    found = asked.groupBy(*keys).agg(F.count("*").alias("matches"), *[F.first(c).alias(c) for c in payload])
     joined = left.join(found, keys, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     single = F.col("matches") == 1
     return joined.select(*left.columns, "matches", *[F.when(single, F.col(c)).alias(c) for c in payload])
@@ -172,6 +176,30 @@ def reached_claims(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return edges.sparkSession.read.schema(T.StructType([T.StructField("claim_id", seeds.schema["seed_id"].dataType)])).parquet(root)
 
 
+def closure_per_selection(edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """``selection_id, claim_id``: what the claims of each selection depend on, they included. ``selected`` has the same two columns."""
+    keys = ["selection_id", "claim_id"]
+    root = _levels(selected, edges, keys)
+    return edges.sparkSession.read.schema(T.StructType([selected.schema[k] for k in keys])).parquet(root)
+
+
+def cyclic_claims(edges: DataFrame) -> DataFrame:
+    """The distinct ``claim_id`` on a cycle of ``edges``, or between two cycles.
+
+    Edges that end where none begins, or begin where none ends, lie on no cycle; they are dropped, round by round, until all others stay.
+    """
+    spark = edges.sparkSession
+    left = edges.select("claim_id", "depends_on").where("depends_on IS NOT NULL").distinct()
+    count, size = -1, None
+    while count != size:
+        path = scratch_path(spark, "cycle-edges")
+        onward = left.join(left.select(F.col("claim_id").alias("depends_on")).distinct(), "depends_on", "left_semi")
+        onward.join(onward.select(F.col("depends_on").alias("claim_id")).distinct(), "claim_id", "left_semi").select("claim_id", "depends_on").write.parquet(path)
+        left = spark.read.schema(left.schema).parquet(path)
+        count, size = size, left.count()
+    return left.select("claim_id").distinct()
+
+
 def claim_closure(edges: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     """All claims each selected seed depends on: ``(seed_id, claim_id, depth, reaches_itself, missing)``.
 

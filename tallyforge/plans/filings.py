@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import quarter_end_exclusive, quarter_start
-from tallyforge.functions.text import anchor_matches, filing_url, literal_pieces, matches_id, media_type, snippet, spans_of_pieces
+from tallyforge.functions.text import anchor_matches, evidence_kind_from_text, filing_url, literal_pieces, matches_id, media_type, snippet, spans_of_pieces
 from tallyforge.functions.values import content_id, has_tokens, is_sorted_unique
 from tallyforge.operators.aggregates import document_term_counts, sum_ranges
-from tallyforge.operators.joins import changed_or_missing, match_exactly_one, new_rows, select_documents
+from tallyforge.operators.joins import changed_or_missing, closure_per_selection, cyclic_claims, match_exactly_one, new_rows, select_documents, supporting_evidence
 from tallyforge.operators.ordering import order_filings
 from tallyforge.operators.projections import filter_filings, in_capacity_window
+from tallyforge.operators.skew import union_all
 from tallyforge.operators.windows import cap_hits
 from tallyforge.sources.readers import columns_to_rows
 
@@ -156,6 +157,40 @@ def import_capacity(capacity: DataFrame, selections: DataFrame) -> tuple[DataFra
     return sum_ranges(clean, ["selection_id"], reported), failed
 
 
+def capacity_evidence(selections: DataFrame, claims: DataFrame, edges: DataFrame, evidence: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence rows of all claims that each selection rests on, and what is wrong with a selection's closure.
+
+    ``selections(selection_id, claim_ids)``; ``claims(claim_id)``; ``edges(claim_id, depends_on)``; ``evidence(link_id, claim_id, document_id, role,
+    document_url, publisher, retrieved_at, source_family)``; ``documents(document_id, title)``. Problems ``(selection_id, key, problem)``: claims that
+    are missing or lie on a cycle; evidence links that repeat, lack a document, an address, publisher or date, or whose document repeats; and
+    no support at all. A selection with a problem has no evidence rows.
+    """
+    selected = selections.select("selection_id", F.explode("claim_ids").alias("claim_id")).distinct()
+    closure = closure_per_selection(edges, selected)
+    reached = closure.select("claim_id").distinct()
+    inner = edges.join(reached, "claim_id", "left_semi")
+    missing = closure.join(claims.select("claim_id"), "claim_id", "left_anti").withColumn("problem", F.lit("claim_missing"))
+    cyclic = closure.join(cyclic_claims(inner), "claim_id", "left_semi").withColumn("problem", F.lit("dependency_cycle"))
+    named = documents.groupBy("document_id").agg(F.count("*").alias("copies"), F.first("title").alias("title"))
+    support = supporting_evidence(evidence, reached, named)
+    links = evidence.where("role = 'support'").groupBy("link_id").agg(F.count("*").alias("uses"))
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    problem = (
+        F.when(blank("link_id"), "link_missing").when(F.col("uses") > 1, "link_not_unique").when(F.col("copies").isNull(), "document_missing").when(F.col("copies") > 1, "document_not_unique")
+        .when(blank("document_url"), "document_url_missing").when(blank("publisher"), "publisher_missing").when(blank("retrieved_at"), "retrieved_at_missing")
+    )
+    title = F.when(blank("title"), F.col("document_url")).otherwise(F.col("title"))
+    kind = evidence_kind_from_text("source_family", "publisher", "document_url")
+    judged = support.join(links, "link_id", "left").select("link_id", "claim_id", "document_id", title.alias("title"), kind.alias("kind"), "document_url", "publisher", "retrieved_at", problem.alias("problem"))
+    rows = closure.join(judged, "claim_id")
+    none = selected.select("selection_id").distinct().join(rows.select("selection_id"), "selection_id", "left_anti")
+    problems = [x.select("selection_id", F.col("claim_id").cast("string").alias("key"), "problem") for x in (missing, cyclic)]
+    problems.append(rows.where("problem IS NOT NULL").select("selection_id", F.col("link_id").cast("string").alias("key"), "problem").distinct())
+    problems.append(none.select("selection_id", F.lit(None).cast("string").alias("key"), F.lit("no_support").alias("problem")))
+    wrong = union_all(problems)
+    return rows.drop("problem").join(wrong.select("selection_id"), "selection_id", "left_anti"), wrong
+
+
 def import_forecast(forecasts: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pinned vintage's single target-quarter row of each selected claim, summed; modeled posture."""
     wanted = selections.select(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions.values import row_digest
 from tallyforge.operators.skew import chunked_lag
 
 COMMITTED = T.StructType([T.StructField("batch_id", T.StringType())])
@@ -83,7 +84,7 @@ def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructTy
     existing = read_ledger(spark, root, table, schema)
     names = [f.name for f in schema.fields]
     once = batch.select(*names).distinct()
-    digest = F.xxhash64(*[n for n in names if n != "revision_id"])
+    digest = row_digest(**{n: n for n in names if n != "revision_id"})  # tells apart which field is null
     known = existing.select("revision_id", digest.alias("_known"))
     fresh = once.join(known, "revision_id", "left_anti").select(*names)
     twice = once.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("revision_id")

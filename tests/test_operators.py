@@ -479,3 +479,63 @@ def test_quantiles_of_awkward_groups(spark):
     for r in got:
         wanted = np.quantile(groups[r.g], [0.1, 0.5, 0.9, 0.0, 1.0])
         assert np.allclose([r._p0, r._p1, r._p2, r._p3, r._p4], wanted, rtol=1e-12, atol=0)
+
+
+def test_visible_text_of_long_tags_and_bad_references(spark):
+    long = "<p data-x='" + "y" * 1_000_000 + "' " + "a=b " * 250_000 + ">"
+    pages = [f"one{long}two", "a <b unclosed " + "x" * 100_000, "&#9999999;&#xD800;&#0;&#99999999999999;&#x110000;&#0065;&#x0041;&#x10FFFF;", "<b '" + "q" * 100_000, "<" * 3_000 + "z"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string").select("id", X.visible_text("html").alias("t")).orderBy("id").collect()
+    assert rows[0].t == "one two" and rows[1].t == pages[1] and rows[2].t == "\ufffd" * 5 + "AA\U0010ffff" and rows[3].t == pages[3] and rows[4].t.endswith("z")
+
+
+def test_many_hits_keep_their_places(spark):
+    from time import perf_counter
+
+    text = "".join("é" * (i % 4) + "hbm" for i in range(200_000))
+    spans = lambda *texts: spark.createDataFrame([(t,) for t in texts], "t string").select(F.explode(X.literal_spans("t", F.lit("hbm"))).alias("s")).select("s.*").collect()
+    start = perf_counter()
+    got = spans(text)
+    assert perf_counter() - start < 60
+    places, at = [], 0
+    for i in range(200_000):
+        at += i % 4
+        places.append((i + 1, at, at + 3))
+        at += 3
+    assert [tuple(r) for r in got] == places
+    assert [tuple(r) for r in spans("none", "HBM", "")] == [(1, 0, 3)]
+
+
+def test_cycles_and_closures_of_selections(spark):
+    from tallyforge.operators.joins import closure_per_selection, cyclic_claims
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, 7), (7, 7), (3, 8), (8, 9), (9, None)], "claim_id int, depends_on int")
+    assert sorted(r.claim_id for r in cyclic_claims(edges).collect()) == [1, 2, 3, 7]
+    selected = spark.createDataFrame([("a", 4), ("b", 6), ("b", 5)], "selection_id string, claim_id int")
+    got = closure_per_selection(edges.where("depends_on IS NOT NULL"), selected).collect()
+    assert sorted(map(tuple, got)) == [("a", i) for i in (1, 2, 3, 4, 8, 9)] + [("b", i) for i in (5, 6, 7)]
+
+
+def test_evidence_of_a_selection(spark):
+    selections = spark.createDataFrame([("ok", [1]), ("lost", [4]), ("round", [5]), ("bare", [3]), ("bad", [6])], "selection_id string, claim_ids array<int>")
+    claims = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6)], "claim_id int")
+    edges = spark.createDataFrame([(1, 2), (4, 99), (5, 5)], "claim_id int, depends_on int")
+    link = lambda i, claim, document, role="support", publisher="nist": (i, claim, document, role, "u" + i, publisher, "2024-01-01", "f")
+    rows = [link("a", 1, "d1"), link("b", 2, "d2"), link("c", 2, "d1", "contrast"), link("d", 4, "d1"), link("e", 5, "d1"), link("f", 6, "gone"), link("g", 6, "d1", publisher=" "), link("h", 6, "twice")]
+    evidence = spark.createDataFrame(rows, "link_id string, claim_id int, document_id string, role string, document_url string, publisher string, retrieved_at string, source_family string")
+    documents = spark.createDataFrame([("d1", "Title"), ("d2", " "), ("twice", "x"), ("twice", "y")], "document_id string, title string")
+    found, wrong = D.capacity_evidence(selections, claims, edges, evidence, documents)
+    assert sorted((r.selection_id, r.link_id, r.title, r.kind) for r in found.collect()) == [("ok", "a", "Title", "government_record"), ("ok", "b", "ub", "government_record")]
+    assert sorted((r.selection_id, r.key or "", r.problem) for r in wrong.collect()) == [
+        ("bad", "f", "document_missing"), ("bad", "g", "publisher_missing"), ("bad", "h", "document_not_unique"), ("bare", "", "no_support"), ("lost", "99", "claim_missing"), ("round", "5", "dependency_cycle")
+    ]
+
+
+def test_collisions_see_which_field_is_null(spark, tmp_path):
+    from tallyforge.sources.ledger import append_ledger
+
+    schema = "revision_id string, a date, b date, recorded_date date"
+    row = lambda a, b: spark.sql(f"SELECT 'r' AS revision_id, {a} AS a, {b} AS b, DATE'2024-01-02' AS recorded_date")
+    one, other = row("DATE'2024-01-01'", "CAST(NULL AS DATE)"), row("CAST(NULL AS DATE)", "DATE'2024-01-01'")
+    fields = one.schema
+    assert append_ledger(spark, f"file://{tmp_path}", "t", fields, one, "b1", check_chain=False)["committed"], schema
+    assert not append_ledger(spark, f"file://{tmp_path}", "t", fields, other, "b2", check_chain=False)["committed"]
