@@ -180,7 +180,7 @@ def closure_per_selection(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """``selection_id, claim_id``: what the claims of each selection depend on, they included. ``selected`` has the same two columns."""
     keys = ["selection_id", "claim_id"]
     root = _levels(selected, edges, keys)
-    return edges.sparkSession.read.schema(T.StructType([selected.schema[k] for k in keys])).parquet(root)
+    return edges.sparkSession.read.schema(T.StructType([selected.schema[k] for k in keys])).parquet(root).select(*keys)  # without the levels' depths
 
 
 def cyclic_claims(edges: DataFrame) -> DataFrame:
