@@ -279,7 +279,7 @@ ASSEMBLY = """a AS (SELECT l_returnflag AS scenario_id, l_orderkey AS draw_index
 @query(f"""WITH {ASSEMBLY} SELECT scenario_id, draw_index, {sq("complete", 5)} AS complete_racks, {sq("greatest(odm - complete, 0.0)", 5)} AS shadow_assembly_racks,
  {sq("sq / (odm * odm)")} AS odm_concentration_hhi, rack_demand <= cleared AS demand_limited FROM r""")
 def co5_assembly_pool(t):
-    out = C.assembly_pool(*assembly_inputs(t), ["scenario_id"])
+    out, _ = C.assembly_pool(*assembly_inputs(t), ["scenario_id"])
     out = out.select("scenario_id", "draw_index", "complete_racks", "shadow_assembly_racks", "odm_concentration_hhi", "demand_limited")
     return settled(settled(out, ["complete_racks", "shadow_assembly_racks"], 5), ["odm_concentration_hhi"], 6)
 
@@ -299,7 +299,7 @@ def co5_assembly_binding(t):
  {sq("avg(complete / racks)")} AS utilization FROM r JOIN cp USING (scenario_id, draw_index) GROUP BY ALL""")
 def co5_component_use(t):
     flows_, components, demand = assembly_inputs(t)
-    racks = C.assembly_pool(flows_, components, demand, ["scenario_id"])
+    racks, _ = C.assembly_pool(flows_, components, demand, ["scenario_id"])
     used = C.component_use(components, racks, ["scenario_id"])
     out = used.groupBy("scenario_id", "component_id").agg(F.sum("consumed_output").alias("consumed_output"), F.avg("utilization").alias("utilization"))
     return settled(settled(out, ["consumed_output"], 2), ["utilization"], 6)
@@ -429,7 +429,7 @@ def co10_opportunity_ranking(t):
     nation = revenue.join(supplier, "company").groupBy("draw", "s_nationkey").agg(F.avg("revenue").alias("consensus_revenue"))
     consensus = revenue.select("draw", "company").join(supplier, "company").join(nation, ["draw", "s_nationkey"]).select("draw", "company", "consensus_revenue")
     factors = t.supplier.select(F.col("s_suppkey").alias("company"), (F.col("s_suppkey") % 7 / 20.0 + 0.5).alias("confidence"))
-    out = C.opportunity_ranking(revenue, consensus, factors, ["draw"], "company")
+    out, _ = C.opportunity_ranking(revenue, consensus, factors, ["draw"], "company")
     return settled(settled(out, ["revision_p50"], 4), ["score_p50"], 6)
 
 
@@ -446,6 +446,58 @@ def co12_link_supplier_pool(t):
     return settled(V.link_supplier_pool(conversion_inputs(t), aligned, ["p_partkey"]).select("p_partkey", *names), names, 4)
 
 
+def gated_link(t):
+    """Six pools of parts: 0 and 5 are clean (5 lacks the demand of some draws), 1 loses stacks, 2 states another median, 3 has other stacks, 4 no platform."""
+    scenario = F.col("p_partkey") % 6
+    flows = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), "l_suppkey").agg((F.sum("l_quantity") * 20).alias("allocated_stacks"))
+    flows = flows.select(scenario.alias("scenario_id"), "p_partkey", "l_suppkey", "allocated_stacks", F.col("allocated_stacks").alias("good_stacks"), F.col("allocated_stacks").alias("qualified_stacks"))
+    demand = t.part.where("p_partkey % 6 <> 5 OR p_size > 10").select(scenario.alias("scenario_id"), "p_partkey", (F.col("p_size") * 10.0).alias("package_demand"), F.lit(8.0).alias("stacks_per_accelerator"))
+    keys = ["scenario_id", "p_partkey"]
+    own = flows.join(demand.select(*keys), keys, "left_semi")
+    totals = V.pool_totals(own, demand, keys)
+    long = totals.unpivot(["scenario_id"], ["allocated_stacks", "packages_supported"], "metric", "value")
+    moved = F.when((F.col("scenario_id") == 2) & (F.col("metric") == "packages_supported"), F.col("p50") + 1).otherwise(F.col("p50"))
+    frozen = summarize(long, ["scenario_id", "metric"], "value").withColumn("p50", moved)
+    lost = totals.withColumn("allocated_stacks", F.when(F.col("scenario_id") == 1, F.col("allocated_stacks") + 0.5).otherwise(F.col("allocated_stacks")))
+    lost = lost.withColumn("packages_supported", F.when((F.col("scenario_id") == 1) & (F.col("p_partkey") % 4 == 1), -1.0).otherwise(F.col("packages_supported")))
+    platforms = t.part.where("p_partkey % 6 <> 4").select(scenario.alias("scenario_id")).distinct().select(
+        "scenario_id", F.lit(8.0).alias("memory_dies_per_stack"), F.lit(24.0).alias("stack_capacity_gb"), F.when(F.col("scenario_id") == 3, 12.0).otherwise(8.0).alias("stacks_per_accelerator")
+    )
+    conversion = conversion_inputs(t).withColumn("scenario_id", scenario)
+    return V.link_gated_pool(conversion, own, lost, frozen, platforms, "scenario_id", "p_partkey")
+
+
+POOLED = f"""WITH {CONVERSION}, w AS (SELECT l_partkey AS p_partkey, sum(l_quantity) * 20 AS stacks FROM lineitem GROUP BY ALL),
+ m AS (SELECT p_partkey, p_partkey % 6 AS scenario_id, p_size, stacks FROM part JOIN w USING (p_partkey) WHERE p_partkey % 6 <> 5 OR p_size > 10)"""
+
+
+@query(f"""{POOLED} SELECT m.p_partkey, scenario_id, {sq("stacks", 4)} AS hbm_good_stacks, {sq("least(logic_package_equivalents, stacks / 8, 6000.0)", 4)} AS package_attempts
+FROM m JOIN z USING (p_partkey) WHERE scenario_id IN (0, 5)""")
+def co12_gated_link(t):
+    """Only pools whose draws reproduce, conserve and share the conversion's platform are linked."""
+    return settled(gated_link(t)["linked"].select("p_partkey", "scenario_id", "hbm_good_stacks", "package_attempts"), ["hbm_good_stacks", "package_attempts"], 4)
+
+
+@query(f"""{POOLED} SELECT scenario_id, 'DQ7' AS check_id, 'parts_do_not_sum' AS detail, count(*) AS rows FROM m WHERE scenario_id = 1 GROUP BY ALL
+UNION ALL SELECT scenario_id, 'DQ7', 'support_mismatch', count(*) FROM m WHERE scenario_id = 1 AND p_partkey % 4 = 1 GROUP BY ALL
+UNION ALL SELECT 1, 'A14', 'allocated_stacks|p10|p50|p90|mean|minimum|maximum', 1
+UNION ALL SELECT 1, 'A14', 'packages_supported|' || concat_ws('|', CASE WHEN p10 THEN 'p10' END, CASE WHEN p50 THEN 'p50' END, CASE WHEN p90 THEN 'p90' END, 'mean', 'minimum', CASE WHEN top THEN 'maximum' END), 1
+  FROM (SELECT quantile_cont(s, 0.1) <> quantile_cont(b, 0.1) AS p10, quantile_cont(s, 0.5) <> quantile_cont(b, 0.5) AS p50, quantile_cont(s, 0.9) <> quantile_cont(b, 0.9) AS p90, max(s) <> max(b) AS top
+    FROM (SELECT least(stacks / 8, p_size * 10.0) AS s, CASE WHEN p_partkey % 4 = 1 THEN -1.0 ELSE least(stacks / 8, p_size * 10.0) END AS b FROM m WHERE scenario_id = 1))
+UNION ALL SELECT 2, 'A14', 'packages_supported|p50', 1
+UNION ALL SELECT 3, 'DQ9', 'stacks_per_accelerator', 1
+UNION ALL SELECT 4, 'DQ9', 'missing_in:second', 1""")
+def co12_refused_pools(t):
+    return gated_link(t)["refused"]
+
+
+@query(f"""{POOLED} SELECT 'CO12' AS check_id, 'supplier_link' AS "table", p_partkey % 6 || '|' || p_partkey AS key, 'missing_in:pool' AS detail FROM part
+WHERE p_partkey % 6 IN (0, 5) AND p_partkey NOT IN (SELECT p_partkey FROM m)""")
+def co12_unpaired_draws(t):
+    """Conversion draws of admitted pools that have no supplier draw."""
+    return gated_link(t)["unmatched"]
+
+
 @query(f"""WITH {CONSTRAINTS}, m AS (SELECT *, min(equivalents) OVER (PARTITION BY scenario_id, draw_index) AS low FROM c),
  k AS (SELECT *, CASE WHEN abs(equivalents - low) <= greatest(1e-10 * greatest(abs(equivalents), abs(low)), 1e-12) THEN 1.0 ELSE 0.0 END AS tied FROM m),
  g AS (SELECT scenario_id, constraint_id, tied / sum(tied) OVER (PARTITION BY scenario_id, draw_index) AS credit FROM k),

@@ -139,7 +139,7 @@ def registered(t, as_of="1999-02-01"):
     frozen = summarize(draws, ["forecast_id"], "value")
     off = t.orders.select(F.col("o_orderkey").alias("forecast_id"), (F.col("o_orderstatus") == "P").alias("_off"))
     frozen = frozen.join(off, "forecast_id").withColumn("mean", F.when(F.col("_off"), F.col("mean") + 1).otherwise(F.col("mean"))).drop("_off")
-    return settled(P.register_forecasts(draws, frozen, contracts(t), as_of), ["p10", "p50", "p90", "forecast_probability"], 6)
+    return settled(P.register_forecasts(draws, frozen, contracts(t), as_of)[0], ["p10", "p50", "p90", "forecast_probability"], 6)
 
 
 def reviewed(t):

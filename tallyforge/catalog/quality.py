@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import quarter_end, quarter_of
 from tallyforge.operators import quality as Q
-from tallyforge.plans.conversion import conservation_errors, supplier_pool
+from tallyforge.operators.aggregates import summarize
+from tallyforge.plans.capacity import assembly_pool, opportunity_ranking
+from tallyforge.plans.conversion import conservation_errors, supplier_flows, supplier_pool
 from tallyforge.plans.filings import rejected_filings
+from tallyforge.plans.forecasts import register_forecasts, score_outcomes
 
 from . import query
 from .capacity import FLOWS, flows
+from .forecasts import contracts
 
 
 def rows_sql(check: str, table: str, key: str, detail: str, source: str) -> str:
@@ -211,34 +215,44 @@ def unmatched_sql(check: str, table: str, key: str, left: str, right: str, left_
 @query(unmatched_sql("CO4", "supplier_pool", "l_returnflag || '|' || l_orderkey", "lineitem WHERE l_discount < 0.05", "lineitem WHERE l_quantity > 10", "flows", "demand"))
 def co4_unmatched_draws(t):
     """Draws with supply and no demand, or the other way round."""
-    return Q.unmatched(t.lineitem.where("l_discount < 0.05"), t.lineitem.where("l_quantity > 10"), ["l_returnflag", "l_orderkey"], "CO4", "supplier_pool", "flows", "demand")
+    pool = t.lineitem.where("l_discount < 0.05").select("l_returnflag", "l_orderkey", "l_suppkey", F.col("l_quantity").alias("good_stacks"), F.lit(0.9).alias("qualified_share"), F.lit(0.8).alias("allocation_share"))
+    demand = t.lineitem.where("l_quantity > 10").groupBy("l_returnflag", "l_orderkey").agg(F.sum("l_quantity").alias("package_demand"), F.lit(2.0).alias("stacks_per_accelerator"))
+    return supplier_pool(supplier_flows(pool), demand, ["l_returnflag"], "l_orderkey", "l_suppkey")["unmatched"]
 
 
 @query(unmatched_sql("CO5", "assembly_pool", "l_orderkey", "lineitem WHERE l_tax > 0.03", "orders WHERE o_orderstatus <> 'P'", "flows", "demand").replace("SELECT l_orderkey FROM orders", "SELECT o_orderkey FROM orders").replace("SELECT l_orderkey AS k FROM orders", "SELECT o_orderkey AS k FROM orders"))
 def co5_unmatched_draws(t):
     """Draws with assembly flows and no rack demand, or the other way round."""
-    demand = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return Q.unmatched(t.lineitem.where("l_tax > 0.03"), demand, ["l_orderkey"], "CO5", "assembly_pool", "flows", "demand")
+    demand = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(8.0).alias("rack_demand"))
+    flows_ = t.lineitem.where("l_tax > 0.03").select("l_orderkey", F.col("l_quantity").alias("assembly_racks"))
+    components = t.lineitem.where("l_tax > 0.03").select("l_orderkey", F.col("l_linestatus").alias("component_id"), F.col("l_quantity").alias("allocated_output"), F.lit(2.0).alias("units_per_rack"))
+    return assembly_pool(flows_, components, demand, [], "l_orderkey")[1]
 
 
 @query(unmatched_sql("CO10", "opportunity_ranking", "s_suppkey", "supplier WHERE s_acctbal > 0", "supplier WHERE s_nationkey > 3", "consensus", "factors"))
 def co10_unmatched_companies(t):
     """Companies without consensus or without screening factors."""
-    return Q.unmatched(t.supplier.where("s_acctbal > 0"), t.supplier.where("s_nationkey > 3"), ["s_suppkey"], "CO10", "opportunity_ranking", "consensus", "factors")
+    company = t.supplier.where("s_acctbal > 0 OR s_nationkey > 3").select(F.lit(1).alias("draw"), "s_suppkey", "s_acctbal", "s_nationkey")
+    revenues, factors = company.select("draw", "s_suppkey", F.col("s_acctbal").alias("revenue")), company.where("s_nationkey > 3").select("s_suppkey", F.lit(0.5).alias("confidence"))
+    consensus = company.where("s_acctbal > 0").select("draw", "s_suppkey", F.col("s_acctbal").alias("consensus_revenue"))
+    return opportunity_ranking(revenues, consensus, factors, ["draw"], "s_suppkey")[1]
 
 
 @query("""SELECT 'CO14' AS check_id, 'outcomes' AS "table", CAST(k AS VARCHAR) AS key, 'missing_in:forecasts' AS detail
 FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1995-01-01')""")
 def co14_unknown_forecasts(t):
     """Outcomes of forecasts that were never frozen."""
-    outcomes, frozen = t.part.select(F.col("p_partkey").alias("forecast_id")), t.lineitem.where("l_shipdate < DATE '1995-01-01'").select(F.col("l_partkey").alias("forecast_id"))
-    return Q.unmatched(outcomes, frozen, ["forecast_id"], "CO14", "outcomes", "outcomes", "forecasts").where("detail = 'missing_in:forecasts'")
+    outcomes = t.part.select(F.col("p_partkey").alias("forecast_id"), F.col("p_retailprice").alias("actual_value"), F.lit("at_least").alias("operator"), F.lit(20.0).alias("threshold"))
+    frozen = t.lineitem.where("l_shipdate < DATE '1995-01-01'").groupBy(F.col("l_partkey").alias("forecast_id")).agg(
+        F.min("l_quantity").alias("p10"), F.avg("l_quantity").alias("p50"), F.max("l_quantity").alias("p90")
+    )
+    return score_outcomes(frozen, outcomes)["unknown"]
 
 
 @query(unmatched_sql("CO16", "forecast_register", "o_orderkey", "orders", "lineitem WHERE l_quantity > 25", "contracts", "draws").replace("SELECT o_orderkey FROM lineitem", "SELECT l_orderkey FROM lineitem").replace("SELECT o_orderkey AS k FROM lineitem", "SELECT l_orderkey AS k FROM lineitem"))
 def co16_contracts_without_draws(t):
-    draws = t.lineitem.where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return Q.unmatched(t.orders, draws, ["o_orderkey"], "CO16", "forecast_register", "contracts", "draws")
+    draws = t.lineitem.where("l_quantity > 25").select(F.col("l_orderkey").alias("forecast_id"), F.col("l_quantity").alias("value"))
+    return register_forecasts(draws, summarize(draws, ["forecast_id"], "value"), contracts(t), "1999-02-01")[1]
 
 
 @query("""SELECT 'P20' AS check_id, 'claim_evidence' AS "table", CAST(k AS VARCHAR) AS key, 'missing_in:metadata' AS detail

@@ -15,6 +15,7 @@ from tallyforge.functions.maths import is_close, let, safe_ratio
 from tallyforge.operators.aggregates import binding_credit, binding_probability, summarize, summarize_columns
 from tallyforge.operators.joins import eligible_constraints
 from tallyforge.operators.ordering import order_bottlenecks
+from tallyforge.operators.quality import unmatched
 from tallyforge.operators.skew import chunked_rank
 from tallyforge.operators.windows import unallocated, water_fill
 
@@ -236,10 +237,11 @@ def customer_allocation(shipped: DataFrame, rules: DataFrame, keys: list[str], d
     return summarize(rows, [*keys, "customer_id"], "allocated")
 
 
-def opportunity_ranking(revenues: DataFrame, consensus: DataFrame, factors: DataFrame, draw: list[str], company: str) -> DataFrame:
-    """Revision against consensus per draw, screen score, medians and rank by score.
+def opportunity_ranking(revenues: DataFrame, consensus: DataFrame, factors: DataFrame, draw: list[str], company: str) -> tuple[DataFrame, DataFrame]:
+    """Revision against consensus per draw, screen score, medians and rank by score; and companies that lack an input.
 
-    ``factors`` has per-company multipliers in its other columns.
+    ``factors`` has per-company multipliers in its other columns. A company is ranked on the draws that have a consensus; it is unmatched if
+    none has, if it has no factors, or if only consensus or factors name it.
     """
     joined = revenues.join(consensus, [*draw, company]).join(factors, company)
     revision = safe_ratio(F.col("revenue") - F.col("consensus_revenue"), "consensus_revenue")
@@ -253,7 +255,11 @@ def opportunity_ranking(revenues: DataFrame, consensus: DataFrame, factors: Data
         F.max(F.when(F.col("metric") == "screen_score", F.col("p50"))).alias("score_p50"),
     )
     direction = F.when(F.col("revision_p50") >= 0, "positive_revision_candidate").otherwise("negative_revision_candidate")
-    return chunked_rank(wide.withColumn("direction", direction), [], "score_p50", [company])
+    against = lambda other, name: unmatched(revenues, other, [company], "CO10", "opportunity_ranking", "revenues", name)
+    dated = consensus.join(revenues.select(*draw, company), [*draw, company], "left_semi")
+    only = consensus.join(revenues.select(company), company, "left_anti")
+    alone = against(dated.select(company).union(only.select(company)), "consensus").unionByName(against(factors, "factors")).distinct()
+    return chunked_rank(wide.withColumn("direction", direction), [], "score_p50", [company]), alone
 
 
 # --- assembly ------------------------------------------------------------------------------------
@@ -280,11 +286,19 @@ def assembly_flows(odms: DataFrame) -> DataFrame:
     )
 
 
-def assembly_pool(flows: DataFrame, components: DataFrame, demand: DataFrame, keys: list[str], draw: str = "draw_index") -> DataFrame:
-    """Complete racks per draw: the minimum of assembler capacity, every component pool and demand.
+def assembly_unmatched(flows: DataFrame, components: DataFrame, demand: DataFrame, keys: list[str], draw: str = "draw_index") -> DataFrame:
+    """Draws that ``assembly_pool`` cannot compute: without flows or demand, or named by components alone."""
+    group = [*keys, draw]
+    alone = unmatched(flows, demand, group, "CO5", "assembly_pool", "flows", "demand")
+    parts = unmatched(flows, components, group, "CO5", "assembly_pool", "flows", "components").where("detail = 'missing_in:flows'")
+    return alone.unionByName(parts).distinct()
+
+
+def assembly_pool(flows: DataFrame, components: DataFrame, demand: DataFrame, keys: list[str], draw: str = "draw_index") -> tuple[DataFrame, DataFrame]:
+    """Complete racks per draw: the minimum of assembler capacity, every component pool and demand; and the unmatched draws.
 
     ``components(keys, draw, component_id, allocated_output, units_per_rack)``; ``demand(keys, draw,
-    rack_demand)``. Returns one row per draw with totals, concentration and the binding names.
+    rack_demand)``. The first result has one row per draw with totals, concentration and the binding names.
     """
     group = [*keys, draw]
     shares = flows.groupBy(*group).agg(
@@ -298,7 +312,7 @@ def assembly_pool(flows: DataFrame, components: DataFrame, demand: DataFrame, ke
     rows = shares.join(demand, group).join(scarce, group, "left")
     cleared = F.least(F.col("odm_assembly"), F.coalesce("component_minimum", F.col("odm_assembly")))
     rows = rows.withColumn("component_cleared", cleared).withColumn("complete_racks", F.least(F.col("component_cleared"), F.col("rack_demand")))
-    return rows.select(
+    out = rows.select(
         *group, "odm_assembly", "component_cleared", "rack_demand", "complete_racks", "scarcest_component",
         F.greatest(F.col("rack_demand") - F.col("complete_racks"), F.lit(0.0)).alias("unfilled_rack_demand"),
         F.greatest(F.col("odm_assembly") - F.col("complete_racks"), F.lit(0.0)).alias("shadow_assembly_racks"),
@@ -306,6 +320,7 @@ def assembly_pool(flows: DataFrame, components: DataFrame, demand: DataFrame, ke
         safe_ratio("_largest", "odm_assembly").alias("largest_odm_share"),
         (F.col("rack_demand") <= F.col("component_cleared")).alias("demand_limited"),
     )
+    return out, assembly_unmatched(flows, components, demand, keys, draw)
 
 
 def assembly_binding(flows: DataFrame, components: DataFrame, demand: DataFrame, keys: list[str], draw: str = "draw_index") -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.maths import gross_dies_per_wafer, is_close, negative_binomial_yield, safe_ratio
+from tallyforge.operators.aggregates import reproduce_distribution
+from tallyforge.operators.quality import topology_mismatch, unmatched
+from tallyforge.operators.skew import union_all
 
 from .capacity import row_binding
 
@@ -102,7 +105,7 @@ def pool_totals(flows: DataFrame, demand: DataFrame, keys: list[str]) -> DataFra
 
 
 def supplier_pool(flows: DataFrame, demand: DataFrame, scenario: list[str], draw: str, supplier: str) -> dict[str, DataFrame]:
-    """Totals per draw, consumption per supplier row and single-source criticality."""
+    """Totals per draw, consumption per supplier row, single-source criticality, and draws that only flows or only demand have."""
     keys = [*scenario, draw]
     totals = pool_totals(flows, demand, keys)
     per = flows.join(totals.select(*keys, "fill_fraction", "demanded_stacks", F.col("allocated_stacks").alias("_pool")), keys, "left")
@@ -111,11 +114,18 @@ def supplier_pool(flows: DataFrame, demand: DataFrame, scenario: list[str], draw
     )
     missed = (F.col("_pool") - F.col("allocated_stacks") < F.col("demanded_stacks")).cast("double")
     critical = per.groupBy(*scenario, supplier).agg(F.avg(missed).alias("criticality_probability"))
-    return {"totals": totals, "suppliers": per.drop("_pool"), "criticality": critical}
+    alone = unmatched(flows, demand, keys, "CO4", "supplier_pool", "flows", "demand")
+    return {"totals": totals, "suppliers": per.drop("_pool"), "criticality": critical, "unmatched": alone}
 
 
 def conservation_errors(flows: DataFrame, totals: DataFrame, keys: list[str], rel: float = 1e-12, absolute: float = 1e-8) -> DataFrame:
     """Draws whose supplier parts do not add up, or whose demand and support do not follow from them."""
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
+    return conservation_codes(flows, totals, keys, rel, absolute).select(F.lit("DQ7").alias("check_id"), F.lit("supplier_pool").alias("table"), key, "detail")
+
+
+def conservation_codes(flows: DataFrame, totals: DataFrame, keys: list[str], rel: float = 1e-12, absolute: float = 1e-8) -> DataFrame:
+    """``(keys, detail)``: one row per draw and rule it breaks."""
     parts = flows.groupBy(*keys).agg(F.sum("allocated_stacks").alias("_parts"))
     joined = totals.join(parts, keys, "full")
     ok = lambda a, b: F.coalesce(is_close(a, b, rel, absolute), F.lit(False))
@@ -124,8 +134,7 @@ def conservation_errors(flows: DataFrame, totals: DataFrame, keys: list[str], re
         F.when(~ok("demanded_stacks", F.col("package_demand") * F.col("stacks_per_accelerator")), "demand_mismatch"),
         F.when(~ok("packages_supported", F.least("package_capacity", "package_demand")), "support_mismatch"),
     )
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
-    return joined.select(F.lit("DQ7").alias("check_id"), F.lit("supplier_pool").alias("table"), key, F.explode(F.array_compact(codes)).alias("detail"))
+    return joined.select(*keys, F.explode(F.array_compact(codes)).alias("detail"))
 
 
 def link_supplier_pool(conversion: DataFrame, pool_draws: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,3 +145,42 @@ def link_supplier_pool(conversion: DataFrame, pool_draws: DataFrame, keys: list[
     logic = logic_branch(conversion)
     linked = logic.join(pool_draws.select(*keys, F.col("allocated_stacks").alias("hbm_good_stacks")), keys)
     return package_stage(linked)
+
+
+#: Numbers of a platform that a supplier pool and the conversion must share.
+TOPOLOGY = ("memory_dies_per_stack", "stack_capacity_gb", "stacks_per_accelerator")
+
+
+def admit_pool_draws(flows: DataFrame, totals: DataFrame, frozen: DataFrame, platforms: DataFrame, pool_platforms: DataFrame, scenario: str, draw: str) -> tuple[DataFrame, DataFrame]:
+    """Pool draws ``(scenario, draw, allocated_stacks)`` of clean scenarios, and why the others are refused.
+
+    ``flows(scenario, draw, allocated_stacks)`` are supplier rows and ``totals`` the pool's numbers per draw; ``frozen(scenario, metric, six numbers)``
+    are the stated distributions of columns of ``totals``; both platform tables hold ``scenario`` and ``TOPOLOGY``. A scenario is admitted
+    only if its draws reproduce every stated distribution (A14), every draw conserves (DQ7) and both platforms agree (DQ9). No stated
+    distribution at all refuses it too. Refused: ``(scenario, check_id, detail, rows)``, ``rows`` being the draws or numbers that break the rule.
+    """
+    keys = [scenario, draw]
+    metrics = [c for c in ("allocated_stacks", "package_capacity", "packages_supported") if c in totals.columns]
+    long = totals.unpivot([scenario], metrics, "metric", "value")
+    stated = frozen.select(scenario, "metric").distinct()
+    checked = reproduce_distribution(long.join(stated, [scenario, "metric"], "left_semi"), frozen, [scenario, "metric"], "value").where("NOT reproduced")
+    differs = checked.select(scenario, F.lit("A14").alias("check_id"), F.concat_ws("|", F.col("metric"), F.array_join("mismatched_fields", "|")).alias("detail"))
+    silent = totals.select(scenario).distinct().join(stated, scenario, "left_anti").select(scenario, F.lit("A14").alias("check_id"), F.lit("no_stated_distribution").alias("detail"))
+    broken = conservation_codes(flows, totals, keys).select(scenario, F.lit("DQ7").alias("check_id"), "detail")
+    shape = topology_mismatch(platforms, pool_platforms, "platform", scenario, list(TOPOLOGY))
+    named = platforms.select(scenario).union(pool_platforms.select(scenario)).distinct().withColumn("key", F.col(scenario).cast("string"))
+    moved = shape.join(named, "key").select(scenario, "check_id", "detail")
+    refused = union_all([differs, silent, broken, moved]).groupBy(scenario, "check_id", "detail").agg(F.count("*").alias("rows"))
+    return totals.select(*keys, "allocated_stacks").join(refused.select(scenario), scenario, "left_anti"), refused
+
+
+def link_gated_pool(conversion: DataFrame, flows: DataFrame, totals: DataFrame, frozen: DataFrame, pool_platforms: DataFrame, scenario: str, draw: str) -> dict[str, DataFrame]:
+    """The conversion on admitted supplier draws, the refused scenarios, and admitted draws that only one side has.
+
+    The conversion's own platform is read off its rows, so a scenario whose rows disagree among themselves is refused as well.
+    """
+    platforms = conversion.select(scenario, *TOPOLOGY).distinct()
+    admitted, refused = admit_pool_draws(flows, totals, frozen, platforms, pool_platforms, scenario, draw)
+    own = conversion.join(refused.select(scenario), scenario, "left_anti")
+    alone = unmatched(own, admitted, [scenario, draw], "CO12", "supplier_link", "conversion", "pool")
+    return {"linked": link_supplier_pool(own, admitted, [scenario, draw]), "refused": refused, "unmatched": alone}

@@ -10,6 +10,7 @@ from tallyforge.functions.maths import (
     brier, col, event_realized, half_width_scale, interval_miss, pinball, range_position, safe_ratio, triangular_event_probability,
 )
 from tallyforge.operators.aggregates import conditional_counts, event_probability, reproduce_distribution, unit_guarded_mean
+from tallyforge.operators.quality import unmatched
 from tallyforge.operators.skew import exact_quantiles
 
 # Postures an outcome may have, and disposition statuses.
@@ -48,7 +49,13 @@ def score_rows(df: DataFrame, probability: Column | None = None) -> DataFrame:
 
 def score_forecasts(forecasts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Join outcomes to their frozen forecast and score each row."""
-    return score_rows(outcomes.join(forecasts, "forecast_id"))
+    return score_outcomes(forecasts, outcomes)["scores"]
+
+
+def score_outcomes(forecasts: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    """Scores, and outcomes whose forecast was never frozen. A forecast without an outcome is pending, not unmatched."""
+    alone = unmatched(outcomes, forecasts, ["forecast_id"], "CO14", "outcomes", "outcomes", "forecasts").where("detail = 'missing_in:forecasts'")
+    return {"scores": score_rows(outcomes.join(forecasts, "forecast_id")), "unknown": alone}
 
 
 def scorecard(scores: DataFrame, minimum_group_size: int) -> DataFrame:
@@ -129,16 +136,17 @@ def guidance_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(errors, keys)
 
 
-def register_forecasts(draws: DataFrame, frozen: DataFrame, contracts: DataFrame, as_of: str) -> DataFrame:
+def register_forecasts(draws: DataFrame, frozen: DataFrame, contracts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """Frozen vintage: quantiles reproduced from the draws, exact event share, maturity and blockers.
 
     ``draws(forecast_id, value)``, ``frozen(forecast_id, six numbers)``, ``contracts(forecast_id,
-    operator, threshold, cutoff, earliest, expected, synthetic)``.
+    operator, threshold, cutoff, earliest, expected, synthetic)``. The second result names contracts without draws and draws without a contract.
     """
+    alone = unmatched(contracts, draws, ["forecast_id"], "CO16", "forecast_register", "contracts", "draws")
     checked = reproduce_distribution(draws, frozen, ["forecast_id"], "value").select("forecast_id", "p10", "p50", "p90", "reproduced")
     shares = event_probability(draws, contracts.select("forecast_id", "operator", "threshold"), ["forecast_id"], "value")
     rows = contracts.join(checked, "forecast_id").join(shares.select("forecast_id", "forecast_probability"), "forecast_id", "left")
-    return with_maturity(rows, as_of)
+    return with_maturity(rows, as_of), alone
 
 
 def with_maturity(rows: DataFrame, as_of: str) -> DataFrame:
