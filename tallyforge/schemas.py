@@ -38,4 +38,6 @@ CYCLE_REVISIONS = table(
     claim_key="bigint", revision_id="bigint", recorded_at="timestamp", value="double", valid_from="date", valid_to="date", status="string", supersedes_revision_id="bigint"
 )
 CYCLES = table(known_at="timestamp", batch_id="bigint")
+ATTEMPTS = table(event_id="string", sink_kind="string", attempted_at="timestamp", outcome="string", attempt_id="string")
+ACKNOWLEDGEMENTS = table(event_id="string", acknowledged_at="timestamp", acknowledged_by="string")
 OUTBOX = table(event_id="string", payload_sha256="string", payload_json="string", created_at="timestamp")

@@ -6,6 +6,8 @@ failed or repeated write never shows half a batch. Readers join on the committed
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ def committed_batches(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/committed", COMMITTED)
 
 
-def read_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of the committed batches; ``recorded_date`` is a partition, so a time bound prunes folders."""
+def read_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType, until: datetime | None = None) -> DataFrame:
+    """Rows of the committed batches. ``recorded_date`` is a partition, so only the folders up to the cutoff ``until`` are read."""
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType()), T.StructField("recorded_date", T.DateType())])
     rows = _read(spark, f"{root}/{table}", full)
+    if until is not None:
+        rows = rows.where(F.col("recorded_date") <= F.to_date(F.lit(until)))
     return rows.join(committed_batches(spark, root).distinct(), "batch_id", "left_semi").select(*[f.name for f in schema.fields], "recorded_date")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +39,18 @@ def notification_state(events: DataFrame, attempts: DataFrame, acknowledgements:
     return rows.withColumn("status", status)
 
 
-def deliver_jsonl(state: DataFrame, path: str, attempts_path: str, delivered_at: str, limit: int = 100) -> None:
-    """Write the oldest pending events as JSON lines, then record the attempts.
+def deliver_jsonl(state: DataFrame, path: str, attempts_path: str, delivered_at: str, limit: int = 100, run: int | None = None) -> None:
+    """Write the oldest pending events as JSON lines, then record the attempts; the rest stays pending.
 
-    The sink is written before the attempt rows, so a crash in between delivers again: at least once,
-    with the event id to drop repeats.
+    Each delivery has its own folder in the sink and in the attempts, named by ``run`` (by its time if that is not given). A
+    delivery that is repeated for one run, on a state without that run's attempts, overwrites what it wrote and repeats nothing.
     """
+    name = f"run={run}" if run is not None else f"at={re.sub('[^0-9]', '', delivered_at)}"
     when = F.lit(delivered_at).cast("timestamp")
     batch = oldest_pending(state, limit).select("event_id", "payload_sha256", "payload_json", "created_at", when.alias("delivered_at"))
     early = F.when(F.col("delivered_at") < F.col("created_at"), F.raise_error(F.lit("delivered_at precedes created_at")).cast("timestamp"))
-    batch.withColumn("delivered_at", F.coalesce(early, F.col("delivered_at"))).write.mode("append").json(path)
-    sent = state.sparkSession.read.schema("event_id string, delivered_at timestamp").json(path).where(F.col("delivered_at") == when)
+    batch.withColumn("delivered_at", F.coalesce(early, F.col("delivered_at"))).write.mode("overwrite").json(f"{path}/{name}")
+    sent = state.sparkSession.read.schema("event_id string, delivered_at timestamp").json(f"{path}/{name}")
     attempt = F.concat(F.lit("delivery:"), F.left(row_digest(event_id="event_id", sink=F.lit(path), attempted_at="attempted_at"), F.lit(32)))
     rows = sent.dropDuplicates(["event_id"]).select("event_id", F.lit("jsonl").alias("sink_kind"), F.col("delivered_at").alias("attempted_at"), F.lit("delivered").alias("outcome"))
-    rows.withColumn("attempt_id", attempt).write.mode("append").parquet(attempts_path)
+    rows.withColumn("attempt_id", attempt).write.mode("overwrite").parquet(f"{attempts_path}/{name}")
