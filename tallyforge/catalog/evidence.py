@@ -99,6 +99,20 @@ def co20_remaining_synthetic(t):
     return C.revise_estimates(*revision_inputs(t))["remaining"]
 
 
+@query("""WITH a AS (SELECT p_brand AS scenario_id, p_partkey FROM part WHERE p_type <> 'PROMO' AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')),
+ e AS (SELECT DISTINCT p_brand AS scenario_id, 'type' || p_type AS id, 'base' AS title FROM part UNION ALL SELECT scenario_id, 'part' || p_partkey, 'claim' FROM a
+   UNION ALL SELECT scenario_id, 'type' || 'PROMO', 'changed' FROM a WHERE p_partkey % 5 = 0)
+SELECT scenario_id, id, count(DISTINCT title) > 1 AS conflict FROM e GROUP BY ALL""")
+def co20_evidence_union(t):
+    """The scenarios' evidence and that of the claims that replaced an estimate."""
+    base = t.part.select(F.col("p_brand").alias("scenario_id"), F.concat(F.lit("type"), "p_type").alias("id"), F.lit("base").alias("title")).distinct()
+    path = F.col("p_partkey").cast("string").alias("input_path")
+    claims = t.part.select(F.col("p_brand").alias("scenario_id"), path, F.concat(F.lit("part"), "p_partkey").alias("id"), F.lit("claim").alias("title")).unionByName(
+        t.part.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("scenario_id"), path, F.lit("typePROMO").alias("id"), F.lit("changed").alias("title"))
+    )
+    return C.revise_estimates(*revision_inputs(t), base, claims)["evidence"].select("scenario_id", "id", "conflict")
+
+
 MIDDLE = "2024-01-16"
 
 
@@ -285,6 +299,23 @@ def co25_anchor_claims(t):
     return D.anchor_claims(*anchor_inputs(t), F.lit("2024-02-01").cast("timestamp"))[0].select("spec_id", "source_id", "expected_text")
 
 
+@query(f"""WITH {ANCHOR}, c AS (SELECT doc_id FROM x WHERE n >= start + 10 AND own = want)
+SELECT 'sec-filing-' || doc_id AS id, 'sec-edgar-filing-' || doc_id AS source_family, sha256(text) AS content_hash, 'support' AS role FROM c JOIN documents USING (doc_id) WHERE source <> 'src2'
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, 'source_hash_mismatch' FROM c JOIN documents USING (doc_id) WHERE source = 'src2'""")
+def co25_anchor_evidence(t):
+    """Evidence row and edge of each filing with an anchored claim; filings whose raw file changed have none."""
+    claims, _ = D.anchor_claims(*anchor_inputs(t), F.lit("2024-02-01").cast("timestamp"))
+    sha = F.sha2("text", 256)
+    documents = t.documents.select(
+        F.col("doc_id").alias("accession_number"), F.lit("text/html").alias("media_type"), F.lit("https://example.org").alias("source_url"), F.lit("2023-12-01").cast("date").alias("filing_date"),
+        F.lit("2024-01-01").cast("timestamp").alias("retrieved_at"), sha.alias("content_sha256"), F.when(F.col("source") == "src2", F.lit("other")).otherwise(sha).alias("source_sha256"),
+    )
+    rows, edges, problems = D.anchored_evidence(claims, documents)
+    good = rows.join(edges, "id").select("id", "source_family", "content_hash", "role")
+    none = F.lit(None).cast("string")
+    return good.unionByName(problems.select(F.col("accession_number").cast("string").alias("id"), none.alias("source_family"), none.alias("content_hash"), F.col("problem").alias("role")))
+
+
 def capacity_rows(t):
     q = F.col("l_quantity")
     return t.lineitem.groupBy(F.col("l_partkey").alias("claim_id")).agg(
@@ -421,6 +452,25 @@ def co27_import_site_power(t):
     return settled(total.select("selection_id", "low", "base", "high", "posture", "basis"), ["low", "base", "high"])
 
 
+@query(f"""WITH {SITES}, ok AS (SELECT selection_id, entity_id FROM j WHERE selection_id NOT IN (SELECT selection_id FROM j WHERE problem IS NOT NULL)),
+ e AS (SELECT selection_id, 's' || entity_id AS id, 'site' AS title FROM ok UNION ALL SELECT selection_id, 'r' || entity_id // 10, 'report' FROM ok WHERE entity_id % 7 <> 0
+   UNION ALL SELECT selection_id, 's' || entity_id, 'other' FROM ok WHERE entity_id % 7 <> 0 AND entity_id % 11 = 0),
+ p AS (SELECT selection_id, CAST(entity_id AS VARCHAR) AS key, 'capacity_evidence_missing' AS problem FROM ok WHERE entity_id % 7 = 0
+   UNION ALL SELECT selection_id, 's' || entity_id, 'evidence_conflict' FROM ok WHERE entity_id % 7 <> 0 AND entity_id % 11 = 0)
+SELECT DISTINCT selection_id, id, title FROM e WHERE selection_id NOT IN (SELECT selection_id FROM p) UNION ALL SELECT selection_id, key, problem FROM p""")
+def co27_site_evidence(t):
+    """Evidence of sites and capacity rows per clean selection; a report that two sites share comes once."""
+    sites, capacity, selections = site_inputs(t)
+    failed = D.import_site_power(sites, capacity, selections)[1]
+    n = F.col("s_suppkey")
+    own = t.supplier.select(n.alias("entity_id"), F.concat(F.lit("s"), n).alias("id"), F.lit("site").alias("title"))
+    cited = t.supplier.where("s_suppkey % 7 <> 0")
+    reports = cited.select(n.alias("entity_id"), F.concat(F.lit("r"), F.floor(n / 10)).alias("id"), F.lit("report").alias("title"))
+    changed = cited.where("s_suppkey % 11 = 0").select(n.alias("entity_id"), F.concat(F.lit("s"), n).alias("id"), F.lit("other").alias("title"))
+    rows, problems = D.site_power_evidence(selections, failed, own, reports.unionByName(changed))
+    return rows.unionByName(problems.select("selection_id", F.col("key").alias("id"), F.col("problem").alias("title")))
+
+
 def text_files(t):
     return t.documents.select(F.col("doc_id").alias("name"), F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"), "lang", "source")
 

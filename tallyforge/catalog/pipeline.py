@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions.values import CORE_DIMENSIONS
 from tallyforge.schemas import CYCLE_REVISIONS, OUTBOX, table
 from tallyforge.session import scratch_path
 from tallyforge.sources import ledger as G
@@ -157,6 +158,59 @@ def sk3_s6_append_and_read_ledger(t):
     return out.select("claim_key", "revision_id", "value", F.col("recorded_date").cast("string").alias("recorded_date"))
 
 
+def whole_pack(rows):
+    """A pack of events: one snapshot per user, one edge and the core dimensions per event."""
+    revisions = rows.select("claim_key", "revision_id", "recorded_at", "value", "supersedes_revision_id", F.lit("asserted").alias("status"), F.to_date("recorded_at").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(0.5).alias("confidence"))
+    source = F.concat(F.lit("u"), "claim_key").alias("snapshot_id")
+    snapshots = rows.select(source, F.sha2(F.col("claim_key").cast("string"), 256).alias("content_sha256"), F.lit("2023-12-31").cast("timestamp").alias("retrieved_at")).distinct()
+    dimensions = rows.select("revision_id", F.explode(F.array(*[F.lit(d) for d in CORE_DIMENSIONS])).alias("dimension"), F.lit("all").alias("value"))
+    return {"revisions": revisions, "edges": rows.select("revision_id", source, F.lit("primary").alias("evidence_role")), "snapshots": snapshots, "dimensions": dimensions}
+
+
+def faulty_pack(t, rows):
+    """The same pack with unknown snapshots, events without evidence or stage, and snapshots of other content."""
+    pack, kinds = whole_pack(rows), t.events.select(F.col("event_id").alias("revision_id"), "event_type")
+    edges = pack["edges"].join(kinds, "revision_id").where("event_type <> 'signup'")
+    pack["edges"] = edges.withColumn("snapshot_id", F.when(F.col("event_type") == "error", F.concat(F.lit("x"), "revision_id")).otherwise(F.col("snapshot_id"))).drop("event_type")
+    pack["dimensions"] = pack["dimensions"].join(kinds, "revision_id").where("event_type <> 'purchase' OR dimension <> 'stage'").drop("event_type")
+    other = F.ascii(F.right("snapshot_id", F.lit(1))) % 5 == 0
+    pack["snapshots"] = pack["snapshots"].withColumn("content_sha256", F.when(other, F.lit("other")).otherwise(F.col("content_sha256")))
+    return pack
+
+
+def pack_ledger(t):
+    """A first pack, a faulty second one that leaves no trace, the mended one, and the mended one again."""
+    root, rows = scratch_path(t.spark, "packs"), packs(t)
+    early, late = rows.where("recorded_at < '2024-01-10'"), rows.where("recorded_at >= '2024-01-10'")
+    G.append_pack(t.spark, root, whole_pack(early), "p1")
+    G.append_pack(t.spark, root, faulty_pack(t, late), "p2")
+    G.append_pack(t.spark, root, whole_pack(late), "p3")
+    G.append_pack(t.spark, root, whole_pack(late), "p3-again")
+    return root
+
+
+@query("SELECT event_id AS revision_id, 'u' || user_id AS snapshot_id, 1 AS snapshots, 6 AS dimensions, CAST(CAST(ts AS DATE) AS VARCHAR) AS recorded_date FROM events WHERE ts < TIMESTAMP '2024-01-20'")
+def sk3_whole_packs(t):
+    """What the ledger knew by a day: revisions with their edge, their one snapshot and their dimensions."""
+    root, tables = pack_ledger(t), whole_pack(packs(t))
+    known = {table: G.read_ledger(t.spark, root, table, tables[table].schema, until=datetime(2024, 1, 19)) for table in G.PACK_KEYS}
+    counts = known["dimensions"].groupBy("revision_id").agg(F.count("*").cast("int").alias("dimensions"))
+    snapshots = known["snapshots"].groupBy("snapshot_id").agg(F.count("*").cast("int").alias("snapshots"))
+    rows = known["revisions"].select("revision_id", F.col("recorded_date").cast("string").alias("recorded_date"))
+    return rows.join(known["edges"].select("revision_id", "snapshot_id"), "revision_id").join(snapshots, "snapshot_id").join(counts, "revision_id")
+
+
+@query("""WITH late AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT 'edges' AS "table", event_id || '|x' || event_id || '|primary' AS key, 'unknown_source' AS code FROM late WHERE event_type = 'error'
+UNION ALL SELECT 'revisions', CAST(event_id AS VARCHAR), 'evidence_missing' FROM late WHERE event_type = 'signup'
+UNION ALL SELECT 'dimensions', CAST(event_id AS VARCHAR), 'missing:stage' FROM late WHERE event_type = 'purchase'
+UNION ALL SELECT DISTINCT 'snapshots', 'u' || user_id, 'collision' FROM late WHERE ascii(right(CAST(user_id AS VARCHAR), 1)) % 5 = 0 AND user_id IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-10')""")
+def sk3_pack_problems(t):
+    root, rows = scratch_path(t.spark, "packs"), packs(t)
+    G.append_pack(t.spark, root, whole_pack(rows.where("recorded_at < '2024-01-10'")), "p1")
+    return G.append_pack(t.spark, root, faulty_pack(t, rows.where("recorded_at >= '2024-01-10'")), "p2")["problems"]
+
+
 FIRST, SECOND, VALID = datetime(2024, 1, 12), datetime(2024, 1, 20), date(2024, 1, 11)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.dates import quarter_end, quarter_of
 from tallyforge.operators import quality as Q
 from tallyforge.operators.aggregates import summarize
+from tallyforge.operators.projections import evidence_records
 from tallyforge.plans.capacity import assembly_pool, opportunity_ranking
 from tallyforge.plans.conversion import conservation_errors, supplier_flows, supplier_pool
 from tallyforge.plans.filings import rejected_filings
@@ -259,8 +260,19 @@ def co16_contracts_without_draws(t):
 FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def p20_edges_without_metadata(t):
     """Evidence edges whose snapshot has no metadata."""
-    edges, metadata = t.orders.select(F.col("o_custkey").alias("snapshot_id")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("snapshot_id"))
-    return Q.unmatched(edges, metadata, ["snapshot_id"], "P20", "claim_evidence", "edges", "metadata").where("detail = 'missing_in:metadata'")
+    claims = t.orders.select(F.col("o_orderkey").alias("claim_key"), F.array(F.struct(F.col("o_custkey").alias("snapshot_id"))).alias("evidence"))
+    lost = evidence_records(claims, t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("snapshot_id")))[1].where("problem = 'metadata_missing'")
+    return lost.select(F.lit("P20").alias("check_id"), F.lit("claim_evidence").alias("table"), F.col("snapshot_id").cast("string").alias("key"), F.lit("missing_in:metadata").alias("detail"))
+
+
+@query("""SELECT o_custkey AS snapshot_id, 'metadata_missing' AS problem FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY ALL
+UNION ALL SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'metadata_not_unique' ELSE 'metadata_unused' END FROM customer
+ WHERE c_acctbal > 0 AND (c_nationkey = 3 OR c_custkey NOT IN (SELECT o_custkey FROM orders))""")
+def p20_metadata_problems(t):
+    """Metadata must describe every and only the snapshots of the claims, each once."""
+    claims = t.orders.select(F.col("o_orderkey").alias("claim_key"), F.array(F.struct(F.col("o_custkey").alias("snapshot_id"))).alias("evidence"))
+    metadata = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("snapshot_id"), "c_nationkey")
+    return evidence_records(claims, metadata.union(metadata.where("c_nationkey = 3")))[1]
 
 
 @query("""SELECT 'CO23' AS check_id, 'filings' AS "table", CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_orderkey AS VARCHAR) ELSE 'x' || o_orderkey END AS key,

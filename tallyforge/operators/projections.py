@@ -143,8 +143,20 @@ def bottlenecks_long(df: DataFrame, keys: list[str], column: str = "bottlenecks"
 
 def evidence_from_claims(claims: DataFrame, metadata: DataFrame) -> DataFrame:
     """Evidence edges of claims (``evidence`` array of structs with snapshot_id) as evidence records."""
+    return evidence_records(claims, metadata)[0]
+
+
+def evidence_records(claims: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence records, and what keeps the metadata from describing every and only the claims' snapshots, each once.
+
+    Problems ``(snapshot_id, problem)``: ``metadata_missing``, ``metadata_not_unique``, ``metadata_unused``.
+    """
     edges = claims.select("claim_key", F.inline("evidence"))
-    return edges.join(metadata, "snapshot_id")
+    used = edges.groupBy("snapshot_id").agg(F.count("*").alias("_edges"))
+    known = metadata.groupBy("snapshot_id").agg(F.count("*").alias("_rows"))
+    problem = F.when(F.col("_rows").isNull(), "metadata_missing").when(F.col("_edges").isNull(), "metadata_unused").when(F.col("_rows") > 1, "metadata_not_unique")
+    judged = used.join(known, "snapshot_id", "full").select("snapshot_id", problem.alias("problem"))
+    return edges.join(metadata, "snapshot_id"), judged.where("problem IS NOT NULL")
 
 
 def flatten_scores(df: DataFrame, struct: str, lists: list[str]) -> DataFrame:

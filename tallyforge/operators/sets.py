@@ -10,16 +10,17 @@ from tallyforge.functions.values import row_digest
 from .skew import union_all
 
 
-def union_evidence(*frames: DataFrame, key: str = "id") -> DataFrame:
+def union_evidence(*frames: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Union where identical rows merge; ``conflict`` marks an id that came with different contents."""
     both = union_all(list(frames))
-    fields = [c for c in both.columns if c != key]
+    key = [key] if isinstance(key, str) else key
+    fields = [c for c in both.columns if c not in key]
     digest = row_digest(**{f: f for f in fields})
-    packed = both.select(key, digest.alias("_d"), F.struct(*fields).alias("_row"))
-    merged = packed.groupBy(key).agg(
+    packed = both.select(*key, digest.alias("_d"), F.struct(*fields).alias("_row"))
+    merged = packed.groupBy(*key).agg(
         F.min_by("_row", "_d").alias("_row"), (F.min("_d") != F.max("_d")).alias("conflict")
     )
-    return merged.select(key, "_row.*", "conflict")
+    return merged.select(*key, "_row.*", "conflict")
 
 
 def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

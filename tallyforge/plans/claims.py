@@ -116,12 +116,20 @@ def evidence_coverage(gaps: DataFrame, assessments: DataFrame, keys: list[str])
     )
 
 
-def revise_estimates(estimates: DataFrame, accepted: DataFrame) -> dict[str, DataFrame]:
-    """Apply accepted claims to synthetic estimates; audit of what changed and what is still synthetic."""
+def revise_estimates(estimates: DataFrame, accepted: DataFrame, evidence: DataFrame | None = None, claim_evidence: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Apply accepted claims to synthetic estimates; audit of what changed and what is still synthetic.
+
+    With ``evidence(scenario_id, id, …)`` of the scenarios and ``claim_evidence(scenario_id, input_path, id, …)`` of the accepted claims, the
+    union of both follows: only claims that replaced an estimate bring theirs, equal rows merge, and ``conflict`` marks an id with two contents.
+    """
     revised = apply_revisions(estimates, accepted)
     changed = (F.col("low") != F.col("previous_low")) | (F.col("base") != F.col("previous_base")) | (F.col("high") != F.col("previous_high"))
     audit = revised.where("replaced").withColumn("numeric_changed", changed)
-    return {"estimates": revised, "audit": audit, "remaining": synthetic_input_count(revised, ["scenario_id"])}
+    out = {"estimates": revised, "audit": audit, "remaining": synthetic_input_count(revised, ["scenario_id"])}
+    if evidence is not None and claim_evidence is not None:
+        applied = claim_evidence.join(audit.select("scenario_id", "input_path"), ["scenario_id", "input_path"], "left_semi").drop("input_path")
+        out["evidence"] = union_evidence(evidence, applied, key=["scenario_id", "id"])
+    return out
 
 
 def estimate_alerts(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

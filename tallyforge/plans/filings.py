@@ -12,6 +12,7 @@ from tallyforge.operators.aggregates import document_term_counts, sum_ranges
 from tallyforge.operators.joins import changed_or_missing, closure_per_selection, cyclic_claims, match_exactly_one, new_rows, select_documents, supporting_evidence
 from tallyforge.operators.ordering import order_filings
 from tallyforge.operators.projections import filter_filings, in_capacity_window
+from tallyforge.operators.sets import union_evidence
 from tallyforge.operators.skew import union_all
 from tallyforge.operators.windows import cap_hits
 from tallyforge.sources.readers import columns_to_rows
@@ -128,6 +129,32 @@ def anchor_claims(texts: DataFrame, specs: DataFrame, recorded_at: Column) -> tu
     return claims.drop("problem"), judged.where("problem IS NOT NULL").select("spec_id", "problem")
 
 
+#: What every filing's evidence row states.
+FILING_PUBLISHER, FILING_LICENSE = "U.S. Securities and Exchange Commission", "SEC website terms"
+
+
+def anchored_evidence(claims: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence rows of the filings that anchored claims rest on (one each), the edges to them, and the filings that cannot serve.
+
+    ``claims`` come from ``anchor_claims``; ``documents(accession_number, media_type, source_url, filing_date, retrieved_at, content_sha256,
+    source_sha256)``, the last being the digest of the raw file at hand. Problems ``(accession_number, problem)``; the claims of such a filing get no edges.
+    """
+    used = claims.select("accession_number", "source_id").distinct()
+    copies = documents.groupBy("accession_number").agg(F.count("*").alias("copies"), F.first(F.struct(*[c for c in documents.columns if c != "accession_number"])).alias("_d"))
+    problem = (
+        F.when(F.col("copies").isNull(), "document_absent").when(F.col("copies") > 1, "document_not_unique")
+        .when(~F.col("_d.content_sha256").eqNullSafe(F.col("_d.source_sha256")) | F.col("_d.content_sha256").isNull(), "source_hash_mismatch")
+    )
+    judged = used.join(copies, "accession_number", "left").withColumn("problem", problem)
+    rows = judged.where("problem IS NULL").select(
+        F.col("source_id").alias("id"), F.lit("raw_source").alias("capture_kind"), "_d.media_type", "_d.source_url", F.lit(FILING_PUBLISHER).alias("publisher"),
+        F.concat(F.lit("sec-edgar-filing-"), F.col("accession_number").cast("string")).alias("source_family"), F.col("_d.filing_date").alias("published_at"), "_d.retrieved_at",
+        F.lit(FILING_LICENSE).alias("license"), F.col("_d.content_sha256").alias("content_hash"),
+    )
+    edges = claims.select("claim_id", F.col("source_id").alias("id"), F.lit("support").alias("role")).join(rows.select("id"), "id", "left_semi")
+    return rows, edges, judged.where("problem IS NOT NULL").select("accession_number", "problem")
+
+
 def import_capacity(capacity: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact-quarter claim rows summed per selection, and problems per selected claim.
 
@@ -204,6 +231,22 @@ def import_forecast(forecasts: DataFrame, selections: DataFrame) -> tuple[DataFr
     return sum_ranges(clean, ["selection_id"], F.lit(False), "modeled"), failed
 
 
+def site_power_evidence(selections: DataFrame, failed: DataFrame, site_evidence: DataFrame, capacity_evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence of the sites and capacity rows of each clean selection, united by id; and what is wrong.
+
+    Both evidence tables are ``(entity_id, id, …)`` with equal further columns; ``failed`` is that of ``import_site_power``. Problems
+    ``(selection_id, key, problem)``: a selected site without capacity evidence, and an id that comes with two contents.
+    """
+    chosen = selections.select("selection_id", F.explode("entity_ids").alias("entity_id")).distinct().join(failed.select("selection_id"), "selection_id", "left_anti")
+    lost = chosen.join(capacity_evidence.select("entity_id"), "entity_id", "left_anti")
+    parts = [chosen.join(rows, "entity_id").drop("entity_id") for rows in (site_evidence, capacity_evidence)]
+    united = union_evidence(*parts, key=["selection_id", "id"])
+    problems = lost.select("selection_id", F.col("entity_id").cast("string").alias("key"), F.lit("capacity_evidence_missing").alias("problem")).unionByName(
+        united.where("conflict").select("selection_id", F.col("id").cast("string").alias("key"), F.lit("evidence_conflict").alias("problem"))
+    )
+    return united.drop("conflict").join(problems.select("selection_id"), "selection_id", "left_anti"), problems
+
+
 def import_site_power(sites: DataFrame, capacity: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gross power envelope of the chosen sites per selection; never a net number.
 

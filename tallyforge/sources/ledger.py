@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.values import row_digest
-from tallyforge.operators.skew import chunked_lag
+from tallyforge.functions.values import CORE_DIMENSIONS, OPTIONAL_DIMENSIONS, dimension_map_errors, row_digest
+from tallyforge.operators.quality import claim_problems, flag_rows, pack_evidence_problems
+from tallyforge.operators.skew import chunked_lag, union_all
+
+#: The tables of a pack and what names one of their rows.
+PACK_KEYS = {"revisions": ["revision_id"], "edges": ["revision_id", "snapshot_id", "evidence_role"], "snapshots": ["snapshot_id"], "dimensions": ["revision_id", "dimension"]}
 
 COMMITTED = T.StructType([T.StructField("batch_id", T.StringType())])
 
@@ -77,6 +81,16 @@ def batch_problems(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return chain.select("revision_id", code.alias("code")).where("code IS NOT NULL")
 
 
+def new_and_colliding(existing: DataFrame, batch: DataFrame, key: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key the ledger lacks, and keys with two contents in the batch or against the ledger."""
+    once = batch.select(*names).distinct()
+    digest = row_digest(**{n: n for n in names if n not in key})  # tells apart which field is null
+    known = existing.select(*key, digest.alias("_known"))
+    twice = once.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
+    against = once.withColumn("_own", digest).join(known, key).where("_own <> _known").select(*key)
+    return once.join(known, key, "left_anti").select(*names), twice.unionByName(against).distinct()
+
+
 def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType, batch: DataFrame, batch_id: str, check_chain: bool = True) -> dict:
     """All-or-nothing append, idempotent by batch and revision id: nothing is visible unless every new row is valid.
 
@@ -86,17 +100,67 @@ def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructTy
     if is_committed(spark, root, batch_id):
         return {"committed": True, "problems": None}
     existing = read_ledger(spark, root, table, schema)
-    names = [f.name for f in schema.fields]
-    once = batch.select(*names).distinct()
-    digest = row_digest(**{n: n for n in names if n != "revision_id"})  # tells apart which field is null
-    known = existing.select("revision_id", digest.alias("_known"))
-    fresh = once.join(known, "revision_id", "left_anti").select(*names)
-    twice = once.groupBy("revision_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("revision_id")
-    against = once.withColumn("_own", digest).join(known, "revision_id").where("_own <> _known").select("revision_id")
-    problems = twice.unionByName(against).distinct().withColumn("code", F.lit("revision_collision"))
+    fresh, colliding = new_and_colliding(existing, batch, ["revision_id"], [f.name for f in schema.fields])
+    problems = colliding.withColumn("code", F.lit("revision_collision"))
     problems = problems.unionByName(batch_problems(existing, fresh)) if check_chain else problems
     if not problems.isEmpty():
         return {"committed": False, "problems": problems}
     write_batch(fresh, root, table, batch_id)
     commit_batch(spark, root, batch_id)
     return {"committed": True, "problems": problems}
+
+
+def dimension_problems(revisions: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """Revisions whose dimensions lack a core name, hold an unknown one or a blank value."""
+    one = dimensions.groupBy("revision_id", "dimension").agg(F.min(F.coalesce("value", F.lit(""))).alias("value"))
+    maps = one.groupBy("revision_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "value"))).alias("_dims"))
+    rows = revisions.select("revision_id").distinct().join(maps, "revision_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    codes = dimension_map_errors(F.coalesce("_dims", none), CORE_DIMENSIONS, OPTIONAL_DIMENSIONS)
+    return rows.select(F.lit("dimensions").alias("table"), F.col("revision_id").cast("string").alias("key"), F.explode(codes).alias("code"))
+
+
+def pack_problems(existing: dict[str, DataFrame], pack: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of each table that the ledger lacks, and every broken rule ``(table, key, code)``.
+
+    Rules: no key has two contents; revisions keep their chain and the claim contract, evidence included; edges name a revision of the
+    pack and a snapshot of the pack or the ledger that was retrieved in time; dimensions are complete.
+    """
+    fresh, found = {}, []
+    text = lambda key: F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key")
+    for table, key in PACK_KEYS.items():
+        fresh[table], colliding = new_and_colliding(existing[table], pack[table], key, pack[table].columns)
+        found.append(colliding.select(F.lit(table).alias("table"), text(key), F.lit("collision").alias("code")))
+    revisions = pack["revisions"].distinct()
+    chain = batch_problems(existing["revisions"], fresh["revisions"])
+    found.append(chain.select(F.lit("revisions").alias("table"), F.col("revision_id").cast("string").alias("key"), "code"))
+    counts = pack["edges"].groupBy("revision_id").agg(F.count("*").alias("evidence_count"))
+    judged = revisions.join(counts, "revision_id", "left").fillna(0, ["evidence_count"])
+    judged = judged if "value" in judged.columns else judged.withColumn("value", F.col("value_json"))
+    found.append(flag_rows(judged, "revisions", "revision_id", claim_problems()).select("table", "key", F.col("detail").alias("code")))
+    named = existing["snapshots"].join(pack["edges"].select("snapshot_id").distinct(), "snapshot_id", "left_semi").select("snapshot_id", "retrieved_at")
+    sources = pack["snapshots"].select("snapshot_id", "retrieved_at").unionByName(named).groupBy("snapshot_id").agg(F.max("retrieved_at").alias("retrieved_at"))
+    found.append(pack_evidence_problems(revisions, pack["edges"], sources).select(F.lit("edges").alias("table"), "key", F.col("detail").alias("code")))
+    found.append(dimension_problems(revisions, pack["dimensions"]))
+    return fresh, union_all(found)
+
+
+def append_pack(spark: SparkSession, root: str, pack: dict[str, DataFrame], batch_id: str) -> dict:
+    """All-or-nothing append of a whole pack: one write per table, then one commit that makes all four visible.
+
+    ``pack`` holds the tables of ``PACK_KEYS``. A committed batch is never written again, one that was written without its commit is
+    written anew. Edges and dimensions are filed under the day of their revision, snapshots under that of their retrieval.
+    """
+    if is_committed(spark, root, batch_id):
+        return {"committed": True, "problems": None}
+    existing = {table: read_ledger(spark, root, table, pack[table].schema) for table in PACK_KEYS}
+    fresh, problems = pack_problems(existing, pack)
+    if not problems.isEmpty():
+        return {"committed": False, "problems": problems}
+    when = pack["revisions"].select("revision_id", "recorded_at").distinct()
+    write_batch(fresh["revisions"], root, "revisions", batch_id)
+    write_batch(fresh["snapshots"], root, "snapshots", batch_id, "retrieved_at")
+    for table in ("edges", "dimensions"):
+        write_batch(fresh[table].join(when, "revision_id"), root, table, batch_id)
+    commit_batch(spark, root, batch_id)
+    return {"committed": True, "problems": problems}
