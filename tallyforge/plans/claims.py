@@ -12,7 +12,7 @@ from tallyforge.functions.values import assessment_status, content_id, dimension
 from tallyforge.operators.aggregates import synthetic_input_count
 from tallyforge.operators.joins import apply_revisions, diff_snapshots, eligible_revisions, gap_coverage, match_exactly_one
 from tallyforge.operators.ordering import order_alerts
-from tallyforge.operators.sets import union_alerts
+from tallyforge.operators.sets import union_alerts, union_evidence
 from tallyforge.operators.windows import latest_revision, top_binding
 
 

@@ -538,3 +538,94 @@ def test_collisions_see_which_field_is_null(spark, tmp_path):
     fields = one.schema
     assert append_ledger(spark, f"file://{tmp_path}", "t", fields, one, "b1", check_chain=False)["committed"]
     assert not append_ledger(spark, f"file://{tmp_path}", "t", fields, other, "b2", check_chain=False)["committed"]
+
+
+def cycle_rows(spark, values):
+    from tallyforge.schemas import CYCLE_REVISIONS
+
+    day = datetime(2024, 1, 2)
+    rows = [(key, rid, at or day, float(rid), date(2024, 1, 1), None, "asserted", before) for key, rid, at, before in values]
+    return spark.createDataFrame(rows, CYCLE_REVISIONS)
+
+
+def test_cycle_repeats_nothing_wherever_it_stops(spark, tmp_path, monkeypatch):
+    from tallyforge.streaming import cycle as Y
+
+    known, valid = datetime(2024, 1, 3), date(2024, 1, 2)
+    batch = cycle_rows(spark, [(1, 10, None, None), (2, 11, None, None)])
+
+    def stop(*args, **kwargs):
+        raise KeyError("stopped")
+
+    def sent(root):
+        return sorted(r.event_id for r in spark.read.schema("event_id string").json(f"{root}/sink/*").collect())
+
+    for place, name in enumerate(("append_ledger", "claim_diff", "enqueue_notifications", "deliver_jsonl")):
+        root = f"file://{tmp_path}/{place}"
+        with monkeypatch.context() as patch:
+            patch.setattr(Y, name, stop)
+            with pytest.raises(KeyError):
+                Y.run_cycle_batch(batch, 0, root, known, valid, f"{root}/sink")
+        Y.run_cycle_batch(batch, 0, root, known, valid, f"{root}/sink")
+        assert len(sent(root)) == len(set(sent(root))) == 2
+    once = sent(root)
+    Y.run_cycle_batch(batch, 0, root, known, valid, f"{root}/sink")  # handed over, and stopped before the checkpoint
+    assert sent(root) == once
+    Y.run_cycle_batch(cycle_rows(spark, [(3, 12, datetime(2024, 1, 4), None)]), 1, root, datetime(2024, 1, 5), valid, f"{root}/sink")
+    assert len(sent(root)) == 3 and set(once) < set(sent(root))
+
+
+def test_refused_pack_is_offered_again(spark, tmp_path):
+    from tallyforge.streaming import cycle as Y
+
+    root, known, valid = f"file://{tmp_path}", datetime(2024, 1, 3), date(2024, 1, 2)
+    (tmp_path / "packs").mkdir()
+    cycle_rows(spark, [(1, 10, None, 9)]).toPandas().to_parquet(tmp_path / "packs" / "a.parquet", coerce_timestamps="us")
+    with pytest.raises(Exception, match="PackRefused"):
+        Y.run_cycle(spark, f"{root}/packs", root, known, valid)
+    assert spark.read.parquet(f"{root}/problems/run=0").first().code == "first_revision_supersedes"
+    cycle_rows(spark, [(1, 10, None, None)]).toPandas().astype({"supersedes_revision_id": "Int64"}).to_parquet(tmp_path / "packs" / "a.parquet", coerce_timestamps="us")
+    Y.run_cycle(spark, f"{root}/packs", root, known, valid)
+    assert spark.read.parquet(f"{root}/revisions").count() == 1
+
+
+def test_filings_are_added_once_and_only_their_days_are_read(spark, tmp_path):
+    from tallyforge.schemas import table
+    from tallyforge.streaming.cycle import add_filings
+
+    schema, target = table(accession_number="string", day="date"), f"file://{tmp_path}/out"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    a, b, c, none = ("a", date(2024, 1, 1)), ("b", date(2024, 1, 2)), ("c", date(2024, 2, 1)), ("n", None)
+    for _ in range(2):  # a replay of the first run changes nothing
+        add_filings(rows(a, a, b, none), 0, target, schema, "day")
+    add_filings(rows(b, c, none), 1, target, schema, "day")
+    add_filings(rows(a), 2, target, schema, "day")
+    got = spark.read.schema("accession_number string, day date, run bigint").parquet(target).select("accession_number", "run").collect()
+    assert sorted(map(tuple, got)) == [("a", 0), ("b", 0), ("c", 1), ("n", 0)]
+
+
+def test_pack_is_visible_whole_or_not_at_all(spark, tmp_path):
+    from tallyforge.functions.values import CORE_DIMENSIONS
+    from tallyforge.sources import ledger
+
+    root, day = f"file://{tmp_path}", "TIMESTAMP'2024-01-02'"
+    names = ", ".join(f"'{n}'" for n in CORE_DIMENSIONS)
+    pack = {
+        "revisions": spark.sql(f"SELECT 1L AS claim_key, 'r' AS revision_id, {day} AS recorded_at, 1.0D AS value, CAST(NULL AS STRING) AS supersedes_revision_id, 'asserted' AS status, DATE'2024-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to, 0.5D AS confidence"),
+        "edges": spark.sql("SELECT 'r' AS revision_id, 's' AS snapshot_id, 'primary' AS evidence_role"),
+        "snapshots": spark.sql("SELECT 's' AS snapshot_id, 'h' AS content_sha256, TIMESTAMP'2024-01-01' AS retrieved_at"),
+        "dimensions": spark.sql(f"SELECT 'r' AS revision_id, explode(array({names})) AS dimension, 'all' AS value"),
+    }
+    counts = lambda: [ledger.read_ledger(spark, root, t, pack[t].schema).count() for t in ledger.PACK_KEYS]
+    late = {**pack, "snapshots": pack["snapshots"].withColumn("retrieved_at", F.lit("2024-01-03").cast("timestamp"))}
+    refused = ledger.append_pack(spark, root, late, "p0")
+    assert {r.code for r in refused["problems"].collect()} == {"retrieved_after_recording"} and counts() == [0, 0, 0, 0]
+    ledger.write_batch(pack["revisions"], root, "revisions", "p1")  # one table written, then the job ended
+    assert counts() == [0, 0, 0, 0]
+    for name in ("p1", "p1", "p2"):
+        assert ledger.append_pack(spark, root, pack, name)["committed"] and counts() == [1, 1, 1, 6]
+    changed = {**pack, "dimensions": pack["dimensions"].where("dimension <> 'stage'").withColumn("value", F.when(F.col("dimension") == "period", "q").otherwise(F.col("value")))}
+    refused = ledger.append_pack(spark, root, changed, "p3")
+    assert {(r.table, r.code) for r in refused["problems"].collect()} == {("dimensions", "collision"), ("dimensions", "missing:stage")}
+    plan = ledger.read_ledger(spark, root, "revisions", pack["revisions"].schema, until=datetime(2024, 1, 1))
+    assert plan.count() == 0 and "recorded_date" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]", 1)[0]
