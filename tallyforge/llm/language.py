@@ -31,7 +31,8 @@ def text_features(text: str, dims: int) -> np.ndarray:
 def fit_text(docs: DataFrame, dims: int = 1 << 15, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and log likelihoods ``(language, feature)`` from all rows with a language: add-half smoothed trigram counts.
 
-    Tasks count what they read; the counts of a feature and language meet in one grouped sum.
+    Tasks count what they read; the counts of a feature and language meet in one grouped sum. The driver holds ``dims`` numbers a
+    language: the distinct values of ``lang_col`` must be a list of languages, not free text.
     """
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
 
@@ -79,8 +80,9 @@ def _shares(rows: DataFrame, keys: list[str], langs: list[str], above: DataFrame
 def identify_languages(pages: DataFrame, docs: DataFrame, strength: float = 5.0, weight: float = 0.02, dims: int = 1 << 15, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The language of every page from four kinds of evidence.
 
-    * text: trigram likelihoods learnt from all of ``docs``, over the whole visible text, each trigram at ``weight`` as
-      neighbours depend on each other;
+    * text: trigram likelihoods learnt from all of ``docs``, over the whole prose of the page, each trigram at ``weight`` as
+      neighbours depend on each other. Navigation (``nav``) is visible but lists other pages' titles, often in another
+      language, so it is no evidence by rule, as are scripts, styles and comments;
     * markup: how often pages whose text speaks for a language declare each code, smoothed;
     * address suffix: likewise, from the last label of the host;
     * host: a prior smoothed towards its domain (the last two labels), and that towards all pages.

@@ -1,7 +1,9 @@
 """The registered queries on the smallest driver tables: against SQL, or against the promises of their results."""
 
 import os
+import re
 import sys
+import zlib
 
 import pytest
 
@@ -58,3 +60,31 @@ def _reach(start, ids, linked):
         found |= new
         todo += new
     return found
+
+
+MORE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+def test_quality_query_on_held_out_labels(spark):
+    docs = [r.doc_id for r in spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
+    rows = QUERIES["op4_quality"](spark, MORE).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    held = [(r.score, labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y, _ in held if y == 1], [s for s, y, _ in held if y == 0]
+    assert len(good) > 10 and len(bad) > 10
+    above = sum((a > b) + 0.5 * (a == b) for a in good for b in bad)
+    assert above / (len(good) * len(bad)) > 0.98
+    assert sum(p == y for _, y, p in held) / len(held) > 0.95
+
+
+def test_language_query_against_the_language_in_the_path(spark):
+    """The generator names a page's language in its path, which the operator never reads."""
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{MORE}/pages.parquet").collect()}
+    rows = QUERIES["op5_language"](spark, MORE).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    truth = {k: found.group(1) for k, u in pages.items() if (found := re.search(r"://[^/]+/(de|en|es|fr)/", u or ""))}
+    assert len(truth) > 0.9 * len(pages)
+    assert sum(r.lang == truth[r.page_id] for r in rows if r.page_id in truth) / len(truth) > 0.95
+    assert sum(r.text_lang == truth[r.page_id] for r in rows if r.page_id in truth) / len(truth) > 0.9
