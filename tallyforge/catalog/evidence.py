@@ -10,7 +10,7 @@ from tallyforge.functions.dates import quarter_of
 from tallyforge.functions.maths import settle
 from tallyforge.functions.text import normalize_ws, visible_text
 from tallyforge.operators.aggregates import summarize
-from tallyforge.operators.skew import chunked_row_number, magnitude_chunk
+from tallyforge.operators.skew import chunked_row_number
 from tallyforge.plans import claims as C
 from tallyforge.plans import filings as D
 from tallyforge.plans import links as L
@@ -504,7 +504,7 @@ def chain_inputs(t):
     """Base = one flag's constraints, sources = two flags' orders, metrics = quantity and price."""
     base = constraints(t).where("scenario_id = 'N'").select("draw_index", "constraint_id", F.col("constraint_id").alias("stage_rank"), "equivalents")
     rows = t.lineitem.where("l_returnflag <> 'N'").groupBy(F.col("l_returnflag").alias("source"), "l_orderkey").agg(F.sum("l_quantity").alias("units"), F.max("l_quantity").alias("peak"))
-    numbered = chunked_row_number(rows, ["source"], ["l_orderkey"], [], magnitude_chunk("l_orderkey"), "_n")
+    numbered = chunked_row_number(rows, ["source"], ["l_orderkey"], "_n")
     draws = numbered.withColumn("draw_index", F.col("_n") - 1).select("source", "draw_index", "units", "peak").unpivot(["source", "draw_index"], ["units", "peak"], "metric", "value")
     spark = t.spark
     links = spark.createDataFrame(

@@ -145,13 +145,11 @@ def j10_expand_draws(t):
  p AS (SELECT l_returnflag, l_extendedprice, i, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(concat_ws(':', '5', l_returnflag, i)), i) - 1 AS target_index FROM s)
 SELECT l_returnflag, i AS draw_index, target_index, {sq("l_extendedprice", 2)} AS price FROM p""")
 def j12_align_draws(t):
-    from tallyforge.operators.skew import chunked_row_number, magnitude_chunk
+    from tallyforge.operators.skew import chunked_row_number
 
     cols = ["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    numbered = chunked_row_number(
-        t.lineitem.select(*cols), ["l_returnflag"], ["l_orderkey"], ties, magnitude_chunk("l_orderkey"), "_n"
-    )
+    numbered = chunked_row_number(t.lineitem.select(*cols), ["l_returnflag"], ["l_orderkey", *ties], "_n")
     source = numbered.select("l_returnflag", "l_extendedprice", (F.col("_n") - 1).alias("draw_index"))
     out = J.align_draws(source, ["l_returnflag"], 5)
     return out.select("l_returnflag", "draw_index", "target_index", settle("l_extendedprice", 2).alias("price"))

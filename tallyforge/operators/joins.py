@@ -140,12 +140,12 @@ def eligible_constraints(constraints: DataFrame, rank: str, last_rank: int, stag
 def align_draws(source: DataFrame, keys: list[str], seed: int, index: str = "draw_index") -> DataFrame:
     """One keyed permutation per source: adds ``target_index``, keeping each source row whole.
 
-    Rows are ordered by a hash, so its leading digits split a source into even chunks.
+    Rows are ordered by a hash, whose leading digits split a source into 4096 even chunks.
     """
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col(index).cast("string"))
     hashed = source.withColumn("_h", F.md5(text))
-    chunk = F.conv(F.left(F.col("_h"), F.lit(2)), 16, 10).cast("int")
-    numbered = chunked_row_number(hashed, keys, ["_h"], [index], chunk, "_position")
+    chunk = F.conv(F.left(F.col("_h"), F.lit(3)), 16, 10).cast("int")
+    numbered = chunked_row_number(hashed, keys, ["_h", index], "_position", chunk)
     return numbered.withColumn("target_index", F.col("_position") - 1).drop("_h", "_position")
 
 

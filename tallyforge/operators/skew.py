@@ -1,9 +1,9 @@
 """Ordered computations that never bring one whole key into one task.
 
 A window over a hot key sorts all its rows in one task. Each helper here splits a key into chunks
-by a monotone function of the sort column, works per (key, chunk), and links the chunks through a
-table with one row per (key, chunk). The result is exact whatever the chunk function is; the chunk
-only decides how the work is spread.
+that follow the sort order, works per (key, chunk), and links the chunks through a table with one
+row per (key, chunk). The cuts come from quantiles of the key's own rows, or from a function of the
+sort column that the caller gives; they only decide how the work is spread, never the result.
 """
 
 from __future__ import annotations
@@ -17,12 +17,38 @@ from tallyforge.functions.maths import col
 
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4e-4  # rank share kept on each side of a quantile; the sketch is off by at most 1e-4
+CELLS = 1024  # chunks a key is split into at most
+CHUNK_ROWS = 1 << 20  # a key with fewer rows is one chunk
 
 
-def magnitude_chunk(value, resolution: int = 64) -> Column:
-    """Non-decreasing coarse bucket of a double: ``resolution`` steps per doubling of size."""
-    v = col(value).cast("double")
-    return F.signum(v) * F.floor(F.log2(F.abs(v) * 1024 + 1) * resolution)
+def position_in(edges, value) -> Column:
+    """How many of the ascending array ``edges`` (fewer than ``CELLS``) lie below ``value``, by bisection; 0 without edges."""
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(CELLS.bit_length() - 1))])
+    found = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(edges, at + half - 1) < value, at + half).otherwise(at))
+    return F.when(edges.isNull(), F.lit(0)).otherwise(F.coalesce(found, F.lit(0)))
+
+
+def _key(keys: list[str]) -> Column:
+    """The key as one struct: it is never null, so that null keys meet in joins."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+
+
+def own_chunks(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``_chunk``: cuts each key with more than ``chunk_rows`` rows at quantiles of its own ``order`` column.
+
+    ``order`` may be a struct, so equal leading values are cut by the columns behind them. A key's cuts are a hash sample of
+    about 8 values a chunk, thinned; they depend on the rows alone. Only rows equal in all of ``order`` stay together.
+    """
+    rows = df.withColumn("_g", _key(keys))
+    hot = rows.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk_rows)
+    wanted = F.least(F.lit(CELLS - 1), F.ceil(F.col("_n") / chunk_rows))
+    cuts = (
+        rows.select("_g", order).join(hot, "_g")
+        .where(F.pmod(F.xxhash64(order), F.greatest(F.lit(1), F.floor(F.col("_n") / (8 * wanted)))) == 0)
+        .groupBy("_g").agg(F.array_sort(F.collect_set(order)).alias("_s"), F.first(wanted).alias("_wanted"))
+        .select("_g", F.filter("_s", lambda x, i: (i + 1) % F.ceil(F.size("_s") / F.col("_wanted")) == 0).alias("_cuts"))
+    )
+    return rows.join(cuts, "_g", "left").select(*df.columns, position_in(F.col("_cuts"), F.col(order)).alias("_chunk"))
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -49,39 +75,39 @@ def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
 
 
 def chunked_running(
-    df: DataFrame, keys: list[str], order: list, tie_order: list[str], chunk: Column, sums: dict[str, str]
+    df: DataFrame, keys: list[str], order: list, sums: dict[str, str], chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Running sums ``{new: old}`` per key up to and including the row, in ``order`` then ``tie_order``."""
-    part = df.withColumn("_chunk", chunk)
-    cells = [*keys, "_chunk"]
-    w = (
-        Window.partitionBy(*cells)
-        .orderBy(*order, *tie_order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    """Running sums ``{new: old}`` per key up to and including the row, in ascending ``order`` (columns or names); a null key is a key.
+
+    ``chunk`` is for an order whose even cuts are known, such as a hash; otherwise the rows' own quantiles cut it.
+    """
+    keyed = df.withColumn("_order", F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order)]))
+    part = own_chunks(keyed, keys, "_order", chunk_rows) if chunk is None else keyed.withColumn("_chunk", chunk)
+    part = part.withColumn("_g", _key(keys))
+    w = Window.partitionBy("_g", "_chunk").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = part.select("*", *[F.sum(o).over(w).alias(f"_in_{n}") for n, o in sums.items()])
-    totals = part.groupBy(*cells).agg(*[F.sum(o).alias(f"_all_{n}") for n, o in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("_g", "_chunk").agg(*[F.sum(o).alias(f"_all_{n}") for n, o in sums.items()])
+    before = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *cells, *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
+        "_g", "_chunk", *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
-    return inner.join(carried, cells, "left").select(
+    return inner.join(carried, ["_g", "_chunk"], "left").select(
         *df.columns, *[(F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums]
     )
 
 
-def chunked_row_number(df: DataFrame, keys: list[str], order: list, ties: list[str], chunk: Column, name: str) -> DataFrame:
-    """``row_number`` in ``order`` then ``ties``; works without keys, too."""
-    over = keys or ["_all"]
-    counted = df.withColumn("_one", F.lit(1))
-    counted = counted if keys else counted.withColumn("_all", F.lit(0))
-    out = chunked_running(counted, over, order, ties, chunk, {name: "_one"})
+def chunked_row_number(
+    df: DataFrame, keys: list[str], order: list, name: str, chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``row_number`` in ascending ``order``; works without keys, too."""
+    out = chunked_running(df.withColumn("_one", F.lit(1)), keys, order, {name: "_one"}, chunk, chunk_rows)
     return out.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
-def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
-    """``row_number`` by score descending, then ``ties``."""
-    return chunked_row_number(df, keys, [F.col(score).desc()], ties, -magnitude_chunk(score), name)
+def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], name: str = "rank", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``row_number`` by score descending (NaN first, null last), then ``ties``."""
+    falling = [F.col(score).isNull(), ~F.isnan(score), -F.col(score)]
+    return chunked_row_number(df, keys, [*falling, *ties], name, None, chunk_rows)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...]) -> DataFrame:
@@ -93,11 +119,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     small groups need. Only those are ranked; they still meet in one task per group. A rank outside
     its bracket fails the job instead of giving a wrong number.
     """
-    over = keys or ["_all"]
+    over = ["_g"]
     ids = range(len(probabilities))
-    base = df.where(F.col(value).isNotNull())
-    base = base if keys else base.withColumn("_all", F.lit(0))
-    base = base.select(*over, F.col(value).cast("double").alias("_v"))
+    base = df.where(F.col(value).isNotNull()).select(_key(keys).alias("_g"), F.col(value).cast("double").alias("_v"))
     marks = [x for p in probabilities for x in (max(p - BRACKET_MARGIN, 0.0), min(p + BRACKET_MARGIN, 1.0))]
     stats = base.groupBy(*over).agg(
         F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
@@ -153,11 +177,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     failed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
     values = [
         F.when(F.col(f"_l{i}").isNull() | F.col(f"_u{i}").isNull(), failed)
+        .when(F.col(f"_l{i}") == F.col(f"_u{i}"), F.col(f"_l{i}"))  # also infinities
         .otherwise(F.col(f"_l{i}") * (1 - F.col(f"_s{i}")) + F.col(f"_u{i}") * F.col(f"_s{i}"))
         .alias(f"_p{i}")
         for i in ids
     ]
-    return picked.select(*keys, "n", *values, "mean", "minimum", "maximum")
+    return picked.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *values, "mean", "minimum", "maximum")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

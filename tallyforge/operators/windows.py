@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import chunked_lag, chunked_rank, chunked_running, latest_by, magnitude_chunk
+from .skew import chunked_lag, chunked_rank, chunked_running, latest_by
 
 
 def latest_revision(revisions: DataFrame, keys: list[str], keep_retracted: bool = False) -> DataFrame:
@@ -77,9 +77,7 @@ def water_fill(
             .groupBy(*group, ratio.alias("_ratio"))
             .agg(F.sum(cap).alias("_cap"), F.sum(weight).alias("_weight"))
         )
-        running = chunked_running(
-            steps, group, ["_ratio"], [], magnitude_chunk("_ratio"), {"_cap_to": "_cap", "_weight_to": "_weight"}
-        )
+        running = chunked_running(steps, group, ["_ratio"], {"_cap_to": "_cap", "_weight_to": "_weight"})
         sums = steps.groupBy(*group).agg(F.sum("_weight").alias("_all_weight")).join(totals, group)
         level = (total - (F.col("_cap_to") - F.col("_cap"))) / (
             F.col("_all_weight") - (F.col("_weight_to") - F.col("_weight"))

@@ -86,10 +86,13 @@ def scorecard(scores: DataFrame, minimum_group_size: int) -> DataFrame:
 
 
 def recalibration_proposal(means: DataFrame, scores: DataFrame, keys: list[str], minimum_group_size: int) -> DataFrame:
-    ratio = exact_quantiles(scores, ["metric_class"], "actual_to_p50_ratio", (0.5,)).select("metric_class", F.col("_p0").alias("_ratio"))
-    width = exact_quantiles(scores, ["metric_class"], "normalized_absolute_error", (0.8,)).select("metric_class", F.col("_p0").alias("_width"))
-    proposals = ratio.join(width, "metric_class", "full").select(
-        F.lit("metric_class").alias("grouping"), F.col("metric_class").alias("group"), "_ratio", "_width"
+    long = scores.select("metric_class", "actual_to_p50_ratio", "normalized_absolute_error").unpivot(
+        ["metric_class"], ["actual_to_p50_ratio", "normalized_absolute_error"], "_measure", "_value"
+    )
+    both = exact_quantiles(long, ["metric_class", "_measure"], "_value", (0.5, 0.8))
+    proposals = both.groupBy(F.lit("metric_class").alias("grouping"), F.col("metric_class").alias("group")).agg(
+        F.max(F.when(F.col("_measure") == "actual_to_p50_ratio", F.col("_p0"))).alias("_ratio"),
+        F.max(F.when(F.col("_measure") == "normalized_absolute_error", F.col("_p1"))).alias("_width"),
     )
     joined = means.join(proposals, keys, "left")
     status = (

@@ -16,7 +16,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.operators import joins as J
 from tallyforge.operators import projections as P
 from tallyforge.operators import windows as W
-from tallyforge.operators.skew import chunked_lag, chunked_rank, exact_quantiles
+from tallyforge.operators.skew import chunked_lag, chunked_rank, exact_quantiles, own_chunks
 from tallyforge.plans import capacity as C
 from tallyforge.plans import conversion as V
 from tallyforge.plans import earnings as E
@@ -185,6 +185,48 @@ def test_chunked_helpers_equal_plain_windows(spark):
             assert ranks[r[2]] == position
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 0.0, 1e200])
+def test_chunks_are_even_whatever_the_values(spark, scale):
+    """Tiny, equal and huge scores: equal ones are cut by the tie column; the rank is that of one plain window."""
+    draw = random.Random(4)
+    rows = [(draw.choice(["hot", "hot", "hot", None]), (1 + draw.random() * 1e-6) * scale, f"item-{i:06d}") for i in range(6000)] + [("small", 1.0, "x")]
+    df = spark.createDataFrame(rows, "k string, v double, name string").withColumn("_o", F.struct(-F.col("v"), "name"))
+    sizes = {(r.k, r._chunk): r["count"] for r in own_chunks(df, ["k"], "_o", 200).groupBy("k", "_chunk").count().collect()}
+    assert max(sizes.values()) < 800 and len([1 for k, _ in sizes if k == "hot"]) > 10 and ("small", 0) in sizes
+    got = {(r.k, r.name): r.rank for r in chunked_rank(df.drop("_o"), ["k"], "v", ["name"], chunk_rows=200).collect()}
+    for key in ("hot", None, "small"):
+        mine = sorted((-v, n) for k, v, n in rows if k == key)
+        assert [got[key, n] for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_rank_puts_nan_first_and_nulls_last(spark):
+    rows = [(None, "a"), (float("nan"), "b"), (2.0, "c"), (float("inf"), "d"), (-0.0, "f"), (0.0, "e"), (None, "g")]
+    df = spark.createDataFrame(rows, "v double, name string")
+    for size in (1, 1000):
+        assert [r.name for r in chunked_rank(df, [], "v", ["name"], chunk_rows=size).orderBy("rank").collect()] == list("bdcefag")
+
+
+def test_quantiles_of_one_group_of_all_rows(spark):
+    """No keys, values from equal to far apart."""
+    draw = np.random.default_rng(3)
+    values = np.concatenate([draw.normal(0, 1e-7, 30_000), np.full(20_000, 5.0), 10.0 ** draw.uniform(-300, 300, 10_000), [np.inf, np.inf, -0.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    (row,) = exact_quantiles(df, [], "v", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()
+    ordered = np.sort(values)
+    for i, p in enumerate((0.0, 0.25, 0.5, 0.9, 1.0)):
+        at = p * (len(ordered) - 1)
+        low, high, share = ordered[int(at)], ordered[min(int(at) + 1, len(ordered) - 1)], at - int(at)
+        want = low if low == high else low * (1 - share) + high * share
+        assert row[f"_p{i}"] == pytest.approx(want, rel=1e-12, abs=0)
+    assert row.n == len(values)
+
+
+def test_quantiles_keep_null_groups(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("k"), (F.col("id") * 0.5).alias("v"))
+    got = {r.k: (r.n, r._p0) for r in exact_quantiles(rows, ["k"], "v", (0.5,)).collect()}
+    assert set(got) == {None, 0, 1, 2} and got[None] == (10_000, 5000.0)
+
+
 def test_results_do_not_depend_on_the_number_of_partitions(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
     results = []
@@ -472,7 +514,7 @@ def test_quantiles_of_awkward_groups(spark):
     draw = random.Random(9)
     groups = {k: [draw.random() for _ in range(k)] for k in (1, 2, 3, 4, 5, 7, 10, 11, 12, 25)}
     groups |= {100: [3.0] * 50, 101: [draw.random() * 1e-8 for _ in range(500)], 102: [float(draw.randint(0, 3)) for _ in range(999)]}
-    groups[103] = [draw.gauss(0, 1) for _ in range(30_000)]  # larger than the sketch is exact for
+    groups[103] = [draw.gauss(0, 1) for _ in range(30_000)]
     rows = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "g long, v double")
     got = exact_quantiles(rows, ["g"], "v", (0.1, 0.5, 0.9, 0.0, 1.0)).collect()
     assert len(got) == len(groups)
