@@ -18,6 +18,7 @@ from tallyforge.operators.ordering import order_bottlenecks
 from tallyforge.operators.quality import unmatched
 from tallyforge.operators.skew import chunked_rank
 from tallyforge.operators.windows import unallocated, water_fill
+from tallyforge.session import scratch_path
 
 
 def row_binding(candidates: dict[str, Column], rel: float = 1e-10, absolute: float = 1e-8) -> Column:
@@ -259,7 +260,10 @@ def opportunity_ranking(revenues: DataFrame, consensus: DataFrame, factors: Data
     dated = consensus.join(revenues.select(*draw, company), [*draw, company], "left_semi")
     only = consensus.join(revenues.select(company), company, "left_anti")
     alone = against(dated.select(company).union(only.select(company)), "consensus").unionByName(against(factors, "factors")).distinct()
-    return chunked_rank(wide.withColumn("direction", direction), [], "score_p50", [company]), alone
+    path = scratch_path(revenues.sparkSession, "medians")  # one row per company; the rank reads them several times
+    wide.withColumn("direction", direction).write.parquet(path)
+    medians = revenues.sparkSession.read.parquet(path)
+    return chunked_rank(medians, [], "score_p50", [company]), alone
 
 
 # --- assembly ------------------------------------------------------------------------------------
