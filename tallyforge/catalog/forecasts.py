@@ -28,7 +28,8 @@ def forecast_inputs(t):
     return forecasts, outcomes
 
 
-SCORES = f"""f AS (SELECT l_partkey AS forecast_id, quantile_cont(l_quantity, 0.1) AS p10, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.9) AS p90
+def scores_sql(p10: str, p50: str, p90: str) -> str:
+    return f"""f AS (SELECT l_partkey AS forecast_id, {p10} AS p10, {p50} AS p50, {p90} AS p90
    FROM lineitem WHERE l_shipdate < DATE '{SPLIT}' GROUP BY ALL),
  o AS (SELECT l_partkey AS forecast_id, avg(l_quantity) AS a FROM lineitem WHERE l_shipdate >= DATE '{SPLIT}' GROUP BY ALL),
  j AS (SELECT f.*, a, p_type AS metric_class, p_brand AS source_family, CASE WHEN p_type = 'PROMO' THEN p_name ELSE 'unit' END AS unit,
@@ -43,15 +44,22 @@ SCORES = f"""f AS (SELECT l_partkey AS forecast_id, quantile_cont(l_quantity, 0.
    CASE op WHEN 'at_least' THEN a >= th WHEN 'at_most' THEN a <= th END AS realized FROM k),
  z AS (SELECT *, (prob - CASE WHEN realized THEN 1 ELSE 0 END) * (prob - CASE WHEN realized THEN 1 ELSE 0 END) AS brier FROM s)"""
 
+
+QUANTILES = [f"quantile_cont(l_quantity, {q})" for q in (0.1, 0.5, 0.9)]
+SCORES = scores_sql(*QUANTILES)
+FROZEN_SCORES = scores_sql(*[sq(q) for q in QUANTILES])  # an outcome on an interval's end is inside, whatever the last bit of the interpolation
+
 SCORE_COLUMNS = {
     "signed_error": "err", "signed_error_ratio": "ratio", "actual_to_p50_ratio": "ap", "interval_miss": "greatest(p10 - a, a - p90, 0.0)",
     "normalized_absolute_error": "nae", "mean_pinball_loss": "pin", "normalized_mean_pinball_loss": "npin", "event_probability": "prob", "brier_score": "brier",
 }
 
 
-@query(f"WITH {SCORES} SELECT forecast_id, inside AS inside_p10_p90, realized AS event_realized, {', '.join(f'{sq(v)} AS {k}' for k, v in SCORE_COLUMNS.items())} FROM z")
+@query(f"WITH {FROZEN_SCORES} SELECT forecast_id, inside AS inside_p10_p90, realized AS event_realized, {', '.join(f'{sq(v)} AS {k}' for k, v in SCORE_COLUMNS.items())} FROM z")
 def co14_score_forecasts(t):
-    out = P.score_forecasts(*forecast_inputs(t))
+    """Forecasts are frozen at six places, so that an outcome equal to p10 or p90 meets it."""
+    forecasts, outcomes = forecast_inputs(t)
+    out = P.score_forecasts(settled(forecasts, ["p10", "p50", "p90"], 6), outcomes)
     return settled(out.select("forecast_id", "inside_p10_p90", "event_realized", *SCORE_COLUMNS), list(SCORE_COLUMNS), 6)
 
 
