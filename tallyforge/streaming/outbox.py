@@ -39,8 +39,8 @@ def notification_state(events: DataFrame, attempts: DataFrame, acknowledgements:
     return rows.withColumn("status", status)
 
 
-def deliver_jsonl(state: DataFrame, path: str, attempts_path: str, delivered_at: str, limit: int = 100, run: int | None = None) -> None:
-    """Write the oldest pending events as JSON lines, then record the attempts; the rest stays pending.
+def deliver_jsonl(state: DataFrame, path: str, attempts_path: str, delivered_at: str, limit: int | None = 100, run: int | None = None) -> None:
+    """Write the oldest pending events as JSON lines, then record the attempts; the rest stays pending. A ``limit`` of ``None`` leaves no rest.
 
     Each delivery has its own folder in the sink and in the attempts, named by ``run`` (by its time if that is not given). A
     delivery that is repeated for one run, on a state without that run's attempts, overwrites what it wrote and repeats nothing.
