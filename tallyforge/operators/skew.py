@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.maths import col
+from tallyforge.session import scratch_path
 
 SKETCH_ACCURACY = 10_000
 BRACKET_MARGIN = 4e-4  # rank share kept on each side of a quantile; the sketch is off by at most 1e-4
 CELLS = 1024  # chunks a key is split into at most
 CHUNK_ROWS = 1 << 20  # a key with fewer rows is one chunk
+SMALL_GROUP = 1 << 16  # a group of at most so many rows is sorted as one array
 
 
 def position_in(edges, value) -> Column:
@@ -113,18 +115,47 @@ def chunked_rank(df: DataFrame, keys: list[str], score: str, ties: list[str], na
     return chunked_row_number(df, keys, [*falling, *ties], name, None, chunk_rows)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: tuple[float, ...], small: int = SMALL_GROUP) -> DataFrame:
     """Count, mean, min, max and exact interpolated quantiles ``_p0, _p1, …`` of groups of any size.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a first pass brackets each
-    wanted rank with a sketch; a second pass counts the rows below each bracket and keeps only the
-    values inside one (about 0.1 % of a group per quantile) and the next value on either side, which
-    small groups need. Only those are ranked; they still meet in one task per group. A rank outside
+    The values are written once and read back, as later passes must meet the values of the first: a sum of doubles may change its
+    last bit when it is computed again. Groups of up to ``SMALL_GROUP`` rows are sorted as one array each. The others, at most one to
+    ``SMALL_GROUP`` rows of the table, are broadcast where rows meet them, so none of their rows moves: a sketch brackets each
+    wanted rank, and a second pass counts the rows below each bracket and keeps only the values inside one (about 0.1 % of a group
+    per quantile) and the next value on either side. Only those are ranked; they still meet in one task per group. A rank outside
     its bracket fails the job instead of giving a wrong number.
     """
+    path = scratch_path(df.sparkSession, "values")
+    df.where(F.col(value).isNotNull()).select(_key(keys).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v")).write.parquet(path)
+    base = df.sparkSession.read.parquet(path)
+    hot = base.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("_g")
+    rest = base.join(F.broadcast(hot), "_g", "left_anti")
+    out = _sorted_quantiles(rest, probabilities).unionByName(_bracketed_quantiles(base.join(F.broadcast(hot), "_g"), probabilities))
+    return out.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *[f"_p{i}" for i in range(len(probabilities))], "mean", "minimum", "maximum")
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    return F.when(low == high, low).otherwise(low * (1 - share) + high * share)  # equal: also infinities
+
+
+def _sorted_quantiles(base: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
+    """``exact_quantiles`` of ``(_g, _v)`` by one sorted array per group."""
+    groups = base.groupBy("_g").agg(F.avg("_v").alias("mean"), F.array_sort(F.collect_list("_v")).alias("_s")).withColumn("n", F.size("_s").cast("bigint"))
+
+    def at(p: float) -> Column:
+        position = F.lit(float(p)) * (F.col("n") - 1)
+        below = F.floor(position).cast("int")
+        above = F.least(below + 1, F.col("n").cast("int") - 1)
+        return _between(F.get("_s", below), F.get("_s", above), position - below)
+
+    ends = [F.get("_s", F.lit(0)).alias("minimum"), F.get("_s", F.size("_s") - 1).alias("maximum")]
+    return groups.select("_g", "n", *[at(p).alias(f"_p{i}") for i, p in enumerate(probabilities)], "mean", *ends)
+
+
+def _bracketed_quantiles(base: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
+    """``exact_quantiles`` of ``(_g, _v)`` with few groups of any size."""
     over = ["_g"]
     ids = range(len(probabilities))
-    base = df.where(F.col(value).isNotNull()).select(_key(keys).alias("_g"), F.col(value).cast("double").alias("_v"))
     marks = [x for p in probabilities for x in (max(p - BRACKET_MARGIN, 0.0), min(p + BRACKET_MARGIN, 1.0))]
     stats = base.groupBy(*over).agg(
         F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
@@ -140,7 +171,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     for i in ids:
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
     kept = (
-        base.join(ranges, over, "left")  # left: only the one-row-per-group side may be broadcast
+        base.join(F.broadcast(ranges), over)
         .withColumn("_in", F.when(inside, F.col("_v")))
         .groupBy(*over, "_in")
         .agg(
@@ -180,12 +211,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     failed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
     values = [
         F.when(F.col(f"_l{i}").isNull() | F.col(f"_u{i}").isNull(), failed)
-        .when(F.col(f"_l{i}") == F.col(f"_u{i}"), F.col(f"_l{i}"))  # also infinities
-        .otherwise(F.col(f"_l{i}") * (1 - F.col(f"_s{i}")) + F.col(f"_u{i}") * F.col(f"_s{i}"))
+        .otherwise(_between(F.col(f"_l{i}"), F.col(f"_u{i}"), F.col(f"_s{i}")))
         .alias(f"_p{i}")
         for i in ids
     ]
-    return picked.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *values, "mean", "minimum", "maximum")
+    return picked.select("_g", "n", *values, "mean", "minimum", "maximum")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -523,6 +523,23 @@ def test_quantiles_of_awkward_groups(spark):
         assert np.allclose([r._p0, r._p1, r._p2, r._p3, r._p4], wanted, rtol=1e-12, atol=0)
 
 
+def test_quantiles_of_values_that_change_when_computed_again(spark):
+    jitter = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(2_100).select((F.col("id") % 100).alias("g"), jitter(F.col("id").cast("double")).alias("v"))
+    for small in (1, 1_000):
+        got = exact_quantiles(rows, ["g"], "v", (0.1, 0.5, 0.9), small).collect()
+        assert len(got) == 100 and all(abs(r._p1 - (r.g + 1_000)) < 1e-8 for r in got)
+
+
+def test_hot_and_small_groups_have_the_same_quantiles(spark):
+    draw = random.Random(4)
+    values = [(None if k == 3 else k, float(draw.randint(-9, 9)) / 3) for k in range(5) for _ in range(37 * k + 1)] + [(7, float("inf")), (7, -0.0), (8, None)]
+    rows = spark.createDataFrame(values, "g long, v double")
+    one, other = (sorted(exact_quantiles(rows, ["g"], "v", (0.1, 0.5, 0.9), small).collect(), key=str) for small in (0, 1_000))
+    assert len(one) == 6
+    assert [[x if x is None else pytest.approx(x, rel=1e-12, nan_ok=True) for x in r] for r in one] == [list(r) for r in other]
+
+
 def test_visible_text_of_long_tags_and_bad_references(spark):
     long = "<p data-x='" + "y" * 1_000_000 + "' " + "a=b " * 250_000 + ">"
     pages = [f"one{long}two", "a <b unclosed " + "x" * 100_000, "&#9999999;&#xD800;&#0;&#99999999999999;&#x110000;&#0065;&#x0041;&#x10FFFF;", "<b '" + "q" * 100_000, "<" * 3_000 + "z"]
