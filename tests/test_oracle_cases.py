@@ -62,3 +62,10 @@ def test_documents_are_one_file_each_in_one_folder(spark, tmp_path):
     documents(spark.range(40).select(F.col("id").cast("string").alias("value"))).text(f"file://{tmp_path}/out")
     assert sorted(int(r.value) for r in spark.read.text(f"file://{tmp_path}/out", wholetext=True).collect()) == list(range(40))
     assert len([f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".txt") and os.path.getsize(f"{tmp_path}/out/{f}")]) == 40
+
+
+def test_table_queries_start_with_many_partitions_and_leave_none_behind(spark):
+    from tallyforge.session import INITIAL_PARTITIONS, tune
+
+    assert tune(spark, 400).conf.get(INITIAL_PARTITIONS) == "400"
+    assert tune(spark).conf.get(INITIAL_PARTITIONS, None) is None
