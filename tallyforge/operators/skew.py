@@ -35,11 +35,12 @@ def _key(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def own_chunks(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def own_chunks(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CHUNK_ROWS, cut: str | None = None) -> DataFrame:
     """Adds ``_chunk``: cuts each key with more than ``chunk_rows`` rows at quantiles of its own ``order`` column.
 
     ``order`` may be a struct, so equal leading values are cut by the columns behind them. A key's cuts are a hash sample of
     about 8 values a chunk, thinned; they depend on the rows alone. Only rows equal in all of ``order`` stay together.
+    ``cut`` names a further column: whether the key of the row is cut at all.
 
     The cuts are broadcast, so that no row moves for them: there is at most about one to ``chunk_rows`` rows of the table, a
     million for 10^12 rows. Without a hot key the rows are read once more, to count them.
@@ -53,7 +54,8 @@ def own_chunks(df: DataFrame, keys: list[str], order: str, chunk_rows: int = CHU
         .groupBy("_g").agg(F.array_sort(F.collect_set(order)).alias("_s"), F.first(wanted).alias("_wanted"))
         .select("_g", F.filter("_s", lambda x, i: (i + 1) % F.ceil(F.size("_s") / F.col("_wanted")) == 0).alias("_cuts"))
     )
-    return rows.join(F.broadcast(cuts), "_g", "left").select(*df.columns, position_in(F.col("_cuts"), F.col(order)).alias("_chunk"))
+    whether = [F.col("_cuts").isNotNull().alias(cut)] if cut else []
+    return rows.join(F.broadcast(cuts), "_g", "left").select(*df.columns, position_in(F.col("_cuts"), F.col(order)).alias("_chunk"), *whether)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -63,14 +65,21 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest])
 
 
-def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column, columns: dict[str, str]) -> DataFrame:
-    """``lag(column, 1)`` per key as new columns ``{new: old}``."""
-    part = df.withColumn("_chunk", chunk)
+def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, columns: dict[str, str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``lag(column, 1)`` per key as new columns ``{new: old}``.
+
+    ``chunk`` is a function of the sort column that cuts every key; without it only keys of more than ``chunk_rows`` rows are cut, at
+    quantiles of their own, and no other row is moved twice.
+    """
+    if chunk is None:
+        part = own_chunks(df.withColumn("_order", F.struct(*order)), keys, "_order", chunk_rows, "_cut").drop("_order")
+    else:
+        part = df.withColumns({"_chunk": chunk, "_cut": F.lit(True)})
     cells = [*keys, "_chunk"]
     w = Window.partitionBy(*cells).orderBy(*order)
     old = F.struct(*[F.col(o).alias(n) for n, o in columns.items()])
     inner = part.withColumn("_prev", F.lag(old).over(w))
-    tails = part.groupBy(*cells).agg(F.max_by(old, F.struct(*order)).alias("_tail"))
+    tails = part.where("_cut").groupBy(*cells).agg(F.max_by(old, F.struct(*order)).alias("_tail"))
     carried = tails.select(
         *cells, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry")
     )

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.functions.values import CORE_DIMENSIONS, OPTIONAL_DIMENSIONS, dimension_map_errors, row_digest
+from tallyforge.functions.values import CORE_DIMENSIONS, OPTIONAL_DIMENSIONS, dimension_map_errors
 from tallyforge.operators.quality import claim_problems, flag_rows, pack_evidence_problems
 from tallyforge.operators.skew import chunked_lag, union_all
+from tallyforge.session import stored
 
 #: The tables of a pack and what names one of their rows.
 PACK_KEYS = {"revisions": ["revision_id"], "edges": ["revision_id", "snapshot_id", "evidence_role"], "snapshots": ["snapshot_id"], "dimensions": ["revision_id", "dimension"]}
@@ -46,7 +47,9 @@ def read_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType
 
 
 def write_batch(df: DataFrame, root: str, table: str, batch_id: str, recorded: str = "recorded_at") -> None:
-    df.withColumn("recorded_date", F.to_date(recorded)).write.mode("overwrite").partitionBy("recorded_date").parquet(f"{root}/{table}/batch_id={batch_id}")
+    """One batch of a table. The rows of a day are brought together first, so that the files do not multiply with the tasks; a large day keeps several."""
+    dated = df.withColumn("recorded_date", F.to_date(recorded)).hint("rebalance", F.col("recorded_date"))
+    dated.write.mode("overwrite").partitionBy("recorded_date").parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
 def commit_batch(spark: SparkSession, root: str, batch_id: str) -> None:
@@ -67,7 +70,7 @@ def batch_problems(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     touched = existing.join(fresh.select("claim_key").distinct(), "claim_key", "left_semi")
     heads = touched.groupBy("claim_key").agg(F.max(F.struct("recorded_at", "revision_id")).alias("_head"))
     chain = chunked_lag(
-        fresh, ["claim_key"], ["recorded_at", "revision_id"], F.date_trunc("hour", "recorded_at"),
+        fresh.select("claim_key", "revision_id", "recorded_at", "supersedes_revision_id"), ["claim_key"], ["recorded_at", "revision_id"], None,
         {"_prev_id": "revision_id", "_prev_at": "recorded_at"},
     ).join(heads, "claim_key", "left")
     before = F.coalesce("_prev_id", F.col("_head.revision_id"))
@@ -81,14 +84,22 @@ def batch_problems(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return chain.select("revision_id", code.alias("code")).where("code IS NOT NULL")
 
 
-def new_and_colliding(existing: DataFrame, batch: DataFrame, key: list[str], names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key the ledger lacks, and keys with two contents in the batch or against the ledger."""
-    once = batch.select(*names).distinct()
-    digest = row_digest(**{n: n for n in names if n not in key})  # tells apart which field is null
-    known = existing.select(*key, digest.alias("_known"))
-    twice = once.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
-    against = once.withColumn("_own", digest).join(known, key).where("_own <> _known").select(*key)
-    return once.join(known, key, "left_anti").select(*names), twice.unionByName(against).distinct()
+def new_and_colliding(existing: DataFrame, batch: DataFrame, key: list[str], names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct rows, those whose key the ledger lacks, and keys with two contents in the batch or against the ledger.
+
+    The batch meets the ledger once, in one exchange by the key; the marked rows are written, as every check and the append read them.
+    """
+    once = batch.select(*names).repartition(*key).distinct()
+    rest = [n for n in names if n not in key]
+    known = existing.select(*key, F.lit(True).alias("_seen"), *[F.col(n).alias(f"_known_{n}") for n in rest])
+    other = F.lit(False)
+    for n in rest:
+        other = other | ~F.col(n).eqNullSafe(F.col(f"_known_{n}"))  # tells apart which field is null
+    seen = F.col("_seen").isNotNull()
+    marked = stored(once.join(known, key, "left").select(*names, seen.alias("_old"), (seen & other).alias("_other")), "marked")
+    twice = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
+    against = marked.where("_other").select(*key)
+    return marked.select(*names), marked.where("NOT _old").select(*names), twice.unionByName(against).distinct()
 
 
 def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructType, batch: DataFrame, batch_id: str, check_chain: bool = True) -> dict:
@@ -100,9 +111,9 @@ def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructTy
     if is_committed(spark, root, batch_id):
         return {"committed": True, "problems": None}
     existing = read_ledger(spark, root, table, schema)
-    fresh, colliding = new_and_colliding(existing, batch, ["revision_id"], [f.name for f in schema.fields])
+    _, fresh, colliding = new_and_colliding(existing, batch, ["revision_id"], [f.name for f in schema.fields])
     problems = colliding.withColumn("code", F.lit("revision_collision"))
-    problems = problems.unionByName(batch_problems(existing, fresh)) if check_chain else problems
+    problems = stored(problems.unionByName(batch_problems(existing, fresh)) if check_chain else problems, "problems")
     if not problems.isEmpty():
         return {"committed": False, "problems": problems}
     write_batch(fresh, root, table, batch_id)
@@ -112,8 +123,10 @@ def append_ledger(spark: SparkSession, root: str, table: str, schema: T.StructTy
 
 def dimension_problems(revisions: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Revisions whose dimensions lack a core name, hold an unknown one or a blank value."""
-    one = dimensions.groupBy("revision_id", "dimension").agg(F.min(F.coalesce("value", F.lit(""))).alias("value"))
-    maps = one.groupBy("revision_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "value"))).alias("_dims"))
+    entry = F.struct("dimension", F.coalesce("value", F.lit("")).alias("value"))
+    lists = dimensions.groupBy("revision_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    first = F.filter("_all", lambda e, i: (i == 0) | (F.get("_all", i - 1)["dimension"] != e["dimension"]))  # the smallest value of each name
+    maps = lists.select("revision_id", F.map_from_entries(first).alias("_dims"))
     rows = revisions.select("revision_id").distinct().join(maps, "revision_id", "left")
     none = F.create_map().cast("map<string,string>")
     codes = dimension_map_errors(F.coalesce("_dims", none), CORE_DIMENSIONS, OPTIONAL_DIMENSIONS)
@@ -126,12 +139,12 @@ def pack_problems(existing: dict[str, DataFrame], pack: dict[str, DataFrame]) ->
     Rules: no key has two contents; revisions keep their chain and the claim contract, evidence included; edges name a revision of the
     pack and a snapshot of the pack or the ledger that was retrieved in time; dimensions are complete.
     """
-    fresh, found = {}, []
+    fresh, whole, found = {}, {}, []
     text = lambda key: F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key")
     for table, key in PACK_KEYS.items():
-        fresh[table], colliding = new_and_colliding(existing[table], pack[table], key, pack[table].columns)
+        whole[table], fresh[table], colliding = new_and_colliding(existing[table], pack[table], key, pack[table].columns)
         found.append(colliding.select(F.lit(table).alias("table"), text(key), F.lit("collision").alias("code")))
-    revisions = pack["revisions"].distinct()
+    revisions = whole["revisions"]
     chain = batch_problems(existing["revisions"], fresh["revisions"])
     found.append(chain.select(F.lit("revisions").alias("table"), F.col("revision_id").cast("string").alias("key"), "code"))
     counts = pack["edges"].groupBy("revision_id").agg(F.count("*").alias("evidence_count"))
@@ -141,8 +154,8 @@ def pack_problems(existing: dict[str, DataFrame], pack: dict[str, DataFrame]) ->
     named = existing["snapshots"].join(pack["edges"].select("snapshot_id").distinct(), "snapshot_id", "left_semi").select("snapshot_id", "retrieved_at")
     sources = pack["snapshots"].select("snapshot_id", "retrieved_at").unionByName(named).groupBy("snapshot_id").agg(F.max("retrieved_at").alias("retrieved_at"))
     found.append(pack_evidence_problems(revisions, pack["edges"], sources).select(F.lit("edges").alias("table"), "key", F.col("detail").alias("code")))
-    found.append(dimension_problems(revisions, pack["dimensions"]))
-    return fresh, union_all(found)
+    found.append(dimension_problems(revisions, whole["dimensions"]))
+    return fresh, stored(union_all(found), "problems")
 
 
 def append_pack(spark: SparkSession, root: str, pack: dict[str, DataFrame], batch_id: str) -> dict:
@@ -157,7 +170,7 @@ def append_pack(spark: SparkSession, root: str, pack: dict[str, DataFrame], batc
     fresh, problems = pack_problems(existing, pack)
     if not problems.isEmpty():
         return {"committed": False, "problems": problems}
-    when = pack["revisions"].select("revision_id", "recorded_at").distinct()
+    when = pack["revisions"].select("revision_id", "recorded_at").repartition("revision_id").distinct()
     write_batch(fresh["revisions"], root, "revisions", batch_id)
     write_batch(fresh["snapshots"], root, "snapshots", batch_id, "retrieved_at")
     for table in ("edges", "dimensions"):

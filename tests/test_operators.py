@@ -688,3 +688,32 @@ def test_pack_is_visible_whole_or_not_at_all(spark, tmp_path):
     assert {(r.table, r.code) for r in refused["problems"].collect()} == {("dimensions", "collision"), ("dimensions", "missing:stage")}
     plan = ledger.read_ledger(spark, root, "revisions", pack["revisions"].schema, until=datetime(2024, 1, 1))
     assert plan.count() == 0 and "recorded_date" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_files_of_a_batch_follow_its_days_not_its_tasks(spark, tmp_path):
+    from tallyforge.sources import ledger
+
+    rows = spark.range(0, 4000, 1, 40).select("id", F.timestamp_add("DAY", (F.col("id") % 3).cast("int"), F.lit(datetime(2024, 1, 1))).alias("recorded_at"))
+    ledger.write_batch(rows, f"file://{tmp_path}", "t", "b1")
+    assert len(list(tmp_path.glob("t/batch_id=b1/*/*.parquet"))) == 3  # 120 when each task wrote its own
+
+
+@pytest.mark.parametrize("chunk_rows", [100, 1 << 20])
+def test_lag_cuts_only_keys_with_many_rows(spark, chunk_rows):
+    draw = random.Random(5)
+    rows = [(draw.choice(["hot"] * 8 + ["a", "b"]), draw.randint(0, 50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    got = {r.i: r.p for r in chunked_lag(df, ["k"], ["t", "i"], None, {"p": "i"}, chunk_rows).collect()}
+    for key in ("hot", "a", "b"):
+        mine = [i for _, _, i in sorted(r for r in rows if r[0] == key)]
+        assert [got[i] for i in mine] == [None, *mine[:-1]]
+
+
+def test_marks_of_a_batch_against_the_ledger(spark):
+    from tallyforge.sources.ledger import new_and_colliding
+
+    shape = "k int, a string"
+    known = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], shape)
+    batch = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, None), (4, "n"), (5, "p"), (5, None)], shape)
+    whole, fresh, colliding = new_and_colliding(known, batch, ["k"], ["k", "a"])
+    assert whole.count() == 6 and sorted(r.k for r in fresh.collect()) == [4, 5, 5] and sorted(r.k for r in colliding.collect()) == [2, 3, 5]
