@@ -13,9 +13,12 @@ from tallyforge.operators.ordering import oldest_pending
 
 
 def notification_events(alerts: DataFrame, created_at) -> DataFrame:
-    """Alert rows as outbox events; the payload digest makes a repeated event recognisable."""
+    """Alert rows as outbox events; the payload digest makes a repeated event recognisable.
+
+    An event is many times as large as its alert, so the alerts are dealt out by id first: a task's buffers follow the shuffle's size, not the input split's.
+    """
     payload = [c for c in alerts.columns if c != "id"]
-    return alerts.select(
+    return alerts.repartition("id").select(
         F.concat(F.lit("notification:"), F.col("id").cast("string")).alias("event_id"), row_digest(**{c: c for c in payload}).alias("payload_sha256"),
         F.to_json(F.struct(*payload)).alias("payload_json"), created_at.alias("created_at"),
     )
