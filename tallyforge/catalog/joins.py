@@ -11,6 +11,7 @@ from tallyforge.operators import joins as J
 from tallyforge.operators import ordering as O
 from tallyforge.operators import projections as P
 from tallyforge.operators import sets as S
+from tallyforge.session import spread
 
 from . import query, sq
 from .aggregates import six_sql, settled
@@ -310,7 +311,7 @@ def p3_flatten_paths(t):
             ).alias("inputs")
         )
     )
-    source = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    source = spread(t.events, "event_id").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     docs = source.select("event_id", F.parse_json(document).alias("document"))
     out = P.flatten_paths(docs, ["event_id"], "document", ["low", "base"])
     return out.select("event_id", "path", F.variant_get("node", "$.base", "double").alias("base"))
