@@ -776,3 +776,22 @@ def test_events_are_made_after_their_alerts_are_dealt_out(spark):
     events = notification_events(spark.range(10).select("id", F.lit("x").alias("type")), F.lit("2024-02-01").cast("timestamp"))
     plan = events._jdf.queryExecution().executedPlan().toString()
     assert plan.index("payload_json") < plan.index("REPARTITION_BY_COL")  # the tree is printed from its top
+
+
+def test_anchors_are_judged_once_for_all_outputs(spark):
+    when = F.lit("2024-01-01").cast("timestamp")
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "ghijkl"), (3, "mnopqr")], "accession_number long, text string").withColumn("retrieved_at", when)
+    specs = spark.createDataFrame(
+        [(10, 1, 1, 3, "bc"), (11, 1, 0, 1, "a"), (12, 2, 0, 2, "xx"), (13, 2, 4, 9, "kl"), (14, 9, 0, 1, "a"), (15, 3, 0, 2, "mn")],
+        "spec_id long, accession_number long, character_start int, character_end int, expected_text string",
+    )
+    claims, failed = D.anchor_claims(texts, specs, F.lit("2024-02-01").cast("timestamp"))
+    assert {(r.spec_id, r.source_id) for r in claims.collect()} == {(10, "sec-filing-1"), (11, "sec-filing-1"), (15, "sec-filing-3")}
+    assert {tuple(r) for r in failed.collect()} == {(12, "anchor_mismatch"), (13, "anchor_exceeds_document"), (14, "document_absent")}
+    documents = spark.createDataFrame([(1, "h", "h"), (3, "h", "other")], "accession_number long, content_sha256 string, source_sha256 string")
+    fixed = {"media_type": F.lit("text/html"), "source_url": F.lit("u"), "filing_date": F.lit("2023-12-01").cast("date"), "retrieved_at": when}
+    rows, edges, problems = D.anchored_evidence(claims, documents.withColumns(fixed))
+    assert [r.id for r in rows.collect()] == ["sec-filing-1"] and edges.count() == 2
+    assert [tuple(r) for r in problems.collect()] == [(3, "source_hash_mismatch")]
+    for out in (claims, failed, rows, edges, problems):  # none goes back to the texts
+        assert out.inputFiles() and all("/anchors-" in f or "/filings-" in f for f in out.inputFiles())
