@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,41 +60,67 @@ def water_fill(
     ratio = F.col(cap) / F.col(weight)
     total = F.when(F.col("total").isNotNull(), F.greatest(F.col("total"), F.lit(0.0)))
     if bounded:
-        w = Window.partitionBy(*group)
-        by_ratio = w.orderBy("_ratio")
-        rows = df.join(totals, group, "left").withColumn("_ratio", F.when(active, ratio))
-        kept_cap = F.when(active, F.col(cap)).otherwise(0.0)
-        kept_weight = F.when(active, F.col(weight)).otherwise(0.0)
-        before = by_ratio.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("_cap_to", F.sum(kept_cap).over(before)).withColumn(
-            "_same", F.sum(kept_cap).over(Window.partitionBy(*group, "_ratio"))
-        )
-        after = by_ratio.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-        rest = F.sum(kept_weight).over(after)
-        level = F.when(active, (total - (F.col("_cap_to") - F.col("_same"))) / F.col("_rest"))
-        rows = rows.withColumn("_rest", rest).withColumn("_level", level)
-        rows = rows.withColumn("_fill", F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).over(w))
-    else:
-        steps = (
-            df.where(active)
-            .groupBy(*group, ratio.alias("_ratio"))
-            .agg(F.sum(cap).alias("_cap"), F.sum(weight).alias("_weight"))
-        )
-        running = chunked_running(steps, group, ["_ratio"], {"_cap_to": "_cap", "_weight_to": "_weight"})
-        sums = steps.groupBy(*group).agg(F.sum("_weight").alias("_all_weight")).join(totals, group)
-        level = (total - (F.col("_cap_to") - F.col("_cap"))) / (
-            F.col("_all_weight") - (F.col("_weight_to") - F.col("_weight"))
-        )
-        fills = (
-            running.join(sums, group, "left")
-            .withColumn("_level", level)
-            .groupBy(*group)
-            .agg(F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).alias("_fill"))
-        )
-        rows = df.join(fills, group, "left")
+        return _filled(df.join(totals, group, "left"), group, weight, cap).select(*df.columns, "allocated")
+    steps = (
+        df.where(active)
+        .groupBy(*group, ratio.alias("_ratio"))
+        .agg(F.sum(cap).alias("_cap"), F.sum(weight).alias("_weight"))
+    )
+    running = chunked_running(steps, group, ["_ratio"], {"_cap_to": "_cap", "_weight_to": "_weight"})
+    sums = steps.groupBy(*group).agg(F.sum("_weight").alias("_all_weight")).join(totals, group)
+    level = (total - (F.col("_cap_to") - F.col("_cap"))) / (
+        F.col("_all_weight") - (F.col("_weight_to") - F.col("_weight"))
+    )
+    fills = (
+        running.join(sums, group, "left")
+        .withColumn("_level", level)
+        .groupBy(*group)
+        .agg(F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).alias("_fill"))
+    )
+    rows = df.join(fills, group, "left")
+    return rows.select(*df.columns, _share(weight, cap).alias("allocated"))
+
+
+def _share(weight: str, cap: str) -> Column:
+    """What a row gets at its group's ``_fill`` level."""
     share = F.least(F.col(cap), F.coalesce(F.col("_fill") * F.col(weight), F.col(cap)))
-    allocated = F.when(active, F.greatest(share, F.lit(0.0))).otherwise(0.0)
-    return rows.select(*df.columns, allocated.alias("allocated"))
+    return F.when((F.col(weight) > 0) & (F.col(cap) > 0), F.greatest(share, F.lit(0.0))).otherwise(0.0)
+
+
+def _filled(rows: DataFrame, group: list[str], weight: str, cap: str) -> DataFrame:
+    """``allocated`` of rows that carry their small group's ``total``, all or one of them, by windows over the group."""
+    active = (F.col(weight) > 0) & (F.col(cap) > 0)
+    limit = F.when(F.col("total").isNotNull(), F.greatest(F.col("total"), F.lit(0.0)))
+    w = Window.partitionBy(*group)
+    by_ratio = w.orderBy("_ratio")
+    rows = rows.withColumn("_ratio", F.when(active, F.col(cap) / F.col(weight)))
+    kept_cap = F.when(active, F.col(cap)).otherwise(0.0)
+    kept_weight = F.when(active, F.col(weight)).otherwise(0.0)
+    before = by_ratio.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = by_ratio.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    all_rows = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one order for all: one sort
+    rows = rows.withColumns({"_cap_to": F.sum(kept_cap).over(before), "_rest": F.sum(kept_weight).over(after), "_total": F.max(limit).over(all_rows)})
+    rows = rows.withColumn("_same", F.sum(kept_cap).over(Window.partitionBy(*group, "_ratio")))
+    rows = rows.withColumn("_level", F.when(active, (F.col("_total") - (F.col("_cap_to") - F.col("_same"))) / F.col("_rest")))
+    rows = rows.withColumn("_fill", F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).over(w))
+    return rows.withColumn("allocated", _share(weight, cap))
+
+
+def fill_and_rest(df: DataFrame, totals: DataFrame, group: list[str], weight: str, cap: str) -> DataFrame:
+    """The bounded ``water_fill`` and what it leaves, in one pass: rows and totals meet in one exchange and the inputs are computed once.
+
+    Returns ``df`` with ``allocated`` and ``leftover`` (false), and a row per total, null in the columns of ``df`` but ``group``, with what is left as
+    ``allocated``. As in a join, a row whose group has a null meets no total.
+    """
+    blank = {c: F.lit(None).cast(t.dataType) for c, t in zip(df.columns, df.schema) if c not in group}
+    limits = totals.select(*group, *[v.alias(c) for c, v in blank.items()], F.col("total").cast("double").alias("_own"), F.lit(True).alias("leftover"))
+    rows = df.select(*group, *blank, F.lit(None).cast("double").alias("_own"), F.lit(False).alias("leftover")).unionByName(limits)
+    whole = Window.partitionBy(*group)
+    known = reduce(and_, [F.col(k).isNotNull() for k in group])
+    filled = _filled(rows.withColumn("total", F.when(known, F.col("_own"))), group, weight, cap)
+    used = F.when(known, F.sum(F.when(~F.col("leftover"), F.col("allocated"))).over(whole))
+    left = F.greatest(F.greatest(F.col("_own"), F.lit(0.0)) - F.coalesce("_used", F.lit(0.0)), F.lit(0.0))
+    return filled.withColumn("_used", used).select(*df.columns, F.when(F.col("leftover"), left).otherwise(F.col("allocated")).alias("allocated"), "leftover")
 
 
 def unallocated(allocations: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:

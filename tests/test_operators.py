@@ -795,3 +795,26 @@ def test_anchors_are_judged_once_for_all_outputs(spark):
     assert [tuple(r) for r in problems.collect()] == [(3, "source_hash_mismatch")]
     for out in (claims, failed, rows, edges, problems):  # none goes back to the texts
         assert out.inputFiles() and all("/anchors-" in f or "/filings-" in f for f in out.inputFiles())
+
+
+def test_customers_of_a_draw_are_computed_once(spark):
+    rows = [("a", d, c, float(1 + c), float(3 * c + d % 4)) for d in range(60) for c in range(d % 5)] + [("a", None, 0, 1.0, 7.0)]
+    rules = spark.createDataFrame(rows, "k string, draw_index int, customer_id int, share double, demand_cap double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    totals = spark.createDataFrame([("a", d, 2.5 * d if d % 7 else -1.0) for d in range(3, 70)] + [("a", None, 5.0)], "k string, draw_index int, total double")
+    group = ["k", "draw_index"]
+    filled = W.water_fill(rules, totals, group, "share", "demand_cap", bounded=True)
+    left = W.unallocated(filled, totals, group)
+    want = [(r.draw_index, r.customer_id, r.allocated, False) for r in filled.collect()] + [(r.draw_index, None, r.unallocated, True) for r in left.collect()]
+    out = W.fill_and_rest(rules, totals, group, "share", "demand_cap")
+    by = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
+    got = sorted([(r.draw_index, r.customer_id, r.allocated, r.leftover) for r in out.collect()], key=by)
+    assert [(*r[:2], pytest.approx(r[2]), r[3]) for r in sorted(want, key=by)] == got
+    C.customer_allocation(totals.withColumnRenamed("total", "output"), rules.mapInArrow(counted, rules.schema), ["k"]).collect()
+    assert seen.value == len(rows)
