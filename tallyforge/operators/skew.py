@@ -21,6 +21,7 @@ BRACKET_MARGIN = 4e-4  # rank share kept on each side of a quantile; the sketch
 CELLS = 1024  # chunks a key is split into at most
 CHUNK_ROWS = 1 << 20  # a key with fewer rows is one chunk
 SMALL_GROUP = 1 << 16  # a group of at most so many rows is sorted as one array
+VALUE_ROWS = 1 << 20  # rows of a file of written values, and so of a task that reads it
 
 
 def position_in(edges, value) -> Column:
@@ -128,14 +129,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: t
     """Count, mean, min, max and exact interpolated quantiles ``_p0, _p1, …`` of groups of any size.
 
     The values are written once and read back, as later passes must meet the values of the first: a sum of doubles may change its
-    last bit when it is computed again. Groups of up to ``SMALL_GROUP`` rows are sorted as one array each. The others, at most one to
+    last bit when it is computed again. Groups of up to ``SMALL_GROUP`` rows meet in one exchange and are sorted as one array each. The others, at most one to
     ``SMALL_GROUP`` rows of the table, are broadcast where rows meet them, so none of their rows moves: a sketch brackets each
     wanted rank, and a second pass counts the rows below each bracket and keeps only the values inside one (about 0.1 % of a group
     per quantile) and the next value on either side. Only those are ranked; they still meet in one task per group. A rank outside
     its bracket fails the job instead of giving a wrong number.
     """
     path = scratch_path(df.sparkSession, "values")
-    df.where(F.col(value).isNotNull()).select(_key(keys).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v")).write.parquet(path)
+    df.where(F.col(value).isNotNull()).select(_key(keys).alias("_g"), (F.col(value).cast("double") + 0.0).alias("_v")).write.option("maxRecordsPerFile", VALUE_ROWS).parquet(path)
     base = df.sparkSession.read.parquet(path)
     hot = base.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("_g")
     rest = base.join(F.broadcast(hot), "_g", "left_anti")
@@ -149,7 +150,8 @@ def _between(low: Column, high: Column, share: Column) -> Column:
 
 def _sorted_quantiles(base: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
     """``exact_quantiles`` of ``(_g, _v)`` by one sorted array per group."""
-    groups = base.groupBy("_g").agg(F.avg("_v").alias("mean"), F.array_sort(F.collect_list("_v")).alias("_s")).withColumn("n", F.size("_s").cast("bigint"))
+    moved = base.repartition("_g")  # else each split is sorted by group before the exchange, however large it is
+    groups = moved.groupBy("_g").agg(F.avg("_v").alias("mean"), F.array_sort(F.collect_list("_v")).alias("_s")).withColumn("n", F.size("_s").cast("bigint"))
 
     def at(p: float) -> Column:
         position = F.lit(float(p)) * (F.col("n") - 1)

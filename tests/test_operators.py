@@ -818,3 +818,28 @@ def test_customers_of_a_draw_are_computed_once(spark):
     assert [(*r[:2], pytest.approx(r[2]), r[3]) for r in sorted(want, key=by)] == got
     C.customer_allocation(totals.withColumnRenamed("total", "output"), rules.mapInArrow(counted, rules.schema), ["k"]).collect()
     assert seen.value == len(rows)
+
+
+def test_values_are_read_and_sorted_in_bounded_parts(spark, monkeypatch):
+    from tallyforge.operators import skew
+
+    monkeypatch.setattr(skew, "VALUE_ROWS", 500, raising=False)
+    df = spark.range(0, 6000, 1, 1).select((F.col("id") % 3000).alias("k"), F.col("id").cast("double").alias("v"))
+    out = skew.exact_quantiles(df, ["k"], "v", (0.5,))
+    assert {(r.k, r._p0) for r in out.collect()} == {(k, k + 1500.0) for k in range(3000)}
+    files = [f for f in out.inputFiles() if "/values-" in f]
+    assert max(spark.read.parquet(f).count() for f in files) <= 500
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan  # groups meet before their values are sorted
+
+
+def test_lines_are_dealt_out_before_they_are_grouped(spark):
+    from tallyforge.catalog import Tables
+    from tallyforge.catalog.capacity import earnings_inputs
+    from tallyforge.session import SPLIT_BYTES, tune
+
+    lines, _ = earnings_inputs(Tables(spark, "/root/testdata/sf0.001"))
+    assert "RebalancePartitions [l_orderkey" in lines._jdf.queryExecution().optimizedPlan().toString()
+    before = tune(spark).conf.get(SPLIT_BYTES)
+    assert tune(spark, 400).conf.get(SPLIT_BYTES) == "16m"
+    assert tune(spark).conf.get(SPLIT_BYTES) == before
