@@ -50,6 +50,24 @@ def test_outcome_on_the_end_of_an_interval_is_inside(spark, tmp_path):
     assert [r.inside_p10_p90 for r in load()["co14_score_forecasts"].run(Tables(spark, str(tmp_path))).collect()] == [True]
 
 
+@pytest.mark.parametrize("name", ["co29_capture_documents", "s5_read_hashed_files"])
+def test_empty_and_missing_texts_are_captured(spark, tmp_path, name):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    text = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("text"))
+    assert problem(spark, tmp_path, name, documents=documents.withColumn("text", text)) is None
+
+
+def test_an_empty_file_is_a_problem_unless_allowed(spark):
+    from tallyforge.plans.filings import capture_documents
+
+    known = spark.createDataFrame([(1,), (2,)], "accession_number long")
+    requests = known.select("accession_number", F.lit("read").alias("review_reason"), F.lit(None).cast("string").alias("expected_sha256"))
+    files = spark.createDataFrame([(1, "a.txt", 0, "x"), (2, "b.txt", 1, "y")], "accession_number long, name string, bytes long, sha256 string")
+    verdicts = lambda **more: {r.accession_number: r.problem for r in capture_documents(known, requests, files, **more).collect()}
+    assert verdicts() == {1: "file_empty", 2: None}
+    assert verdicts(least=0) == {1: None, 2: None}
+
+
 def test_a_delivery_without_limit_leaves_nothing(spark):
     state = spark.range(10_001).select(F.col("id").alias("event_id"), F.lit("pending").alias("status"), F.col("id").alias("created_at"))
     assert oldest_pending(state, 10_000).count() == 10_000
