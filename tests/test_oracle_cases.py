@@ -1,6 +1,7 @@
 """Registered queries against their SQL on rows that the smallest driver tables lack."""
 
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -88,6 +89,31 @@ def test_a_steady_sum_does_not_depend_on_order(spark):
     assert {r.plain for r in sums} == {24.0, 23.999999999999996} and {r.steady for r in sums} == {23.999999999999996}
 
 
+def test_pages_of_any_key_are_in_the_manifest(spark, tmp_path):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").limit(12)
+    odd = F.when(F.col("page_id") % 3 == 0, -1 - F.col("page_id")).when(F.col("page_id") % 3 == 1, F.lit(7)).otherwise(F.col("page_id"))
+    assert problem(spark, tmp_path, "sk4_build_manifest", pages=pages.withColumns({"page_id": odd, "html": F.concat("html", F.lit("\r\n\u00e9"))})) is None
+
+
+@pytest.mark.parametrize("store", ["file://", "viewfs://made"])
+def test_files_are_written_whole_and_again_in_the_same_places(spark, tmp_path, store):
+    from tallyforge.sources.readers import read_files
+    from tallyforge.sources.writers import write_files
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.made.link./tmp", "file:///tmp")
+    key = F.when(F.col("id") > 9, F.col("id") % 100 - 50)  # some have none
+    rows = spark.range(200).select(key.alias("k"), F.concat(F.lit("text "), "id").alias("text"))
+    for order in (F.col("text"), F.col("text").desc()):
+        paths = write_files(rows.repartition(3).sortWithinPartitions(order), f"{store}{tmp_path}/out dir", "k", "text")
+        found = read_files(paths, f"{store}{tmp_path}/out dir").collect()
+        files = [f"{at}/{f}" for at, _, names in os.walk(f"{tmp_path}/out dir") for f in names if f.endswith(".txt")]
+        assert len({r.path for r in found}) == 200 and {re.search(r".*k=(-?\w+)", r.path)[1] for r in found} == {"__HIVE_DEFAULT_PARTITION__", *map(str, range(-50, 50))}
+        assert {r.content.decode() for r in found} == {f"text {i}\n" for i in range(200)}
+        if store != "file://":
+            break  # Spark names these anew
+        assert len(files) == 200 and not [f for _, _, names in os.walk(f"{tmp_path}/out dir") for f in names if not f.endswith(".txt")]
+
+
 def test_a_delivery_without_limit_leaves_nothing(spark):
     state = spark.range(10_001).select(F.col("id").alias("event_id"), F.lit("pending").alias("status"), F.col("id").alias("created_at"))
     assert oldest_pending(state, 10_000).count() == 10_000
